@@ -369,7 +369,7 @@ def total_expenses(spark, sf_dir):
 
 @query
 def spend_ratios(spark, sf_dir):
-    return rounded(with_ratios(with_total(spark, sf_dir)), *cleaning.RATIOS).select(KEY, *cleaning.RATIOS)
+    return with_ratios(with_total(spark, sf_dir)).select(KEY, *cleaning.RATIOS)
 
 
 @query
@@ -446,8 +446,7 @@ def clean_test(spark, sf_dir):
 def train_features(spark, sf_dir):
     df = cleaning.clean_train(manifest(spark, sf_dir))
     df = cleaning.fit_features(df).transform(df)
-    return rounded(cleaning.model_columns(df, KEY, "Transported", "Is_Single", ratios=True),
-                   *features.SCALED, *cleaning.RATIOS)
+    return rounded(cleaning.model_columns(df, KEY, "Transported", "Is_Single", ratios=True), *features.SCALED)
 
 
 # Evaluation, over a rule in place of a model
