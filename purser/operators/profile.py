@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purser.functions.scalars import ceil_double
 from purser.operators.quantiles import exact_quantiles
+from purser.session import written
 
 
 def long_form(df: DataFrame, cols: Sequence[str], *keep: str, name: str = "dim", value: str = "value") -> DataFrame:
@@ -181,43 +183,75 @@ def outlier_rows(df: DataFrame, x: str, by: str) -> DataFrame:
     return df.where(_outside(box_fences(df, x, by), x, by))
 
 
-def box_stats(df: DataFrame, x: str, by: str) -> DataFrame:
-    """Box-plot numbers per group: five-number summary, fences, rows outside them."""
-    fences = box_fences(df, x, by)
-    known = df.where(F.col(by).isNotNull() & F.col(x).isNotNull())
-    counts = known.groupBy(by).agg(F.count_if(_outside(fences, x, by)).alias("n_outliers"))
-    names = ("n", "min", "q1", "median", "q3", "max", "lower", "upper")
-    group_type = df.schema[by].dataType.simpleString()
-    rows = [(g, int(f["n"]), *[float(f[k]) for k in names[1:]]) for g, f in fences.items()]
-    schema = f"{by} {group_type}, n bigint, " + ", ".join(f"{k} double" for k in names[1:])
-    stats = df.sparkSession.createDataFrame(rows, schema)
-    joined = stats.join(counts, by, "left")
-    rounded = [F.round(k, 6).alias(f"{k}_value") for k in names[1:]]
-    return joined.select(F.lit(x).alias("measure"), F.lit(by).alias("by"), F.col(by).cast("string").alias("value"),
-                         "n", *rounded, "n_outliers")
+def box_stats(df: DataFrame, boxes: Sequence[tuple[str, str]]) -> DataFrame:
+    """Box-plot numbers for each (measure, by): five-number summary, fences, rows outside them.
+
+    All boxes go through the same few passes, over a table of their values alone.
+    """
+    cells = [
+        F.struct(F.lit(f"{x}|{by}|").alias("box"), F.col(by).cast("string").alias("value"), F.col(x).alias("x"))
+        for x, by in boxes
+    ]
+    values = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull() & F.col("x").isNotNull())
+    values = written(values.select(F.concat("box", "value").alias("box"), "x"), "box-values")
+    fences = box_fences(values, "x", "box")
+    names = ("min", "q1", "median", "q3", "max", "lower", "upper")
+    rows = [(*box.split("|", 2), box, f["n"], *[float(f[k]) for k in names]) for box, f in fences.items()]
+    schema = "measure string, `by` string, value string, box string, n bigint, "
+    stats = df.sparkSession.createDataFrame(rows, schema + ", ".join(f"{k}_value double" for k in names))
+    limits = stats.select("box", F.col("lower_value").alias("low"), F.col("upper_value").alias("high"))
+    outside = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
+    counts = values.join(F.broadcast(limits), "box").groupBy("box").agg(F.count_if(outside).alias("n_outliers"))
+    rounded = [F.round(f"{k}_value", 6).alias(f"{k}_value") for k in names]
+    return stats.join(counts, "box", "left").select("measure", "by", "value", "n", *rounded, "n_outliers")
+
+
+MAX_CORR_COLUMNS = 16
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair, each over the rows where both are known.
 
-    One aggregate for all pairs. A constant column has no correlation: null.
+    Rows are grouped by which columns they know: sums and products per such pattern (at
+    most 2 to the number of columns) hold all that any pair needs. Values
+    are taken from the column mean, so that the sums do not cancel. A constant column
+    has no correlation: null.
     """
+    if len(cols) > MAX_CORR_COLUMNS:
+        raise ValueError(f"at most {MAX_CORR_COLUMNS} columns, not {len(cols)}")
     numbers = df.select(*[F.col(c).cast("int" if t == "boolean" else "double").cast("double").alias(c)
                           for c, t in df.select(*cols).dtypes])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one_row = numbers.agg(*[_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = []
-    for a, b in pairs:
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"),
-                                  F.round(F.col(f"`{a}|{b}`"), 6).alias("corr")))
-    return one_row.select(F.inline(F.array(*cells)))
-
-
-def _corr(a: str, b: str) -> Column:
-    both_a = F.when(F.col(b).isNotNull(), F.col(a))
-    both_b = F.when(F.col(a).isNotNull(), F.col(b))
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(both_a) * F.stddev_pop(both_b))
+    k = len(cols)
+    centre = numbers.agg(*[F.avg(c) for c in cols], *[F.min(c) for c in cols], *[F.max(c) for c in cols]).first()
+    middle = [centre[i] if centre[k + i] != centre[2 * k + i] else centre[k + i] for i in range(k)]
+    x = [F.coalesce(F.col(c) - F.lit(m or 0.0), F.lit(0.0)) for c, m in zip(cols, middle)]
+    known = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    patterns = (
+        numbers.groupBy(known.alias("known"))
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)],
+             *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs])
+        .collect()
+    )
+    rows = []
+    for i, j in pairs:
+        r = _pair_corr([p for p in patterns if p["known"] >> i & 1 and p["known"] >> j & 1], i, j)
+        rows += [(cols[i], cols[j], r)] + ([(cols[j], cols[i], r)] if i != j else [])
+    table = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    return table.withColumn("corr", F.round("corr", 6))
+
+
+def _pair_corr(patterns, i: int, j: int) -> float | None:
+    n = sum(p["n"] for p in patterns)
+    if not n:
+        return None
+    a, b = (sum(p[f"s{c}"] for p in patterns) / n for c in (i, j))
+    aa, bb, ab = (sum(p[name] for p in patterns) / n for name in (f"p{i}_{i}", f"p{j}_{j}", f"p{i}_{j}"))
+    va, vb = aa - a * a, bb - b * b
+    # A variance this far below the mean square is the rounding of a constant.
+    if va <= 1e-12 * aa or vb <= 1e-12 * bb:
+        return None
+    return (ab - a * b) / sqrt(va * vb)
 
 
 def sorted_group_profile(df: DataFrame, key: str, col: str, values: Sequence[str]) -> DataFrame:

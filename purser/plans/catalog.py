@@ -144,13 +144,13 @@ def null_profile(spark, sf_dir):
 
 @query
 def crosstab_size(spark, sf_dir):
-    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin"))
+    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", key=False))
     return profile.crosstab(df, "HomePlanet", "Deck", DECKS)
 
 
 @query
 def crosstab_count(spark, sf_dir):
-    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin"))
+    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", key=False))
     return profile.crosstab(df, "HomePlanet", "Deck", DECKS, count_of="Deck")
 
 
@@ -189,12 +189,12 @@ def with_route(spark, sf_dir, *columns, **kwargs):
 
 @query
 def mean_spend_by_route_vip(spark, sf_dir):
-    return profile.mean_by(with_route(spark, sf_dir, "VIP", *SPEND), ("JourneyRoute", "VIP"), SPEND)
+    return profile.mean_by(with_route(spark, sf_dir, "VIP", *SPEND, key=False), ("JourneyRoute", "VIP"), SPEND)
 
 
 @query
 def mean_spend_pivot(spark, sf_dir):
-    return profile.mean_pivot(with_route(spark, sf_dir, "VIP", *SPEND), "JourneyRoute", "VIP", SPEND)
+    return profile.mean_pivot(with_route(spark, sf_dir, "VIP", *SPEND, key=False), "JourneyRoute", "VIP", SPEND)
 
 
 @query
@@ -209,48 +209,45 @@ def group_is_single(spark, sf_dir):
 
 @query
 def group_mode(spark, sf_dir):
-    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin"))
+    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", key=False))
     return profile.group_mode(df, "HomePlanet", "Deck")
 
 
 @query
 def transport_rate_by_dim(spark, sf_dir):
-    df = with_cabin_parts(with_route(spark, sf_dir, "CryoSleep", "Cabin", "Transported"))
+    df = with_cabin_parts(with_route(spark, sf_dir, "CryoSleep", "Cabin", "Transported", key=False))
     return profile.rate_table(with_display_labels(df), ("JourneyRoute", "CryoSleep", "Deck"), "Transported")
 
 
 @query
 def mean_total_by_route_vip(spark, sf_dir):
-    df = with_route(spark, sf_dir, "VIP", *SPEND).withColumn("TotalExpenses", total())
+    df = with_route(spark, sf_dir, "VIP", *SPEND, key=False).withColumn("TotalExpenses", total())
     return rounded(profile.mean_by(df, ("JourneyRoute", "VIP"), ("TotalExpenses",), ceil=False), "TotalExpenses")
 
 
 @query
 def hierarchy_counts(spark, sf_dir):
-    df = with_display_labels(with_route(spark, sf_dir, "VIP", "Transported"))
+    df = with_display_labels(with_route(spark, sf_dir, "VIP", "Transported", key=False))
     return profile.hierarchy_counts(df, ("JourneyRoute", "VIP", "Transported"))
 
 
 @query
 def value_counts(spark, sf_dir):
-    return profile.value_counts(with_route(spark, sf_dir), "JourneyRoute")
+    return profile.value_counts(with_route(spark, sf_dir, key=False), "JourneyRoute")
 
 
 @query
 def age_histogram_by(spark, sf_dir):
-    df = with_display_labels(manifest(spark, sf_dir, "Age", "VIP", "CryoSleep", "Transported"))
+    df = with_display_labels(manifest(spark, sf_dir, "Age", "VIP", "CryoSleep", "Transported", key=False))
     return profile.histogram(df, "Age", ("Transported", "VIP", "CryoSleep"), 5)
 
 
 @query
 def box_stats(spark, sf_dir):
-    df = with_display_labels(manifest(spark, sf_dir, "Age", "VIP", "CryoSleep", "Transported", *SPEND))
+    df = with_display_labels(manifest(spark, sf_dir, "Age", "VIP", "CryoSleep", "Transported", *SPEND, key=False))
     df = df.withColumn("TotalExpenses", total())
     boxes = [("TotalExpenses", "VIP"), ("Age", "Transported"), ("Age", "VIP"), ("Age", "CryoSleep")]
-    first, *rest = [profile.box_stats(df, x, by) for x, by in boxes]
-    for box in rest:
-        first = first.unionByName(box)
-    return first
+    return profile.box_stats(df, boxes)
 
 
 @query
@@ -261,7 +258,7 @@ def outlier_rows(spark, sf_dir):
 
 @query
 def corr_matrix(spark, sf_dir):
-    df = manifest(spark, sf_dir, "CryoSleep", "Age", "VIP", *SPEND, "Transported")
+    df = manifest(spark, sf_dir, "CryoSleep", "Age", "VIP", *SPEND, "Transported", key=False)
     df = df.withColumn("TotalExpenses", total())
     return profile.corr_matrix(df, ("CryoSleep", "Age", "VIP", *SPEND, "Transported", "TotalExpenses"))
 
@@ -358,8 +355,8 @@ def journey_route(spark, sf_dir):
     return with_route(spark, sf_dir).select(KEY, "JourneyRoute")
 
 
-def with_total(spark, sf_dir, *columns):
-    return manifest(spark, sf_dir, *columns, *SPEND).withColumn("TotalExpenses", total())
+def with_total(spark, sf_dir, *columns, **kwargs):
+    return manifest(spark, sf_dir, *columns, *SPEND, **kwargs).withColumn("TotalExpenses", total())
 
 
 @query
@@ -500,5 +497,5 @@ def oof_fold_assignment(spark, sf_dir):
 
 @query
 def gnb_parameters(spark, sf_dir):
-    df = with_total(spark, sf_dir, "Age", "Transported").withColumn("label", F.col("Transported").cast("int"))
+    df = with_total(spark, sf_dir, "Age", "Transported", key=False).withColumn("label", F.col("Transported").cast("int"))
     return evaluate.gnb_parameters(df, ["Age", *SPEND, "TotalExpenses"])

@@ -73,11 +73,13 @@ def manifest(
     sf_dir: str,
     *columns: str,
     split: str | None = None,
+    key: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """PassengerId and the given columns (all when none are given) of the derived manifest.
 
-    ``split`` keeps the training or the scoring part; whole orders go to either.
+    ``split`` keeps the training or the scoring part; whole orders go to either. Without
+    ``key`` no members are numbered, which saves the shuffle of the line items.
     """
     columns = columns or tuple(f.name for f in TRAIN_SCHEMA.fields[1:])
     rows = table(spark, sf_dir, "lineitem")
@@ -88,7 +90,8 @@ def manifest(
     elif split is not None:
         raise ValueError(f"split is one of {SPLITS}, not {split}")
     coarse = F.col("l_linenumber").cast("bigint") * F.lit(1 << 40) + F.col("l_partkey")
-    rows = number_rows(rows, "l_orderkey", MEMBER_ORDER, coarse, hot_rows=hot_rows)
+    if key:
+        rows = number_rows(rows, "l_orderkey", MEMBER_ORDER, coarse, hot_rows=hot_rows)
     if {"HomePlanet", "Name"} & set(columns):
         orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         rows = rows.join(orders, "l_orderkey", "left")
@@ -101,5 +104,5 @@ def manifest(
     values = _values()
     for name, every in MISSING_EVERY.items():
         values[name] = F.when(F.col("l_partkey") % every != 0, values[name])
-    passenger = F.concat(_padded("l_orderkey", 7), F.lit("_"), _padded("member", 2))
-    return rows.select(passenger.alias("PassengerId"), *[values[c].alias(c) for c in columns])
+    passenger = [F.concat(_padded("l_orderkey", 7), F.lit("_"), _padded("member", 2)).alias("PassengerId")] if key else []
+    return rows.select(*passenger, *[values[c].alias(c) for c in columns])
