@@ -15,6 +15,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from purser.session import small_table
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 MAX_CUTS = 4_096
@@ -22,19 +24,23 @@ SLOT = "_slot"
 
 
 class HotKeys(NamedTuple):
-    table: DataFrame  # key, _rows
+    """The hot values of one column: a small table of (key, _rows), or none at all."""
+
+    key: str
+    table: DataFrame | None
     largest: int
     hot_rows: int
+    null_rows: int = 0
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys | None:
-    """Keys with at least ``hot_rows`` rows; None when there are none.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys:
+    """Keys with at least ``hot_rows`` rows; a missing key can be one of them.
 
-    One job over the key column alone, combined before its shuffle.
+    One job over the key column alone, combined before its shuffle. What it finds stays
+    valid for any part of the table: a group only shrinks when rows are dropped.
     """
     top = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
+        df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") >= hot_rows)
         .orderBy(F.desc("_rows"))
@@ -42,21 +48,24 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys | Non
     )
     rows = top.collect()
     if not rows:
-        return None
-    return HotKeys(df.sparkSession.createDataFrame(rows, top.schema), rows[0]["_rows"], hot_rows)
+        return HotKeys(key, None, 0, hot_rows)
+    null_rows = sum(r["_rows"] for r in rows if r[key] is None)
+    known = [r for r in rows if r[key] is not None]
+    return HotKeys(key, small_table(df.sparkSession, known, top.schema), rows[0]["_rows"], hot_rows, null_rows)
 
 
-def spread_hot_groups(df: DataFrame, key: str, row_key: str | Column, hot: HotKeys | None) -> DataFrame:
+def spread_hot_groups(df: DataFrame, key: str, row_key: str | Column, hot: HotKeys | None = None) -> DataFrame:
     """Add the slot column when there are hot groups; return ``df`` itself when not.
 
     The slot is null in ordinary groups and a hash of ``row_key`` in hot ones, with
     one slot per ``hot_rows`` rows.
     """
-    if hot is None:
+    hot = hot or hot_keys(df, key)
+    if hot.table is None:
         return df
-    slots = F.ceil(F.col("_rows") / hot.hot_rows)
-    slot = F.pmod(F.xxhash64(row_key), slots).cast("int")
-    return df.join(F.broadcast(hot.table), key, "left").withColumn(SLOT, slot).drop("_rows")
+    rows = F.when(F.col(key).isNull(), F.lit(hot.null_rows or None)).otherwise(F.col("_rows"))
+    slot = F.pmod(F.xxhash64(row_key), F.ceil(rows / hot.hot_rows)).cast("int")
+    return df.join(F.broadcast(hot.table), key, "left").select(*df.columns, slot.alias(SLOT))
 
 
 def with_group_values(
@@ -69,16 +78,18 @@ def with_group_values(
 
     ``windowed(part)`` gives them as window expressions over the partition columns
     ``part``; ``table(rows)`` gives the same columns as one row per key. The latter
-    is only planned when ``df`` carries the slot column.
+    is only planned when ``df`` carries the slot column. Without a key there is no value.
     """
+    known = F.col(key).isNotNull()
     if SLOT not in df.columns:
-        return df.withColumns(windowed([key]))
-    values = windowed([key, SLOT])
-    hot = table(df.where(F.col(SLOT).isNotNull()))
+        return df.withColumns({c: F.when(known, value) for c, value in windowed([key]).items()})
+    values = {c: F.when(known, value) for c, value in windowed([key, SLOT]).items()}
+    hot = table(df.where(known & F.col(SLOT).isNotNull()))
     hot = hot.select(key, *[F.col(c).alias(f"_hot_{c}") for c in values])
-    joined = df.withColumns(values).join(F.broadcast(hot), key, "left")
+    valued = df.withColumns(values)
+    joined = valued.join(F.broadcast(hot), key, "left")
     picked = {c: F.when(F.col(SLOT).isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(c)) for c in values}
-    return joined.withColumns(picked).drop(*[f"_hot_{c}" for c in values])
+    return joined.withColumns(picked).select(*valued.columns)
 
 
 def group_aggregates(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:
@@ -97,7 +108,7 @@ def lookup_join(
     key: str,
     row_key: str | Column,
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Join ``lookup`` (one row per key, as large as it likes) onto the rows of ``df``.
 
@@ -106,10 +117,10 @@ def lookup_join(
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join does left and inner joins, not {how}")
-    hot = hot_keys(df, key, hot_rows)
-    if hot is None:
-        return df.join(lookup, key, how)
+    hot = hot or hot_keys(df, key)
     values = [c for c in lookup.columns if c != key]
+    if hot.table is None:
+        return df.join(lookup, key, how).select(*df.columns, *values)
     hot_lookup = lookup.join(F.broadcast(hot.table.select(key)), key, "left_semi").select(
         key, F.lit(True).alias("_hot_found"), *[F.col(c).alias(f"_hot_{c}") for c in values]
     )
@@ -130,16 +141,16 @@ def number_rows(
     order: Sequence[str],
     coarse: Column,
     name: str = "member",
-    hot_rows: int = HOT_ROWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Row number within each group, along ``order``.
 
     ``coarse`` is a number that never decreases along ``order``. Quantiles of it cut
     a hot group into consecutive slots; a row's number is its number within
-    its slot plus the rows of the slots before.
+    its slot plus the rows of the slots before. Every row must have a key.
     """
-    hot = hot_keys(df, key, hot_rows)
-    if hot is None:
+    hot = hot or hot_keys(df, key)
+    if hot.table is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     n_cuts = min(MAX_CUTS, -(-hot.largest // hot.hot_rows))
     every = F.greatest(F.lit(1), F.floor(F.lit(n_cuts * hot.hot_rows) / F.first("_rows")))

@@ -27,6 +27,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from purser.session import small_table
+
 
 def random_forest(trees: int = 15, depth: int = 5, features: int = 8, seed: int = 17) -> Estimator:
     """15 trees on 8 columns each. Spark has no leaf cap or split minimum: depth 5 stands in for 30 leaves."""
@@ -116,7 +118,7 @@ def grid_search(
         (", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name)), float(m), float(s))
         for params, m, s in zip(grid, search.avgMetrics, search.stdMetrics)
     ]
-    table = df.sparkSession.createDataFrame(rows, "params string, mean_score double, std_score double")
+    table = small_table(df.sparkSession, rows, "params string, mean_score double, std_score double")
     return table.orderBy(F.desc("mean_score"), "params"), search.bestModel
 
 
@@ -124,5 +126,5 @@ def feature_importance(spark: SparkSession, model: Model, names: Sequence[str])
     """Importance per input column, largest first; of a linear model its absolute coefficients."""
     weights = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
     rows = [(n, abs(float(w))) for n, w in zip(names, weights.toArray(), strict=True)]
-    table = spark.createDataFrame(rows, "Features string, Importance double")
+    table = small_table(spark, rows, "Features string, Importance double")
     return table.orderBy(F.desc("Importance"), "Features")

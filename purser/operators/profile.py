@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purser.functions.scalars import ceil_double
 from purser.operators.quantiles import exact_quantiles
-from purser.session import written
+from purser.session import small_table, written
 
 
 def long_form(df: DataFrame, cols: Sequence[str], *keep: str, name: str = "dim", value: str = "value") -> DataFrame:
@@ -198,7 +198,7 @@ def box_stats(df: DataFrame, boxes: Sequence[tuple[str, str]]) -> DataFrame:
     names = ("min", "q1", "median", "q3", "max", "lower", "upper")
     rows = [(*box.split("|", 2), box, f["n"], *[float(f[k]) for k in names]) for box, f in fences.items()]
     schema = "measure string, `by` string, value string, box string, n bigint, "
-    stats = df.sparkSession.createDataFrame(rows, schema + ", ".join(f"{k}_value double" for k in names))
+    stats = small_table(df.sparkSession, rows, schema + ", ".join(f"{k}_value double" for k in names))
     limits = stats.select("box", F.col("lower_value").alias("low"), F.col("upper_value").alias("high"))
     outside = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
     counts = values.join(F.broadcast(limits), "box").groupBy("box").agg(F.count_if(outside).alias("n_outliers"))
@@ -237,7 +237,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for i, j in pairs:
         r = _pair_corr([p for p in patterns if p["known"] >> i & 1 and p["known"] >> j & 1], i, j)
         rows += [(cols[i], cols[j], r)] + ([(cols[j], cols[i], r)] if i != j else [])
-    table = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    table = small_table(df.sparkSession, rows, "col_a string, col_b string, corr double")
     return table.withColumn("corr", F.round("corr", 6))
 
 

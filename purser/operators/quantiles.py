@@ -13,6 +13,8 @@ from math import ceil, floor
 
 from pyspark.sql import DataFrame, functions as F
 
+from purser.session import small_table
+
 BINS = 1_024
 MAX_GROUPS = 100
 
@@ -70,7 +72,7 @@ def _narrow(data, open_ranks, found):
     group_type = data.schema["_g"].dataType.simpleString()
     intervals = list(open_ranks)
     rows = [(g, i, lo, hi) for i, (g, lo, hi, _) in enumerate(intervals)]
-    table = spark.createDataFrame(rows, f"_g {group_type}, i int, lo double, hi double")
+    table = small_table(spark, rows, f"_g {group_type}, i int, lo double, hi double")
     inside = data.join(F.broadcast(table), "_g").where(F.col("_x").between(F.col("lo"), F.col("hi")))
     share = (F.col("_x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
     slices = (

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from purser.functions.scalars import SPEND, ceil_double
 from purser.operators.groups import SLOT, group_aggregates, lookup_join, with_group_values
 from purser.operators.profile import groups_single_valued, mean_by
+from purser.session import small_table
 
 # A fitted table up to this many rows is carried in the plan and broadcast.
 MAX_FITTED_ROWS = 100_000
@@ -56,14 +57,17 @@ def propagate_group_value(df: DataFrame, key: str, cols: Sequence[str], order: s
     ``order``, which must be unique. A group without a known value gives null.
     """
 
-    def windowed(part: list[str]) -> dict[str, Column]:
-        return {c: F.max_by(c, f"_first_{c}").over(Window.partitionBy(*part)) for c in cols}
+    part = [key, SLOT] if SLOT in df.columns else [key]
+    along = Window.partitionBy(*part).orderBy(order)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    # Every window here has the same order, so the rows are sorted once.
+    marked = df.withColumns({
+        f"_new_{c}": F.when(~F.array_contains(F.collect_set(c).over(before), F.col(c)), F.col(c)) for c in cols
+    })
 
-    def first_seen(rows: DataFrame, part: list[str]) -> DataFrame:
-        return rows.withColumns({
-            f"_first_{c}": F.when(F.col(c).isNotNull(), F.min(order).over(Window.partitionBy(*part, c)))
-            for c in cols
-        })
+    def windowed(_: list[str]) -> dict[str, Column]:
+        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return {c: F.last(f"_new_{c}", ignorenulls=True).over(whole) for c in cols}
 
     def table(rows: DataFrame) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cols])
@@ -78,9 +82,7 @@ def propagate_group_value(df: DataFrame, key: str, cols: Sequence[str], order: s
               for c in cols]
         )
 
-    part = [key, SLOT] if SLOT in df.columns else [key]
-    prepared = first_seen(df, part)
-    return with_group_values(prepared, key, windowed, table).drop(*[f"_first_{c}" for c in cols])
+    return with_group_values(marked, key, windowed, table).drop(*[f"_new_{c}" for c in cols])
 
 
 def lookup_overwrite(df: DataFrame, key: str, col: str, order: str, **join) -> DataFrame:
@@ -116,7 +118,7 @@ class GroupMeans:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Fill missing values by the mean of the row's key combination."""
-        means = df.sparkSession.createDataFrame(list(self.rows), self.schema)
+        means = small_table(df.sparkSession, self.rows, self.schema)
         renamed = means.withColumnsRenamed({c: f"_mean_{c}" for c in self.cols})
         known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in self.keys])
 
@@ -158,7 +160,7 @@ def fill_group_mean(
 ) -> DataFrame:
     """Mean fill for any number of key combinations, by a shuffled join."""
     means = mean_by(df, keys, cols, ceil, zero_is_missing)
-    combined = F.struct(*keys)
+    combined = F.to_json(F.struct(*keys))
     lookup = means.select(combined.alias("_key"), *[F.col(c).alias(f"_mean_{c}") for c in cols])
     joined = lookup_join(df.withColumn("_key", combined), lookup, "_key", row_key, **join)
     return joined.withColumns({c: F.coalesce(c, f"_mean_{c}") for c in cols}).select(*df.columns)

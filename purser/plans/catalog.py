@@ -19,7 +19,7 @@ from purser.functions.scalars import (
 from purser.operators import evaluate, features, profile, repair
 from purser.plans import cleaning
 from purser.session import new_path
-from purser.sources.derived import manifest
+from purser.sources.derived import hot_groups, hot_orders, manifest
 from purser.sources.manifest import read_manifest, submission as as_submission, write_submission
 
 KEY, GROUP = cleaning.KEY, cleaning.GROUP
@@ -37,6 +37,12 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def with_hot_groups(spark, sf_dir, *columns, **kwargs):
+    """The manifest and its hot groups, looked for once."""
+    hot = hot_orders(spark, sf_dir)
+    return manifest(spark, sf_dir, *columns, hot=hot, **kwargs), hot_groups(hot)
+
+
 # Sources and sinks
 
 
@@ -60,9 +66,9 @@ def submission(spark, sf_dir):
 
 @query
 def select_model_columns(spark, sf_dir):
-    df = with_group(with_cabin_parts(manifest(spark, sf_dir)))
-    df = features.group_features(cleaning.by_group(df)).withColumn("TotalExpenses", total())
-    df = df.withColumn("Is_Spend", spend_label())
+    df, hot = with_hot_groups(spark, sf_dir)
+    df = features.group_features(cleaning.by_group(with_group(with_cabin_parts(df)), hot))
+    df = df.withColumn("TotalExpenses", total()).withColumn("Is_Spend", spend_label())
     return cleaning.model_columns(df, KEY, "Transported")
 
 
@@ -106,8 +112,8 @@ def filter_cryo_missing_total(spark, sf_dir):
 
 @query
 def join_group_features(spark, sf_dir):
-    df = with_group(manifest(spark, sf_dir, "VIP"))
-    return features.join_group_features(df, KEY)
+    df, hot = with_hot_groups(spark, sf_dir, "VIP")
+    return features.join_group_features(with_group(df), KEY, hot=hot)
 
 
 @query
@@ -118,20 +124,20 @@ def key_overlap(spark, sf_dir):
 
 @query
 def lookup_overwrite(spark, sf_dir):
-    df = with_group(manifest(spark, sf_dir, "Destination"), member=False)
-    return repair.lookup_overwrite(df, GROUP, "Destination", KEY)
+    df, hot = with_hot_groups(spark, sf_dir, "Destination")
+    return repair.lookup_overwrite(with_group(df, member=False), GROUP, "Destination", KEY, hot=hot)
 
 
 @query
 def semi_single_valued(spark, sf_dir):
-    df = with_group(manifest(spark, sf_dir, "Destination"), member=False)
-    return repair.semi_single_valued(df, GROUP, "Destination", KEY)
+    df, hot = with_hot_groups(spark, sf_dir, "Destination")
+    return repair.semi_single_valued(with_group(df, member=False), GROUP, "Destination", KEY, hot=hot)
 
 
 @query
 def impute_unique_in_group(spark, sf_dir):
-    df = repair.fill_if_unique(cleaning.by_group(manifest(spark, sf_dir, "Destination")), GROUP, "Destination")
-    return df.select(KEY, GROUP, "Destination")
+    df = cleaning.by_group(*with_hot_groups(spark, sf_dir, "Destination"))
+    return repair.fill_if_unique(df, GROUP, "Destination").select(KEY, GROUP, "Destination")
 
 
 # Aggregations
@@ -244,16 +250,21 @@ def age_histogram_by(spark, sf_dir):
 
 @query
 def box_stats(spark, sf_dir):
-    df = with_display_labels(manifest(spark, sf_dir, "Age", "VIP", "CryoSleep", "Transported", *SPEND, key=False))
-    df = df.withColumn("TotalExpenses", total())
-    boxes = [("TotalExpenses", "VIP"), ("Age", "Transported"), ("Age", "VIP"), ("Age", "CryoSleep")]
+    df = with_total(spark, sf_dir, "Age", "VIP", "CryoSleep", "Transported", key=False)
+    df = with_ratios(with_display_labels(df))
+    boxes = [("TotalExpenses", "VIP"), ("RatioRoomService", "VIP"),
+             ("Age", "Transported"), ("Age", "VIP"), ("Age", "CryoSleep")]
     return profile.box_stats(df, boxes)
 
 
 @query
 def outlier_rows(spark, sf_dir):
-    df = with_display_labels(manifest(spark, sf_dir, "VIP", *SPEND)).withColumn("TotalExpenses", total())
-    return profile.outlier_rows(df, "TotalExpenses", "VIP").select(KEY, "VIP", "TotalExpenses")
+    df = with_ratios(with_display_labels(with_total(spark, sf_dir, "VIP")))
+    rows = [
+        profile.outlier_rows(df, x, "VIP").select(KEY, "VIP", F.lit(x).alias("measure"), F.col(x).alias("value"))
+        for x in ("TotalExpenses", "RatioRoomService")
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @query
@@ -301,9 +312,10 @@ def fill_destination_test(spark, sf_dir):
 
 @query
 def propagate_group_value(spark, sf_dir):
-    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", "Destination"))
+    df, hot = with_hot_groups(spark, sf_dir, "HomePlanet", "Cabin", "Destination")
     cols = ("HomePlanet", "Side", "Destination")
-    return repair.propagate_group_value(cleaning.by_group(df), GROUP, cols, KEY).select(KEY, GROUP, *cols)
+    df = cleaning.by_group(with_cabin_parts(df), hot)
+    return repair.propagate_group_value(df, GROUP, cols, KEY).select(KEY, GROUP, *cols)
 
 
 @query
@@ -384,10 +396,11 @@ def is_spend(spark, sf_dir):
 
 @query
 def cut_group_size(spark, sf_dir):
-    df = features.group_features(cleaning.by_group(with_group(manifest(spark, sf_dir, "VIP"))))
-    sizes = features.group_table(with_group(manifest(spark, sf_dir, "VIP")))
-    bins = features.fit_cut(sizes, "GroupSize", 3, cleaning.SIZE_LABELS)
-    return bins.transform(df, to="SizeClass").select(KEY, "GroupSize", "SizeClass")
+    df, hot = with_hot_groups(spark, sf_dir, "VIP")
+    df = with_group(df)
+    bins = features.fit_cut(features.group_table(df), "GroupSize", 3, cleaning.SIZE_LABELS)
+    sized = features.group_features(cleaning.by_group(df, hot))
+    return bins.transform(sized, to="SizeClass").select(KEY, "GroupSize", "SizeClass")
 
 
 @query
@@ -430,19 +443,20 @@ def holdout_split(spark, sf_dir):
 
 @query
 def clean_train(spark, sf_dir):
-    return cleaning.clean_train(manifest(spark, sf_dir))
+    return cleaning.clean_train(*with_hot_groups(spark, sf_dir))
 
 
 @query
 def clean_test(spark, sf_dir):
-    df = cleaning.clean_score(manifest(spark, sf_dir).drop("Transported"))
-    return rounded(df, *SPEND, "TotalExpenses")
+    df, hot = with_hot_groups(spark, sf_dir)
+    return rounded(cleaning.clean_score(df.drop("Transported"), hot), *SPEND, "TotalExpenses")
 
 
 @query
 def train_features(spark, sf_dir):
-    df = cleaning.clean_train(manifest(spark, sf_dir))
-    df = cleaning.fit_features(df).transform(df)
+    df, hot = with_hot_groups(spark, sf_dir)
+    df = cleaning.clean_train(df, hot)
+    df = cleaning.fit_features(df).transform(df, hot)
     return rounded(cleaning.model_columns(df, KEY, "Transported", "Is_Single", ratios=True), *features.SCALED)
 
 

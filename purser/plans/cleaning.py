@@ -23,7 +23,7 @@ from purser.functions.scalars import (
 )
 from purser.operators import repair
 from purser.operators.features import Bins, OneHot, Scaler, fit_cut, fit_onehot, fit_qcut, fit_scale, group_features, group_table
-from purser.operators.groups import HOT_ROWS, SLOT, hot_keys, spread_hot_groups
+from purser.operators.groups import SLOT, HotKeys, spread_hot_groups
 from purser.session import written
 
 KEY = "PassengerId"
@@ -38,17 +38,16 @@ MODEL_COLUMNS = (
 )
 
 
-def by_group(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Name the group of each row and spread the groups too big for one task."""
-    grouped = split_passenger_id(df, member=False)
-    return spread_hot_groups(grouped, GROUP, KEY, hot_keys(grouped, GROUP, hot_rows))
+def by_group(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """Name the group of each row and spread the groups too big for one task (looked for when not given)."""
+    return spread_hot_groups(split_passenger_id(df, member=False), GROUP, KEY, hot)
 
 
-def clean_train(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def clean_train(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Training rows with every needed value known; rows that cannot be repaired are dropped."""
     df = repair.fill_constant(df, {"Name": "Unknown"})
     df = split_cabin(repair.drop_missing(df, ("HomePlanet", "Cabin"), "all"))
-    df = by_group(df, hot_rows)
+    df = by_group(df, hot)
     # Planet and side of a group come from the same rows, so one step serves both.
     df = repair.propagate_group_value(df, GROUP, ("HomePlanet", "Side"), KEY)
     df = repair.fill_by_rules(df, "HomePlanet", "Deck", repair.PLANET_BY_DECK)
@@ -64,10 +63,10 @@ def clean_train(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return repair.drop_missing(df, ("CryoSleep", "VIP"))
 
 
-def clean_score(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def clean_score(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Scoring rows with every needed value known; no row is dropped."""
     df = repair.fill_constant(df, {"Name": "Unknown"})
-    df = by_group(split_cabin(df, with_num=False), hot_rows)
+    df = by_group(split_cabin(df, with_num=False), hot)
     df = repair.propagate_group_value(df, GROUP, ("HomePlanet", "Side"), KEY)
     df = repair.fill_by_rules(df, "HomePlanet", "Deck", repair.PLANET_BY_DECK)
     df = repair.fill_constant(df, {k: repair.SCORING_CONSTANTS[k] for k in ("HomePlanet", "Side")})
@@ -94,9 +93,9 @@ class FeatureParams:
     scale: Scaler
     ratio_after_scale: bool = False
 
-    def transform(self, df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    def transform(self, df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
         """``df`` is a cleaned table; one exchange, for the group features."""
-        df = spread_hot_groups(df, GROUP, KEY, hot_keys(df, GROUP, hot_rows))
+        df = spread_hot_groups(df, GROUP, KEY, hot)
         df = group_features(df.withColumn("InGroupNumber", part(KEY, "_", 1))).drop("InGroupNumber", SLOT)
         if not self.ratio_after_scale:
             df = spend_ratios(df)

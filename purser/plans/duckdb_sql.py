@@ -146,6 +146,8 @@ _AGE_CLASS = """CASE WHEN Age <= q[1] THEN 'A' WHEN Age <= q[2] THEN 'B' WHEN Ag
   WHEN Age <= q[4] THEN 'D' WHEN Age IS NOT NULL THEN 'E' END"""
 _RATIO = "coalesce(CASE WHEN TotalExpenses <> 0 THEN {c} / TotalExpenses END, 0) AS Ratio{c}"
 
+_WITH_RATIO = f"dr AS (SELECT *, {_RATIO.format(c='RoomService')} FROM d)"
+
 _RULE = """scored AS (
   SELECT PassengerId, CAST(Transported AS INTEGER) AS label,
     CASE WHEN CryoSleep THEN 0.5 ELSE 0 END + CASE WHEN NOT VIP THEN 0.25 ELSE 0 END
@@ -169,9 +171,9 @@ def _box(x: str, by: str) -> str:
     return f"""SELECT '{x}' AS measure, '{by}' AS "by", v AS value, n, round(q[1], 6) AS min_value, round(q[2], 6) AS q1_value,
   round(q[3], 6) AS median_value, round(q[4], 6) AS q3_value, round(q[5], 6) AS max_value,
   round(q[2] - 1.5 * (q[4] - q[2]), 6) AS lower_value, round(q[4] + 1.5 * (q[4] - q[2]), 6) AS upper_value,
-  (SELECT count(*) FROM d WHERE d.{label} = v
+  (SELECT count(*) FROM dr WHERE dr.{label} = v
      AND ({x} < q[2] - 1.5 * (q[4] - q[2]) OR {x} > q[4] + 1.5 * (q[4] - q[2]))) AS n_outliers
-  FROM (SELECT {label} AS v, count({x}) AS n, quantile_cont({x}, [0, 0.25, 0.5, 0.75, 1]) AS q FROM d GROUP BY {label})"""
+  FROM (SELECT {label} AS v, count({x}) AS n, quantile_cont({x}, [0, 0.25, 0.5, 0.75, 1]) AS q FROM dr GROUP BY {label})"""
 
 
 def _corr_cell(a: str, b: str) -> str:
@@ -319,12 +321,18 @@ UNION ALL SELECT NULL, NULL, NULL, 0, CAST(sum(n) AS BIGINT), NULL FROM leaves""
             'SELECT dim AS "by", value, CAST(floor(Age / 5) * 5 AS DOUBLE) AS bin, count(*) AS n FROM vals '
             "WHERE Age IS NOT NULL GROUP BY ALL",
             "vals AS (" + _dim_rows({c: f"{c}_label" for c in ("Transported", "VIP", "CryoSleep")}, "Age") + ")"),
-        "box_stats": _sql(" UNION ALL ".join(
-            _box(x, by) for x, by in (("TotalExpenses", "VIP"), ("Age", "Transported"), ("Age", "VIP"), ("Age", "CryoSleep")))),
+        "box_stats": _sql(
+            " UNION ALL ".join(_box(x, by) for x, by in (
+                ("TotalExpenses", "VIP"), ("RatioRoomService", "VIP"), ("Age", "Transported"), ("Age", "VIP"),
+                ("Age", "CryoSleep"))),
+            _WITH_RATIO),
         "outlier_rows": _sql(
-            """SELECT PassengerId, VIP_label AS VIP, TotalExpenses FROM d JOIN fences USING (VIP_label)
-WHERE TotalExpenses < q[1] - 1.5 * (q[2] - q[1]) OR TotalExpenses > q[2] + 1.5 * (q[2] - q[1])""",
-            "fences AS (SELECT VIP_label, quantile_cont(TotalExpenses, [0.25, 0.75]) AS q FROM d GROUP BY VIP_label)"),
+            " UNION ALL ".join(
+                f"""SELECT PassengerId, VIP_label AS VIP, '{x}' AS measure, {x} AS value FROM dr JOIN (
+  SELECT VIP_label, quantile_cont({x}, [0.25, 0.75]) AS q FROM dr GROUP BY VIP_label) USING (VIP_label)
+WHERE {x} < q[1] - 1.5 * (q[2] - q[1]) OR {x} > q[2] + 1.5 * (q[2] - q[1])"""
+                for x in ("TotalExpenses", "RatioRoomService")),
+            _WITH_RATIO),
         "corr_matrix": _sql("SELECT col_a, col_b, corr FROM (" + " UNION ALL ".join(
             _corr_cell(a, b) if a != b else
             f"SELECT '{a}' AS col_a, '{a}' AS col_b, CAST(1 AS DOUBLE) AS corr" for a in _CORR for b in _CORR) + ")"),

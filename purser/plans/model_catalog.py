@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from purser.operators import evaluate, models, stacking
 from purser.operators.features import with_fold
 from purser.plans import cleaning, training
-from purser.plans.catalog import query
-from purser.sources.derived import manifest
+from purser.plans.catalog import query, with_hot_groups
+from purser.session import small_table
 
 _SETS: dict[tuple[str, str], training.TrainingSet] = {}
 
@@ -18,7 +18,8 @@ def training_set(spark, sf_dir) -> training.TrainingSet:
     """The written training set of this application: the model queries share one."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SETS:
-        _SETS[key] = training.training_set(manifest(spark, sf_dir, split="train"), ratios=True)
+        df, hot = with_hot_groups(spark, sf_dir, split="train")
+        _SETS[key] = training.training_set(df, ratios=True, hot=hot)
     return _SETS[key]
 
 
@@ -96,8 +97,9 @@ def score_holdout(spark, sf_dir):
 @query
 def score_manifest(spark, sf_dir):
     data = training_set(spark, sf_dir)
-    unlabelled = manifest(spark, sf_dir, split="score").drop("Transported")
-    return training.score_manifest(unlabelled, data.encoder, models.logistic(data.n_train).fit(data.train))
+    unlabelled, hot = with_hot_groups(spark, sf_dir, split="score")
+    model = models.logistic(data.n_train).fit(data.train)
+    return training.score_manifest(unlabelled.drop("Transported"), data.encoder, model, hot)
 
 
 @query
@@ -171,4 +173,4 @@ def training_curve(spark, sf_dir):
         ("LR", "loss"): models.logistic(data.n_train).fit(data.train).summary.objectiveHistory,
     }
     rows = [(m, c, i, float(v)) for (m, c), values in curves.items() for i, v in enumerate(values, 1)]
-    return spark.createDataFrame(rows, "model string, curve string, step int, value double")
+    return small_table(spark, rows, "model string, curve string, step int, value double")

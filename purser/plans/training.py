@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from purser.operators import models
 from purser.operators.evaluate import threshold_score
 from purser.operators.features import OneHot, holdout, with_fold
+from purser.operators.groups import HotKeys
 from purser.operators.models import scored
 from purser.operators.stacking import META, Stacking
 from purser.plans import cleaning
@@ -33,8 +34,8 @@ class Encoder:
         plain = [c for c in (*cleaning.MODEL_COLUMNS, *(cleaning.RATIOS if self.ratios else ())) if c not in encoded]
         return [*plain, *self.levels.columns()]
 
-    def transform(self, clean: DataFrame, *keep: str) -> DataFrame:
-        table = cleaning.model_columns(self.features.transform(clean), cleaning.KEY, *keep, ratios=self.ratios)
+    def transform(self, clean: DataFrame, *keep: str, hot: HotKeys | None = None) -> DataFrame:
+        table = cleaning.model_columns(self.features.transform(clean, hot), cleaning.KEY, *keep, ratios=self.ratios)
         table = self.levels.transform(table)
         vector = VectorAssembler(inputCols=self.names(), outputCol="features").transform(table)
         return vector.select(cleaning.KEY, *keep, "features")
@@ -63,10 +64,10 @@ class TrainingSet:
         return self.rows.where("split = 'val'")
 
 
-def training_set(manifest: DataFrame, ratios: bool = False) -> TrainingSet:
-    clean = cleaning.clean_train(manifest)
+def training_set(manifest: DataFrame, ratios: bool = False, hot: HotKeys | None = None) -> TrainingSet:
+    clean = cleaning.clean_train(manifest, hot)
     encoder = fit_encoder(clean, ratios)
-    rows = encoder.transform(clean, LABEL).withColumn("label", F.col(LABEL).cast("double")).drop(LABEL)
+    rows = encoder.transform(clean, LABEL, hot=hot).withColumn("label", F.col(LABEL).cast("double")).drop(LABEL)
     rows = written(with_fold(holdout(rows), FOLDS, seed=17), "training-set")
     return TrainingSet(rows, encoder, rows.where("split = 'train'").count())
 
@@ -85,7 +86,7 @@ def stacked(n_train: int) -> Stacking:
     return Stacking(base_models(n_train), models.gaussian_bayes(META), folds=FOLDS)
 
 
-def score_manifest(manifest: DataFrame, encoder: Encoder, model: Model) -> DataFrame:
+def score_manifest(manifest: DataFrame, encoder: Encoder, model: Model, hot: HotKeys | None = None) -> DataFrame:
     """Clean and encode an unlabelled manifest with parameters fitted in training, score it, cut at one half."""
-    rows = encoder.transform(cleaning.clean_score(manifest))
+    rows = encoder.transform(cleaning.clean_score(manifest, hot), hot=hot)
     return submission(scored(model, rows), threshold_score("score"))

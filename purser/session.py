@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def build_session(app: str = "purser", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,3 +61,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
+    """Driver rows as a table that is part of the plan: broadcasting it takes no job, and its size is known."""
+    fields = spark.createDataFrame([], schema).schema
+    if not rows:
+        return spark.createDataFrame([], fields)
+    columns = dict(zip(fields.names, map(list, zip(*rows, strict=True)), strict=True))
+    return spark.createDataFrame(pa.table(columns), fields)

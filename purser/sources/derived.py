@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from purser.functions.scalars import SPEND
-from purser.operators.groups import HOT_ROWS, number_rows
+from purser.operators.groups import HotKeys, hot_keys, number_rows
 from purser.sources.manifest import LABEL, TRAIN_SCHEMA
 
 # A column is missing where l_partkey is a multiple of its number.
@@ -68,13 +68,24 @@ def _values() -> dict[str, Column]:
     }
 
 
+def hot_orders(spark: SparkSession, sf_dir: str) -> HotKeys:
+    """Orders too big for one task."""
+    return hot_keys(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+def hot_groups(orders: HotKeys) -> HotKeys:
+    """The same orders by the group number of their passengers."""
+    renamed = orders.table and orders.table.select(_padded("l_orderkey", 7).alias("GroupNumber"), "_rows")
+    return orders._replace(key="GroupNumber", table=renamed)
+
+
 def manifest(
     spark: SparkSession,
     sf_dir: str,
     *columns: str,
     split: str | None = None,
     key: bool = True,
-    hot_rows: int = HOT_ROWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """PassengerId and the given columns (all when none are given) of the derived manifest.
 
@@ -91,7 +102,7 @@ def manifest(
         raise ValueError(f"split is one of {SPLITS}, not {split}")
     coarse = F.col("l_linenumber").cast("bigint") * F.lit(1 << 40) + F.col("l_partkey")
     if key:
-        rows = number_rows(rows, "l_orderkey", MEMBER_ORDER, coarse, hot_rows=hot_rows)
+        rows = number_rows(rows, "l_orderkey", MEMBER_ORDER, coarse, hot=hot)
     if {"HomePlanet", "Name"} & set(columns):
         orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         rows = rows.join(orders, "l_orderkey", "left")

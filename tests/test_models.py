@@ -1,0 +1,118 @@
+"""Models on a separable toy: better than the majority class, probabilities in range, folds honoured."""
+
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import functions as F
+
+from purser.operators import evaluate, features, models, stacking
+from purser.plans import training
+from purser.sources.derived import manifest
+
+
+@pytest.fixture(scope="module")
+def toy(spark):
+    x = spark.range(600).select(
+        F.concat(F.lpad(F.col("id").cast("string"), 4, "0"), F.lit("_01")).alias("PassengerId"),
+        F.randn(1).alias("a"), F.randn(2).alias("b"), F.rand(3).alias("c"),
+    )
+    x = x.withColumn("label", (F.col("a") + F.col("b") > 0.3).cast("double"))
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(x)
+    return features.with_fold(features.holdout(rows), 3, seed=17).cache()
+
+
+ESTIMATORS = {
+    "forest": lambda: models.random_forest(features=2),
+    "boosted": lambda: models.boosted_trees(rounds=5),
+    "margin": lambda: models.max_margin(600),
+    "logistic": lambda: models.logistic(600),
+    "bayes": models.gaussian_bayes,
+    "tree": models.decision_tree,
+    "ridge": lambda: models.ridge(600),
+    "perceptron": lambda: models.feed_forward(3, iterations=15),
+}
+
+
+def majority(df):
+    return max(r["count"] for r in df.groupBy("label").count().collect()) / df.count() * 100
+
+
+@pytest.mark.parametrize("name", sorted(ESTIMATORS))
+def test_beats_the_majority_class(toy, name):
+    model = ESTIMATORS[name]().fit(toy.where("split = 'train'"))
+    out = models.scored(model, toy)
+    report = evaluate.accuracy_by_split(out).first()
+    assert report["val_accuracy"] > majority(toy) + 15
+    assert set(out.columns) == {*toy.columns, "score", "prediction"}
+    if name not in ("margin", "ridge"):
+        assert out.where("score < 0 OR score > 1").count() == 0
+
+
+def test_same_seed_same_model(toy):
+    first, second = (
+        [r["score"] for r in models.scored(models.random_forest(features=2).fit(toy), toy).orderBy("PassengerId").collect()]
+        for _ in range(2)
+    )
+    assert first == second
+
+
+def bases():
+    return {"RF": models.random_forest(trees=5, features=2), "SVC": models.max_margin(600), "LR": models.logistic(600)}
+
+
+def test_out_of_fold_has_each_row_once(toy):
+    oof = stacking.out_of_fold(toy, bases(), 3)
+    assert oof.count() == toy.count() == oof.select("PassengerId").distinct().count()
+    # fold 0 is scored by a model that never saw it
+    blind = models.logistic(600).fit(toy.where("fold <> 0"))
+    expected = models.scored(blind, toy.where("fold = 0")).select("PassengerId", F.col("score").alias("expected"))
+    pairs = oof.join(expected, "PassengerId")
+    assert pairs.count() == toy.where("fold = 0").count()
+    assert pairs.where("abs(LR - expected) > 1e-9").count() == 0
+
+
+def test_stacking(toy):
+    model = stacking.Stacking(bases(), models.gaussian_bayes(stacking.META)).fit(toy.where("split = 'train'"))
+    out = models.scored(model, toy)
+    assert evaluate.accuracy_by_split(out).first()["val_accuracy"] > majority(toy) + 15
+    assert set(out.columns) == {*toy.columns, "score", "prediction"}
+
+
+def test_cross_validation_scores_each_row_once(toy):
+    out = models.held_out_scores(features.with_fold(toy, 5, seed=5), models.logistic(600))
+    assert out.count() == toy.count()
+    summary = evaluate.cv_summary(evaluate.fold_scores(out)).first()
+    assert summary["folds"] == 5 and summary["mean"] > 90
+
+
+def test_grid_search_orders_by_score(toy):
+    trees = models.boosted_trees(rounds=3)
+    grid = ParamGridBuilder().addGrid(trees.maxDepth, [1, 3]).build()
+    table, best = models.grid_search(toy, trees, grid)
+    scores = [r["mean_score"] for r in table.collect()]
+    assert scores == sorted(scores, reverse=True)
+    assert f"maxDepth={best.getMaxDepth()}" in table.first()["params"]
+
+
+def test_feature_importance_is_descending(spark, toy):
+    for estimator in (models.decision_tree(), models.logistic(600)):
+        table = models.feature_importance(spark, estimator.fit(toy), ["a", "b", "c"]).collect()
+        assert {r["Features"] for r in table[:2]} == {"a", "b"}
+        assert table[0]["Importance"] >= table[1]["Importance"] >= table[2]["Importance"]
+
+
+def test_batch_and_stream_scoring_agree(spark, sf_dir, tmp_path):
+    from purser.streaming.scoring import manifest_stream, score_stream
+
+    data = training.training_set(manifest(spark, sf_dir, split="train"), ratios=True)
+    model = models.logistic(data.n_train).fit(data.train)
+    unlabelled = manifest(spark, sf_dir, split="score").drop("Transported").cache()
+    inbox = tmp_path / "inbox"
+    unlabelled.coalesce(1).write.csv(str(inbox), header=True)
+    expected = sorted(map(tuple, training.score_manifest(unlabelled, data.encoder, model).collect()))
+    query = score_stream(manifest_stream(spark, str(inbox)), data.encoder, model, str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination(300)
+    assert query.exception() is None
+    got = spark.read.schema("PassengerId string, Transported boolean").csv(str(tmp_path / "out" / "batch=0"), header=True)
+    assert sorted(map(tuple, got.collect())) == expected
+    assert len(expected) == unlabelled.count()
