@@ -9,7 +9,7 @@ from purser.operators import evaluate, models, stacking
 from purser.operators.features import with_fold
 from purser.plans import cleaning, training
 from purser.plans.catalog import query, with_hot_groups
-from purser.session import small_table
+from purser.session import on_all_cores, small_table
 
 _SETS: dict[tuple[str, str], training.TrainingSet] = {}
 
@@ -78,7 +78,8 @@ def model_ridge(spark, sf_dir):
 @query
 def model_mlp(spark, sf_dir):
     data = training_set(spark, sf_dir)
-    return fit_and_check("MLP", models.feed_forward(len(data.encoder.names())), data)
+    model = models.feed_forward(len(data.encoder.names())).fit(on_all_cores(data.train, cleaning.KEY))
+    return quality("MLP", model, data)
 
 
 @query

@@ -63,6 +63,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least a partition per core, for fits that cost far more CPU than reading.
+
+    Only a table of a few megabytes is shuffled for it; a large one already has its splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
     """Driver rows as a table that is part of the plan: broadcasting it takes no job, and its size is known."""
     fields = spark.createDataFrame([], schema).schema
