@@ -96,7 +96,7 @@ def gnb_parameters(df: DataFrame, cols: list[str], label: str = "label") -> Data
     cells = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.var_pop(c).alias("variance")) for c in cols
     ])
-    total = df.agg(F.count(label)).scalar()
-    classes = df.groupBy(label).agg((F.count(F.lit(1)) / total).alias("prior"), cells.alias("cells"))
-    rows = classes.select(label, "prior", F.inline("cells"))
+    classes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), cells.alias("cells"))
+    total = classes.agg(F.sum("n")).scalar()
+    rows = classes.select(label, (F.col("n") / total).alias("prior"), F.inline("cells"))
     return rows.select(label, "feature", *[F.round(c, 6).alias(c) for c in ("prior", "mean", "variance")])

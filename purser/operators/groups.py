@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purser.session import small_table
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 100_000
 MAX_HOT_KEYS = 10_000
 MAX_CUTS = 4_096
 SLOT = "_slot"

@@ -73,7 +73,7 @@ def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
 def value_share(df: DataFrame, col: str) -> DataFrame:
     """Rows and percentage per known value."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(col)).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, 6))
 
 

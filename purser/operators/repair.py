@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from purser.functions.scalars import SPEND, ceil_double
 from purser.operators.groups import SLOT, group_aggregates, lookup_join, with_group_values
 from purser.operators.profile import groups_single_valued, mean_by
-from purser.session import small_table
+from purser.session import small_table, written
 
-# A fitted table up to this many rows is carried in the plan and broadcast.
+# A fitted table of up to this many rows is carried in the plan and broadcast.
 MAX_FITTED_ROWS = 100_000
 
 # Planet by deck, and the most frequent deck of a planet.
@@ -108,25 +108,32 @@ def semi_single_valued(df: DataFrame, key: str, col: str, row_key: str, **join)
 
 @dataclass(frozen=True)
 class GroupMeans:
-    """Fitted means per key combination."""
+    """Fitted means per key combination: rows carried in the plan, or a written table when they are many."""
 
     keys: tuple[str, ...]
     cols: tuple[str, ...]
     schema: T.StructType
     rows: tuple[tuple, ...]
+    table: DataFrame | None = None
     ceil_all: bool = False
+    row_key: str = "PassengerId"
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Fill missing values by the mean of the row's key combination."""
-        means = small_table(df.sparkSession, self.rows, self.schema)
-        renamed = means.withColumnsRenamed({c: f"_mean_{c}" for c in self.cols})
+        means = {c: f"_mean_{c}" for c in self.cols}
+        if self.table is None:
+            table = small_table(df.sparkSession, self.rows, self.schema).withColumnsRenamed(means)
+            joined = df.join(F.broadcast(table), list(self.keys), "left")
+        else:
+            key = F.to_json(F.struct(*self.keys))
+            table = self.table.select(key.alias("_key"), *[F.col(c).alias(m) for c, m in means.items()])
+            joined = lookup_join(df.withColumn("_key", key), table, "_key", self.row_key)
         known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in self.keys])
 
         def filled(c: str) -> Column:
-            value = F.coalesce(c, f"_mean_{c}")
+            value = F.coalesce(c, means[c])
             return F.when(known, ceil_double(value)) if self.ceil_all else value
 
-        joined = df.join(F.broadcast(renamed), list(self.keys), "left")
         return joined.withColumns({c: filled(c) for c in self.cols}).select(*df.columns)
 
 
@@ -137,33 +144,22 @@ def fit_group_means(
     ceil: bool = True,
     zero_is_missing: bool = True,
     ceil_all: bool = False,
+    max_rows: int = MAX_FITTED_ROWS,
+    row_key: str = "PassengerId",
 ) -> GroupMeans:
-    """Means per key combination, at most ``MAX_FITTED_ROWS`` of them (checked).
+    """Means per key combination: broadcast up to ``max_rows`` of them (counted), a shuffled join beyond.
 
     ``ceil_all`` also rounds up observed values, and clears the rows whose key is missing.
+    ``row_key`` spreads the rows of a hot combination in the shuffled join.
     """
     means = mean_by(df, keys, cols, ceil and not ceil_all, zero_is_missing)
-    rows = means.limit(MAX_FITTED_ROWS + 1).collect()
-    if len(rows) > MAX_FITTED_ROWS:
-        raise ValueError(f"more than {MAX_FITTED_ROWS} combinations of {list(keys)}: use fill_group_mean")
-    return GroupMeans(tuple(keys), tuple(cols), means.schema, tuple(tuple(r) for r in rows), ceil_all)
-
-
-def fill_group_mean(
-    df: DataFrame,
-    keys: Sequence[str],
-    cols: Sequence[str],
-    row_key: str,
-    ceil: bool = True,
-    zero_is_missing: bool = True,
-    **join,
-) -> DataFrame:
-    """Mean fill for any number of key combinations, by a shuffled join."""
-    means = mean_by(df, keys, cols, ceil, zero_is_missing)
-    combined = F.to_json(F.struct(*keys))
-    lookup = means.select(combined.alias("_key"), *[F.col(c).alias(f"_mean_{c}") for c in cols])
-    joined = lookup_join(df.withColumn("_key", combined), lookup, "_key", row_key, **join)
-    return joined.withColumns({c: F.coalesce(c, f"_mean_{c}") for c in cols}).select(*df.columns)
+    rows = means.limit(max_rows + 1).collect()
+    table = None
+    if len(rows) > max_rows:
+        rows, table = [], written(means, "group-means")
+    return GroupMeans(
+        tuple(keys), tuple(cols), means.schema, tuple(tuple(r) for r in rows), table, ceil_all, row_key
+    )
 
 
 @dataclass(frozen=True)

@@ -418,8 +418,8 @@ def standardize_spend(spark, sf_dir):
 ENCODED = ("HomePlanet", "Destination", "Deck", "Side")
 
 
-def to_encode(spark, sf_dir, split=None):
-    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", "Destination", "VIP", split=split))
+def to_encode(spark, sf_dir):
+    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", "Destination", "VIP"))
     return df.select(KEY, "VIP", *ENCODED)
 
 
@@ -431,9 +431,9 @@ def one_hot(spark, sf_dir):
 
 @query
 def one_hot_aligned(spark, sf_dir):
-    """Levels of the training rows without the last planet, so that the scoring rows bring a new one."""
-    train = to_encode(spark, sf_dir, "train").where("HomePlanet <> 'Mars' OR HomePlanet IS NULL")
-    return features.fit_onehot(train, ENCODED).transform(to_encode(spark, sf_dir, "score"))
+    """Levels fitted on passengers of two planets, applied to all: the third planet is new to them."""
+    df = to_encode(spark, sf_dir)
+    return features.fit_onehot(df.where(F.col("HomePlanet").isin("Earth", "Europa")), ENCODED).transform(df)
 
 
 @query

@@ -389,7 +389,7 @@ FROM d LEFT JOIN ages USING (HomePlanet)""",
             f"SELECT PassengerId, Age, {_AGE_CLASS} AS AgeClass FROM d CROSS JOIN age_edges", _AGE_EDGES.format(source="d")),
         "standardize_spend": _sql(f"SELECT PassengerId, {_each(z, SCALED)} FROM d"),
         "one_hot": _sql(_one_hot("d", _LEVELS)),
-        "one_hot_aligned": _sql(_one_hot("d WHERE scoring", {**_LEVELS, "HomePlanet": ("Earth", "Europa")})),
+        "one_hot_aligned": _sql(_one_hot("d", {**_LEVELS, "HomePlanet": ("Earth", "Europa")})),
         "holdout_split": _sql(
             f"SELECT PassengerId, Transported, CASE WHEN {split_hash} % 10000 < 1500 THEN 'val' ELSE 'train' END AS split FROM d"),
         "clean_train": _sql("SELECT * FROM clean", *_CLEAN_TRAIN),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -20,7 +21,6 @@ def build_session(app: str = "purser", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.ui.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -39,11 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="purser-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder(context.applicationId)
     return folder
 
 
+@cache
+def _local_folder(app: str) -> str:
+    return tempfile.mkdtemp(prefix=f"purser-{app}-")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder, under this application's id."""
     app = spark.sparkContext.applicationId

@@ -58,6 +58,20 @@ def test_propagate(skewed):
     assert out.where("g IS NULL AND v IS NOT NULL").count() == 0
 
 
+def test_propagate_against_brute_force(skewed):
+    """A dict filled from the distinct pairs in first-seen order: later pairs overwrite earlier ones."""
+    lookup = {}
+    for r in sorted(skewed.collect(), key=lambda r: r["id"]):
+        pair = (r["g"], r["v"])
+        if None not in pair and pair not in lookup:
+            lookup[pair] = len(lookup)
+    value = {g: v for g, v in lookup}
+    expected = sorted((r["id"], value.get(r["g"])) for r in skewed.collect())
+    for hot in (none_hot(skewed), some_hot(skewed)):
+        out = repair.propagate_group_value(groups.spread_hot_groups(skewed, "g", "id", hot), "g", ["v"], "id")
+        assert sorted((r["id"], r["v"]) for r in out.collect()) == expected
+
+
 def test_fill_if_unique(skewed):
     def run(hot):
         spread = groups.spread_hot_groups(skewed, "g", "id", hot)
