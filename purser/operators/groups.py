@@ -57,14 +57,14 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys:
 def spread_hot_groups(df: DataFrame, key: str, row_key: str | Column, hot: HotKeys | None = None) -> DataFrame:
     """Add the slot column when there are hot groups; return ``df`` itself when not.
 
-    The slot is null in ordinary groups and a hash of ``row_key`` in hot ones, with
-    one slot per ``hot_rows`` rows.
+    The slot is null in ordinary groups and a hash of ``row_key`` in hot ones. There are
+    ten per ``hot_rows`` rows, so that they fall evenly on the shuffle's partitions.
     """
     hot = hot or hot_keys(df, key)
     if hot.table is None:
         return df
     rows = F.when(F.col(key).isNull(), F.lit(hot.null_rows or None)).otherwise(F.col("_rows"))
-    slot = F.pmod(F.xxhash64(row_key), F.ceil(rows / hot.hot_rows)).cast("int")
+    slot = F.pmod(F.xxhash64(row_key), F.ceil(rows * 10 / hot.hot_rows)).cast("int")
     return df.join(F.broadcast(hot.table), key, "left").select(*df.columns, slot.alias(SLOT))
 
 
