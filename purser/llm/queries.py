@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from purser.llm import token_shards
+from purser.llm import language, packing, pieces, secrets, token_shards, toxicity
 from purser.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,30 @@ def query(f):
 def op10_token_shards(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return token_shards.read_token_shards(token_shards.write_token_shards(table(spark, sf_dir, "documents"), vocabulary))
+
+
+@query
+def op2_sentencepiece(spark, sf_dir):
+    return pieces.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit_language(docs))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_secrets(spark, sf_dir):
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
