@@ -124,10 +124,10 @@ def _candidates(keyed: DataFrame, queries: dict[str, Clauses], block_docs: int)
     def met(clauses: Clauses) -> Column:
         return reduce(F.array_intersect, [reduce(F.array_union, map(way, ways)) for ways in clauses])
 
-    found = F.flatten(F.array(*[
-        F.transform(met(clauses), lambda key, kind=kind: F.struct(key.alias("key"), F.lit(kind).alias("kind")))
-        for kind, clauses in queries.items()
-    ]))
+    def named(kind: str) -> Column:
+        return F.transform(met(queries[kind]), lambda key: F.struct(key.alias("key"), F.lit(kind).alias("kind")))
+
+    found = F.flatten(F.array(*map(named, queries)))
     pairs = postings.select(F.explode(found).alias("pair")).select("pair.*")
     return pairs.groupBy("key").agg(*[F.max(F.col("kind") == kind).alias(f"may_{kind}") for kind in queries])
 
@@ -180,9 +180,11 @@ def report(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row: how many spans of each kind, all spans as text, and the digest of the spans."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     written = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)
-    ]
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(rules)]
     out = found.select("doc_id", *counts, written.alias("spans"))
     return out.withColumn("base_sha256", F.sha2("spans", 256))
 

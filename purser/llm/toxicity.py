@@ -1,6 +1,7 @@
 """Toxicity of a text from its nearest labelled examples.
 
-Terms are the words that go with the label (chi-square over a bounded sample of labelled rows). Examples and texts
+Terms are the words, and the beginnings of words, that go with the label (chi-square over a bounded sample of labelled
+rows); a beginning ("abcd*") stands for all inflections of a stem, also unseen ones. Examples and texts
 are TF-IDF vectors over these terms, with document frequencies from the whole corpus. The examples are
 held in an inverted index whose lists are cut into blocks of examples; each term has its largest weight per block. For a
 text, the blocks are scored in the order of their bound (the weighted sum of those maxima) until no bound
@@ -29,6 +30,9 @@ WORD = re.compile(r"[^\W\d_]+")
 #: The sample of labelled rows that is fitted on: so many of each class at most, lowest id hashes first.
 SAMPLE_PER_CLASS = 8_192
 MAX_TERMS = 4_096
+#: Lengths of the beginnings of words that are terms.
+BEGINNINGS = (3, 4, 5)
+MAX_REMEMBERED = 400_000
 MIN_CHI_SQUARE = 30.0
 BLOCK = 64
 NEIGHBOURS = 16
@@ -37,6 +41,30 @@ PRIOR_VOTES = 0.5
 THRESHOLD = 0.3
 
 
+class WordTerms(dict):
+    """The terms of a word: itself and its beginnings, as far as they are in ``chosen`` (all, where that is None)."""
+
+    def __init__(self, chosen: frozenset[str] | None = None):
+        super().__init__()
+        self._chosen = chosen
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        terms = (word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n))
+        if self._chosen is not None:
+            terms = tuple(t for t in terms if t in self._chosen)
+        if len(self) > MAX_REMEMBERED:
+            self.clear()
+        self[word] = terms
+        return terms
+
+    def count(self, text: str) -> Counter:
+        """How often each term is in a text."""
+        times = Counter()
+        for terms in filter(None, map(self.__getitem__, WORD.findall(text.lower()))):
+            times.update(terms)
+        return times
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     """Terms with their inverse document frequencies, the indexed examples, and the calibration."""
@@ -100,11 +128,9 @@ class BlockMaxIndex:
                 places.append(at % BLOCK)
                 values.append(w)
                 self.highest[key[1], key[0]] = max(self.highest[key[1], key[0]], w)
+        self.terms = WordTerms(frozenset(self.term))
         self.lists = {k: (np.array(p), np.array(v)) for k, (p, v) in lists.items()}
 
-    def terms(self, text: str) -> Counter:
-        return Counter(w for w in WORD.findall(text.lower()) if w in self.term)
-
     def nearest(self, times: Counter, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k largest positive cosines and their examples; of equal ones the first examples."""
         vector = [(self.term[t], w) for t, w in weights(times, self.model.idf).items()]
@@ -134,7 +160,7 @@ class BlockMaxIndex:
         return toxic / total
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        times = self.terms(text)
+        times = self.terms.count(text)
         key = tuple(sorted(times.items()))
         if key not in self.remembered:
             near = self.nearest(times)
@@ -171,12 +197,13 @@ def isotonic(points: list[tuple[float, int, float]]) -> tuple[tuple[float, float
 
 
 def _example_terms(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, word, times) of each labelled row's whole text."""
+    """(doc_id, label, word, times) of the terms of each labelled row's whole text."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = WordTerms()
         for batch in batches:
             for doc, label, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "label", "text")), strict=True):
-                times = Counter(WORD.findall(text.lower()))
+                times = terms.count(text)
                 yield pa.record_batch(
                     [pa.array([doc] * len(times), pa.int64()), pa.array([label] * len(times), pa.int32()),
                      pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64())],
@@ -185,15 +212,15 @@ def _example_terms(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(words, "doc_id long, label int, word string, times long")
 
 
-def document_frequencies(texts: DataFrame, terms: set[str]) -> tuple[int, dict[str, int]]:
+def document_frequencies(texts: DataFrame, terms: frozenset[str]) -> tuple[int, dict[str, int]]:
     """Number of rows, and of those whose text has each term; counted over all rows, one sum for each batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen = 0, Counter()
+        n, seen, of_word = 0, Counter(), WordTerms(terms)
         for batch in batches:
             n += batch.num_rows
             for text in batch["text"]:
-                seen.update(terms.intersection(WORD.findall(text.as_py().lower())))
+                seen.update(of_word.count(text.as_py()).keys())
         yield pa.record_batch(
             [pa.array([None, *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["word", "n"])
 
@@ -245,8 +272,8 @@ def fit_toxicity(
     return ToxicityModel(idf, examples, model.class_weight, share_without, _calibration(model, without, each))
 
 
-def _chosen_terms(words: DataFrame, size: dict[int, int]) -> set[str]:
-    """The words whose presence and the label are dependent, strongest first."""
+def _chosen_terms(words: DataFrame, size: dict[int, int]) -> frozenset[str]:
+    """The terms whose presence and the label are dependent, strongest first."""
     n, positive = float(size[0] + size[1]), float(size[1])
     counts = words.groupBy("word").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("a"))
@@ -254,7 +281,7 @@ def _chosen_terms(words: DataFrame, size: dict[int, int]) -> set[str]:
     spread = F.col("n") * (n - F.col("n")) * positive * (n - positive)
     strength = F.when(spread > 0, off * off * n / spread)
     top = counts.select("word", strength.alias("chi")).where(F.col("chi") >= MIN_CHI_SQUARE)
-    return {r["word"] for r in top.orderBy(F.desc("chi"), "word").limit(MAX_TERMS).collect()}
+    return frozenset(r["word"] for r in top.orderBy(F.desc("chi"), "word").limit(MAX_TERMS).collect())
 
 
 def _calibration(model: ToxicityModel, without: list[int], each: tuple[float, ...]) -> tuple[tuple[float, float], ...]:
