@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from purser.llm import language, packing, pieces, secrets, token_shards, toxicity
+from purser.llm import language, minhash, packing, pieces, secrets, token_shards, toxicity
 from purser.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op4_secrets(spark, sf_dir):
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op1_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
