@@ -16,8 +16,8 @@ from purser.session import written
 
 #: The band of the terms' shares of documents.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.2
-#: For each sub-lexicon: a term is in it if the byte at this place of its MD5 is below this.
-SUBSETS = tuple((i, (128, 32, 8, 2)[i % 4]) for i in range(16))
+#: For each sub-lexicon: the place of a byte of the MD5, in hexadecimal digits from 1, and what it must be below.
+SUBSETS = tuple((2 * i + 1, ("80", "20", "08", "02")[i % 4]) for i in range(16))
 NONE = "--------"
 SEPARATOR = r"[^\p{L}\p{N}]+"
 #: A lexicon of at most so many rows is broadcast (some 10 MB); a larger one is joined by a shuffle.
@@ -35,20 +35,15 @@ def lexicon(docs: DataFrame, n_docs: int, text: str = "text") -> DataFrame:
     return seen.where((F.col("n") >= LEAST_SHARE * n_docs) & (F.col("n") <= MOST_SHARE * n_docs)).select("term")
 
 
-def _byte(term: Column, place: int) -> Column:
-    return F.conv(F.substring(F.md5(term), 2 * place + 1, 2), 16, 10).cast("int")
+def fingerprint(found: Column, otherwise: Column) -> Column:
+    """The hashes of a document's sorted lexicon terms, or the other digest for each where it has none."""
 
-
-def _hash(found: Column, every: Column, text: Column) -> Column:
-    """The hashes of a document's sorted lexicon terms; without any, of all its terms; without those, of its text."""
-    known = F.when(F.size(found) > 0, found).otherwise(every)
-
-    def one(place: int, below: int) -> Column:
-        own = F.filter(known, lambda t: _byte(t, place) < below)
+    def one(place: int, below: str) -> Column:
+        own = F.filter(found, lambda t: F.substring(F.md5(t), place, 2) < below)
         return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ")), 1, 8)).otherwise(NONE)
 
-    alone = F.array_repeat(F.substring(F.md5(text), 1, 8), len(SUBSETS))
-    return F.array_join(F.when(F.size(known) > 0, F.array(*[one(*s) for s in SUBSETS])).otherwise(alone), ".")
+    alone = F.array_repeat(F.substring(otherwise, 1, 8), len(SUBSETS))
+    return F.array_join(F.when(F.size(found) > 0, F.array(*[one(*s) for s in SUBSETS])).otherwise(alone), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,16 +70,17 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         "place": F.row_number().over(by_id), "next_text": F.lead("text").over(by_id),
     })
     # One row for each part.
+    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(inside)).alias("part")
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = ids.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(inside)))
-    heads = ids.groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")).alias("head"))
+    lowest = ids.groupBy(part).agg(F.min("doc_id").alias("low"))
+    heads = ids.join(F.broadcast(lowest), F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("part").agg(F.min("text").alias("text"))
     by_part = Window.orderBy("part")
     everything = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(
         "part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(everything)).alias("head_part"),
-        F.coalesce(F.lead("head.text").over(by_part), F.first("head.text").over(everything)).alias("head_text"))
+        F.coalesce(F.lead("text").over(by_part), F.first("text").over(everything)).alias("head_text"))
     last = F.col("next_text").isNull()
-    return rows.join(heads, "part").select(
+    return rows.join(F.broadcast(heads), "part").select(
         "part", "place", "doc_id", "text",
         F.when(last, F.col("head_part")).otherwise(F.col("part")).alias("next_part"),
         F.when(last, F.lit(1)).otherwise(F.col("place") + 1).alias("next_place"),
@@ -108,9 +104,75 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     words = lexicon(docs.where(F.col(text).isNotNull()), docs.count(), text)
     words = written(words, "lexicon")
     words = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
+    versions = F.array(
+        F.struct(F.lit(0).alias("version"), F.col("text").alias("body")),
+        F.struct(F.lit(1).alias("version"), F.col("edited").alias("body")))
     both = rows.select(
         "part", "place", "doc_id", "next_part", "next_place", F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("body")),
-                          F.struct(F.lit(1).alias("version"), F.col("edited").alias("body")))).alias("v"))
-    return both
+        F.sha2("edited", 256).alias("edited_sha256"), F.explode(versions).alias("v"))
+    both = both.withColumn("terms", terms("v.body"))
+    every = F.when(F.size("terms") > 0, F.array_join(F.sort_array("terms"), " ")).otherwise(F.col("v.body"))
+    carried = ("doc_id", "next_part", "next_place", "n_chars", "edited_sha256", "otherwise")
+    spread = both.withColumn("otherwise", F.md5(every)).select(
+        "part", "place", "v.version", *carried, F.posexplode_outer("terms").alias("pos", "term"))
+    known = spread.join(words.withColumn("known", F.col("term")), "term", "left").where("known is not null or coalesce(pos, 0) = 0")
+    # All of this happens inside the parts: their rows are together since they were numbered.
+    prints = known.groupBy("part", "place", "version").agg(
+        F.sort_array(F.collect_list("known")).alias("found"), *[F.first(c).alias(c) for c in carried])
+    prints = prints.withColumn("print", fingerprint(F.col("found"), F.col("otherwise")))
+    of = {v: F.max(F.when(F.col("version") == v, F.col("print"))) for v in (0, 1)}
+    prints = prints.groupBy("part", "place").agg(
+        of[0].alias("fingerprint"), of[1].alias("edited_fingerprint"), *[F.first(c).alias(c) for c in carried[:-1]])
+    prints = written(prints, "fingerprints")
+    after = prints.select(
+        F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
+    return prints.join(after, ["next_part", "next_place"]).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
+_SUBSETS_SQL = ", ".join(
+    f"coalesce(left(md5(nullif(array_to_string(list_filter(found, lambda t: substr(md5(t), {place}, 2) < '{below}'), ' '), '')), 8), '{NONE}')"
+    for place, below in SUBSETS)
+
+#: DuckDB SQL for ``fingerprint_documents`` over ``documents``.
+SQL = f"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS place FROM documents),
+n AS (SELECT count(*) AS n FROM ordered),
+pairs AS (
+  SELECT a.doc_id, a.place, a.place % n + 1 AS next_place, a.text, b.text AS next_text, length(a.text) AS n_chars,
+    length(a.text) // 2 AS half
+  FROM n, ordered a JOIN ordered b ON b.place = a.place % n + 1),
+bodies AS (
+  SELECT place, 0 AS version, text AS body FROM pairs
+  UNION ALL SELECT place, 1, left(text, n_chars - half) || left(next_text, half) FROM pairs),
+terms AS (
+  SELECT *, list_sort(list_distinct(list_filter(string_split_regex(lower(body), '{SEPARATOR}'), lambda t: t <> ''))) AS terms FROM bodies),
+seen AS (SELECT unnest(terms) AS term FROM terms WHERE version = 0),
+lexicon AS (
+  SELECT term FROM seen GROUP BY term
+  HAVING count(*) >= {LEAST_SHARE} * (SELECT n FROM n) AND count(*) <= {MOST_SHARE} * (SELECT n FROM n)),
+spread AS (SELECT place, version, unnest(terms) AS term FROM terms),
+kept AS (SELECT place, version, list(term ORDER BY term) AS found FROM spread JOIN lexicon USING (term) GROUP BY ALL),
+prints AS (
+  SELECT place, version, CASE WHEN found IS NULL
+    THEN array_to_string(list_transform(range({len(SUBSETS)}), lambda i: left(md5(
+      CASE WHEN len(terms) > 0 THEN array_to_string(terms, ' ') ELSE body END), 8)), '.')
+    ELSE array_to_string([{_SUBSETS_SQL}], '.') END AS p, body
+  FROM terms LEFT JOIN kept USING (place, version)),
+sides AS (
+  SELECT p.doc_id, p.n_chars, a.p AS fingerprint, b.p AS edited_fingerprint, c.p AS next_fingerprint, sha256(b.body) AS edited_sha256
+  FROM pairs p JOIN prints a ON a.place = p.place AND a.version = 0 JOIN prints b ON b.place = p.place AND b.version = 1
+  JOIN prints c ON c.place = p.next_place AND c.version = 0),
+zipped AS (
+  SELECT *, list_filter(list_zip(string_split(fingerprint, '.'), string_split(edited_fingerprint, '.')), lambda x: x[1] <> '{NONE}' OR x[2] <> '{NONE}') AS e,
+    list_filter(list_zip(string_split(fingerprint, '.'), string_split(next_fingerprint, '.')), lambda x: x[1] <> '{NONE}' OR x[2] <> '{NONE}') AS f
+  FROM sides)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint THEN 1.0 WHEN len(e) = 0 THEN 0.0
+    ELSE CAST(len(list_filter(e, lambda x: x[1] = x[2])) AS DOUBLE) / len(e) END AS near_edited,
+  CASE WHEN fingerprint = next_fingerprint THEN 1.0 WHEN len(f) = 0 THEN 0.0
+    ELSE CAST(len(list_filter(f, lambda x: x[1] = x[2])) AS DOUBLE) / len(f) END AS near_next
+FROM zipped"""

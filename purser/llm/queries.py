@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from purser.llm import language, minhash, packing, pieces, secrets, token_shards, toxicity
+from purser.llm import fingerprints, language, minhash, packing, pieces, secrets, token_shards, toxicity
 from purser.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,12 @@ def op4_secrets(spark, sf_dir):
 @query
 def op1_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_secrets"] = secrets.SQL
+ORACLE["op5_fingerprints"] = fingerprints.SQL

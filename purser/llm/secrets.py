@@ -201,3 +201,28 @@ def masked_text(text: str = "text", spans: str = "spans", mask: str = MASK) -> C
     return F.aggregate(
         spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
         lambda seen: F.concat(seen["out"], source.substr(seen["at"] + 1, F.length(source))))
+
+
+def _spans_sql(rule: Rule, rank: int) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+m{rank} AS (
+  SELECT doc_id, row, regexp_extract_all(text, '{pattern}') AS whole, regexp_extract_all(text, '{pattern}', {rule.group}) AS tested,
+    string_split_regex(text, '{pattern}') AS between FROM d),
+s{rank} AS (
+  SELECT row, {rank} AS rank, unnest(list_filter(list_transform(whole, lambda x, i: {{
+    'start': list_sum(list_transform(between[:i], lambda y: length(y))) + coalesce(list_sum(list_transform(whole[:i - 1], lambda y: length(y))), 0),
+    'size': length(x), 'tested': length(tested[i])}}), lambda s: s.tested >= {rule.least})) AS s FROM m{rank})"""
+
+
+#: DuckDB SQL for ``report`` of RULES over ``documents``.
+SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),"
+    + ",".join(_spans_sql(r, i) for i, r in enumerate(RULES))
+    + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(RULES))) + "), "
+    + "named AS (SELECT row, rank, CAST(s.start AS BIGINT) AS a, CAST(s.start + s.size AS BIGINT) AS b FROM every), grouped AS (SELECT row, "
+    + ", ".join(f"count(*) FILTER (rank = {i}) AS n_{r.kind}" for i, r in enumerate(RULES))
+    + f", string_agg({[r.kind for r in RULES]}[rank + 1] || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM named GROUP BY row) "
+    + "SELECT doc_id, " + ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES)
+    + ", coalesce(spans, '') AS spans, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN grouped USING (row)"
+)
