@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from purser.llm import fingerprints, language, minhash, packing, pieces, secrets, token_shards, toxicity
+from purser.llm import embeddings, fingerprints, language, minhash, packing, pieces, quality, secrets, token_shards, toxicity
 from purser.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,14 @@ def op5_fingerprints(spark, sf_dir):
 
 ORACLE["op4_secrets"] = secrets.SQL
 ORACLE["op5_fingerprints"] = fingerprints.SQL
+
+
+@query
+def op8_quality(spark, sf_dir):
+    docs, labels, pages = (table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
+    return quality.score_quality(docs, labels, quality.sites_of_pages(pages))
+
+
+@query
+def op7_embeddings(spark, sf_dir):
+    return embeddings.link_embeddings(table(spark, sf_dir, "embeddings"))
