@@ -11,7 +11,6 @@ from purser.functions.scalars import SPEND, key_hash, label_if
 from purser.operators.groups import group_aggregates, lookup_join
 from purser.operators.quantiles import exact_quantiles
 
-MAX_LEVELS = 1_000
 SCALED = (*SPEND, "TotalExpenses")
 
 
@@ -26,14 +25,14 @@ def group_table(df: DataFrame, key: str = "GroupNumber", member: str = "InGroupN
 
 
 def group_features(df: DataFrame, key: str = "GroupNumber", member: str = "InGroupNumber") -> DataFrame:
-    """GroupSize and Is_Single on every row, in the exchange of the other group steps."""
+    """GroupSize and Is_Single on every row; rows without a group have neither."""
     sized = group_aggregates(df, key, {"GroupSize": F.max(F.col(member).cast("int"))})
     return sized.withColumns(_size_and_single(F.col("GroupSize")))
 
 
-def join_group_features(df: DataFrame, row_key: str, key: str = "GroupNumber", **join) -> DataFrame:
-    """The same two columns as an aggregate joined back onto its detail rows."""
-    return lookup_join(df, group_table(df, key), key, row_key, how="inner", **join)
+def join_group_features(df: DataFrame, key: str = "GroupNumber") -> DataFrame:
+    """The same two columns on the rows that have a group."""
+    return lookup_join(df, group_table(df, key), key, how="inner")
 
 
 @dataclass(frozen=True)
@@ -77,7 +76,7 @@ def fit_qcut(df: DataFrame, col: str, k: int, labels: Sequence[str], duplicates:
     quantiles = exact_quantiles(df, col, [i / k for i in range(k + 1)])
     if not quantiles:
         raise ValueError(f"{col} has no known value to bin")
-    edges = quantiles["all"][1]
+    edges = quantiles[1]
     if len(set(edges)) < len(edges):
         if duplicates != "drop":
             raise ValueError(f"bin edges of {col} are not unique: {edges}")
@@ -115,7 +114,11 @@ class OneHot:
         flags = [
             F.coalesce(F.col(c) == v, F.lit(False)).alias(f"{c}_{v}") for c, vs in self.levels for v in vs
         ]
-        return df.select(*[F.col(c) for c in df.columns if c not in encoded], *flags)
+        return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in encoded], *flags)
+
+    def flags(self) -> list[Column]:
+        """The same booleans in the order of ``columns``, for plans where a level is no column name."""
+        return [F.coalesce(F.col(c) == v, F.lit(False)) for c, vs in self.levels for v in vs]
 
 
 def fit_onehot(df: DataFrame, cols: Sequence[str] | None = None, known: dict[str, Sequence[str]] | None = None) -> OneHot:
@@ -130,15 +133,9 @@ def fit_onehot(df: DataFrame, cols: Sequence[str] | None = None, known: dict[str
     seen: dict[str, list[str]] = {c: [] for c in open_cols}
     if open_cols:
         pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in open_cols])
-        found = (
-            df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct()
-            .limit(MAX_LEVELS * len(open_cols) + 1).collect()
-        )
-        for row in found:
+        # Each level becomes a column, so the driver has to know them all.
+        for row in df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct().collect():
             seen[row["name"]].append(row["level"])
-        for c, levels in seen.items():
-            if len(levels) > MAX_LEVELS or len(found) > MAX_LEVELS * len(open_cols):
-                raise ValueError(f"{c} has too many levels to encode")
     return OneHot(tuple((c, tuple(known[c]) if c in known else tuple(sorted(seen[c]))) for c in cols))
 
 

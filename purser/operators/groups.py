@@ -1,179 +1,44 @@
-"""Values shared by the rows of a group, with no group too big for one task.
+"""Values shared by the rows of a group, in one form for groups of any size.
 
-An ordinary group is resolved by a window over its key: all group steps of a
-plan then share one exchange. A hot group (more rows than one task should hold)
-is spread over many slots instead. Its values come from a partial aggregate with
-one row per hot group. At most ``MAX_HOT_KEYS`` groups are hot, which bounds the
-broadcast of that table; any group left over holds less than one part in
-``MAX_HOT_KEYS`` of the rows.
+Per-group values are aggregates, combined before their shuffle, and joined back onto the rows. A group that holds much of
+the table is no window task of its own: adaptive execution splits its side of the join, and the aggregate has
+one row for it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from typing import NamedTuple
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from purser.session import small_table
-
-HOT_ROWS = 100_000
-MAX_HOT_KEYS = 10_000
-MAX_CUTS = 4_096
 SLOT = "_slot"
 
 
-class HotKeys(NamedTuple):
-    """The hot values of one column: a small table of (key, _rows), or none at all."""
-
-    key: str
-    table: DataFrame | None
-    largest: int
-    hot_rows: int
-    null_rows: int = 0
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys:
-    """Keys with at least ``hot_rows`` rows; a missing key can be one of them.
-
-    One job over the key column alone, combined before its shuffle. What it finds stays
-    valid for any part of the table: a group only shrinks when rows are dropped.
-    """
-    top = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-    )
-    rows = top.collect()
-    if not rows:
-        return HotKeys(key, None, 0, hot_rows)
-    null_rows = sum(r["_rows"] for r in rows if r[key] is None)
-    known = [r for r in rows if r[key] is not None]
-    return HotKeys(key, small_table(df.sparkSession, known, top.schema), rows[0]["_rows"], hot_rows, null_rows)
-
-
-def spread_hot_groups(df: DataFrame, key: str, row_key: str | Column, hot: HotKeys | None = None) -> DataFrame:
-    """Add the slot column when there are hot groups; return ``df`` itself when not.
-
-    The slot is null in ordinary groups and a hash of ``row_key`` in hot ones. There are
-    ten per ``hot_rows`` rows, so that they fall evenly on the shuffle's partitions.
-    """
-    hot = hot or hot_keys(df, key)
-    if hot.table is None:
-        return df
-    rows = F.when(F.col(key).isNull(), F.lit(hot.null_rows or None)).otherwise(F.col("_rows"))
-    slot = F.pmod(F.xxhash64(row_key), F.ceil(rows * 10 / hot.hot_rows)).cast("int")
-    return df.join(F.broadcast(hot.table), key, "left").select(*df.columns, slot.alias(SLOT))
-
-
-def with_group_values(
-    df: DataFrame,
-    key: str,
-    windowed: Callable[[list[str]], dict[str, Column]],
-    table: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Add per-group values to every row.
-
-    ``windowed(part)`` gives them as window expressions over the partition columns
-    ``part``; ``table(rows)`` gives the same columns as one row per key. The latter
-    is only planned when ``df`` carries the slot column. Without a key there is no value.
-    """
-    known = F.col(key).isNotNull()
-    if SLOT not in df.columns:
-        return df.withColumns({c: F.when(known, value) for c, value in windowed([key]).items()})
-    values = {c: F.when(known, value) for c, value in windowed([key, SLOT]).items()}
-    hot = table(df.where(known & F.col(SLOT).isNotNull()))
-    hot = hot.select(key, *[F.col(c).alias(f"_hot_{c}") for c in values])
-    valued = df.withColumns(values)
-    joined = valued.join(F.broadcast(hot), key, "left")
-    picked = {c: F.when(F.col(SLOT).isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(c)) for c in values}
-    return joined.withColumns(picked).select(*valued.columns)
-
-
-def group_aggregates(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:
-    """Per-group aggregates on every row: ``{name: F.max('x'), ...}``."""
-    return with_group_values(
-        df,
-        key,
-        lambda part: {name: agg.over(Window.partitionBy(*part)) for name, agg in aggs.items()},
-        lambda rows: rows.groupBy(key).agg(*[agg.alias(name) for name, agg in aggs.items()]),
-    )
-
-
-def lookup_join(
-    df: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    row_key: str | Column,
-    how: str = "left",
-    hot: HotKeys | None = None,
-) -> DataFrame:
-    """Join ``lookup`` (one row per key, as large as it likes) onto the rows of ``df``.
-
-    Hot keys meet a broadcast of their own few lookup rows. Their rows carry a
-    non-null slot into the shuffled join, so they spread out there and match nothing.
-    """
+def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join ``lookup`` (one row per key, as large as it likes) onto the rows of ``df``."""
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join does left and inner joins, not {how}")
-    hot = hot or hot_keys(df, key)
     values = [c for c in lookup.columns if c != key]
-    if hot.table is None:
-        return df.join(lookup, key, how).select(*df.columns, *values)
-    hot_lookup = lookup.join(F.broadcast(hot.table.select(key)), key, "left_semi").select(
-        key, F.lit(True).alias("_hot_found"), *[F.col(c).alias(f"_hot_{c}") for c in values]
-    )
-    spread = spread_hot_groups(df, key, row_key, hot).withColumn(SLOT, F.coalesce(SLOT, F.lit(-1)))
-    joined = (
-        spread.join(F.broadcast(hot_lookup), key, "left")
-        .join(lookup.withColumns({SLOT: F.lit(-1), "_found": F.lit(True)}), [key, SLOT], "left")
-        .withColumns({c: F.when(F.col(SLOT) >= 0, F.col(f"_hot_{c}")).otherwise(F.col(c)) for c in values})
-    )
-    if how == "inner":
-        joined = joined.where(F.coalesce("_hot_found", "_found"))
-    return joined.select(*df.columns, *values)
+    return df.join(lookup, key, how).select(*df.columns, *values)
+
+
+def group_aggregates(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:
+    """Per-group aggregates on every row: ``{name: F.max('x'), ...}``. Without a key there is no value."""
+    known = df.where(F.col(key).isNotNull())
+    return lookup_join(df, known.groupBy(key).agg(*[agg.alias(name) for name, agg in aggs.items()]), key)
 
 
-def number_rows(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    coarse: Column,
-    name: str = "member",
-    hot: HotKeys | None = None,
-) -> DataFrame:
+def number_rows(df: DataFrame, key: str, order: Sequence[str], slot: Column, name: str = "member") -> DataFrame:
     """Row number within each group, along ``order``.
 
-    ``coarse`` is a number that never decreases along ``order``. Quantiles of it cut
-    a hot group into consecutive slots; a row's number is its number within
-    its slot plus the rows of the slots before. Every row must have a key.
+    ``slot`` is a number that never decreases along ``order``: it cuts a group into consecutive parts. A row's number is
+    its number within its part plus the rows of the parts before, so no task needs a whole group, only its
+    parts' counts. Every row must have a key.
     """
-    hot = hot or hot_keys(df, key)
-    if hot.table is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    n_cuts = min(MAX_CUTS, -(-hot.largest // hot.hot_rows))
-    every = F.greatest(F.lit(1), F.floor(F.lit(n_cuts * hot.hot_rows) / F.first("_rows")))
-    quantiles = F.percentile_approx(coarse, [(i + 1) / (n_cuts + 1) for i in range(n_cuts)], 10 * n_cuts)
-    cuts = (
-        df.join(F.broadcast(hot.table), key, "inner")
-        .groupBy(key)
-        .agg(quantiles.alias("_all"), every.alias("_every"))
-        .select(key, F.filter("_all", lambda cut, i: (i + 1) % F.col("_every") == 0).alias("_cuts"))
-    )
-    slot = F.size(F.filter("_cuts", lambda cut: cut < coarse))
-    slotted = df.join(F.broadcast(cuts), key, "left").withColumn(SLOT, F.coalesce(slot, F.lit(0))).drop("_cuts")
-    counts = (
-        slotted.join(F.broadcast(hot.table.select(key)), key, "left_semi")
-        .groupBy(key, SLOT)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    slotted = df.withColumn(SLOT, slot)
+    counts = slotted.groupBy(key, SLOT).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(key, SLOT, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     local = F.row_number().over(Window.partitionBy(key, SLOT).orderBy(*order))
-    return (
-        slotted.withColumn(name, local)
-        .join(starts, [key, SLOT], "left")
-        .withColumn(name, (F.col(name) + F.coalesce("_start", F.lit(0))).cast("int"))
-        .select(*df.columns, name)
-    )
+    numbered = slotted.withColumn("_local", local).join(starts, [key, SLOT])
+    return numbered.select(*df.columns, (F.col("_local") + F.col("_start")).cast("int").alias(name))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from math import sqrt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purser.functions.scalars import ceil_double
-from purser.operators.quantiles import exact_quantiles
-from purser.session import small_table, written
+from purser.operators.quantiles import group_quantiles
 
 
 def long_form(df: DataFrame, cols: Sequence[str], *keep: str, name: str = "dim", value: str = "value") -> DataFrame:
@@ -28,17 +26,17 @@ def crosstab(
     df: DataFrame,
     row: str,
     col: str,
-    values: Sequence[object],
     count_of: str | None = None,
 ) -> DataFrame:
-    """Rows (or non-null ``count_of``) per pair of values, one column per value of ``col``.
+    """Rows (or non-null ``count_of``) per pair of values, one column per value of ``col`` that the data hold.
 
     Rows where either side is missing are left out, and with them groups that
     hold nothing else.
     """
     known = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
     counted = F.count(count_of) if count_of else F.count(F.lit(1))
-    return known.groupBy(row).pivot(col, list(values)).agg(counted).na.fill(0)
+    values = sorted(r[0] for r in known.select(col).distinct().collect())  # they become columns
+    return known.groupBy(row).pivot(col, values).agg(counted).na.fill(0)
 
 
 def distinct_per_group(df: DataFrame, key: str, col: str, name: str = "n_distinct") -> DataFrame:
@@ -161,101 +159,82 @@ def histogram(df: DataFrame, x: str, by: Sequence[str], width: float) -> DataFra
     return values.groupBy("by", "value", bin_start.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def box_fences(df: DataFrame, x: str, by: str) -> dict[object, dict[str, float]]:
-    """Quartiles and 1.5 IQR fences per group: bounded, so they can be read by the driver."""
-    fences = {}
-    for group, (n, (low, q1, mid, q3, high)) in exact_quantiles(df, x, (0, 0.25, 0.5, 0.75, 1), by).items():
-        reach = 1.5 * (q3 - q1)
-        fences[group] = {"n": n, "min": low, "q1": q1, "median": mid, "q3": q3, "max": high,
-                         "lower": q1 - reach, "upper": q3 + reach}
-    return fences
+def box_table(df: DataFrame, boxes: Sequence[tuple[str, str]]) -> DataFrame:
+    """(measure, by, value, n, five numbers, lower, upper, n_outliers) of each box, for any number of groups.
 
-
-def _outside(fences: Mapping[object, Mapping[str, float]], x: str, by: str) -> Column:
-    outside = F.lit(False)
-    for group, f in fences.items():
-        outside = outside | ((F.col(by) == group) & ~F.col(x).between(f["lower"], f["upper"]))
-    return outside
+    All boxes go through the same few passes, over the counts of their distinct values.
+    """
+    cells = [
+        F.struct(F.lit(x).alias("measure"), F.lit(by).alias("by"), F.col(by).cast("string").alias("value"), F.col(x).cast("double").alias("x"))
+        for x, by in boxes
+    ]
+    box = ["measure", "by", "value"]
+    values, quartiles = group_quantiles(df.select(F.inline(F.array(*cells))), "x", (0, 0.25, 0.5, 0.75, 1), box)
+    low, q1, mid, q3, high = (F.col("quantiles")[i] for i in range(5))
+    reach = 1.5 * (q3 - q1)
+    stats = quartiles.select(
+        *box, "n", low.alias("min_value"), q1.alias("q1_value"), mid.alias("median_value"), q3.alias("q3_value"),
+        high.alias("max_value"), (q1 - reach).alias("lower_value"), (q3 + reach).alias("upper_value"))
+    outside = (F.col("x") < F.col("lower_value")) | (F.col("x") > F.col("upper_value"))
+    counts = values.join(stats.select(*box, "lower_value", "upper_value"), box).groupBy(*box).agg(
+        F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_outliers"))
+    return stats.join(counts, box, "left")
+
+
+def outlier_cells(df: DataFrame, cols: Sequence[str], by: str, *keep: str) -> DataFrame:
+    """``keep``, measure and value of every cell of ``cols`` beyond the fences of its row's group; the rows are scanned once."""
+    stats = box_table(df, [(x, by) for x in cols])
+    fences = stats.groupBy(F.col("value").alias("_group")).agg(*[
+        F.max(F.when(F.col("measure") == x, F.col(f"{end}_value"))).alias(f"_{end}_{i}")
+        for i, x in enumerate(cols) for end in ("lower", "upper")
+    ])
+    cells = F.array(*[
+        F.struct(F.lit(x).alias("measure"), F.col(x).alias("value"), (~F.col(x).between(F.col(f"_lower_{i}"), F.col(f"_upper_{i}"))).alias("_out"))
+        for i, x in enumerate(cols)
+    ])
+    joined = df.join(fences, F.col(by).cast("string") == F.col("_group"))
+    return joined.select(*keep, F.inline(cells)).where("_out").drop("_out")
 
 
 def outlier_rows(df: DataFrame, x: str, by: str) -> DataFrame:
     """Rows beyond the fences of their group."""
-    return df.where(_outside(box_fences(df, x, by), x, by))
+    fences = box_table(df, [(x, by)]).select(F.col("value").alias("_group"), "lower_value", "upper_value")
+    joined = df.join(fences, F.col(by).cast("string") == F.col("_group"))
+    return joined.where(~F.col(x).between(F.col("lower_value"), F.col("upper_value"))).select(*df.columns)
 
 
 def box_stats(df: DataFrame, boxes: Sequence[tuple[str, str]]) -> DataFrame:
-    """Box-plot numbers for each (measure, by): five-number summary, fences, rows outside them.
+    """Box-plot numbers for each (measure, by): five-number summary, fences, rows outside them."""
+    stats = box_table(df, boxes)
+    numbers = [c for c in stats.columns if c.endswith("_value")]
+    return stats.select("measure", "by", "value", "n", *[F.round(c, 6).alias(c) for c in numbers], "n_outliers")
 
-    All boxes go through the same few passes, over a table of their values alone.
-    """
-    cells = [
-        F.struct(F.lit(f"{x}|{by}|").alias("box"), F.col(by).cast("string").alias("value"), F.col(x).alias("x"))
-        for x, by in boxes
-    ]
-    values = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull() & F.col("x").isNotNull())
-    values = written(values.select(F.concat("box", "value").alias("box"), "x"), "box-values")
-    fences = box_fences(values, "x", "box")
-    names = ("min", "q1", "median", "q3", "max", "lower", "upper")
-    rows = [(*box.split("|", 2), box, f["n"], *[float(f[k]) for k in names]) for box, f in fences.items()]
-    schema = "measure string, `by` string, value string, box string, n bigint, "
-    stats = small_table(df.sparkSession, rows, schema + ", ".join(f"{k}_value double" for k in names))
-    limits = stats.select("box", F.col("lower_value").alias("low"), F.col("upper_value").alias("high"))
-    outside = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
-    counts = values.join(F.broadcast(limits), "box").groupBy("box").agg(F.count_if(outside).alias("n_outliers"))
-    rounded = [F.round(f"{k}_value", 6).alias(f"{k}_value") for k in names]
-    return stats.join(counts, "box", "left").select("measure", "by", "value", "n", *rounded, "n_outliers")
 
+def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair, each over the rows where both are known, in one aggregate.
 
-MAX_CORR_COLUMNS = 16
+    A constant column has no correlation: null.
+    """
+    x = {c: F.col(f"`{c}`").cast("int" if t == "boolean" else "double").cast("double") for c, t in df.select(*cols).dtypes}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
 
+    def corr(a: str, b: str) -> Column:
+        if a == b:
+            return F.when(F.var_pop(x[a]) > 0, 1.0)
+        both = x[a].isNotNull() & x[b].isNotNull()
+        left, right = F.when(both, x[a]), F.when(both, x[b])
+        return F.try_divide(F.covar_pop(left, right), F.sqrt(F.var_pop(left)) * F.sqrt(F.var_pop(right)))
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, each over the rows where both are known.
+    one = df.agg(*[corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(f"_{i}", 6).alias("corr"))
+        for i, pair in enumerate(pairs) for a, b in dict.fromkeys((pair, pair[::-1]))
+    ]
+    return one.select(F.inline(F.array(*cells)))
 
-    Rows are grouped by which columns they know: sums and products per such pattern (at
-    most 2 to the number of columns) hold all that any pair needs. Values
-    are taken from the column mean, so that the sums do not cancel. A constant column
-    has no correlation: null.
-    """
-    if len(cols) > MAX_CORR_COLUMNS:
-        raise ValueError(f"at most {MAX_CORR_COLUMNS} columns, not {len(cols)}")
-    numbers = df.select(*[F.col(c).cast("int" if t == "boolean" else "double").cast("double").alias(c)
-                          for c, t in df.select(*cols).dtypes])
-    k = len(cols)
-    centre = numbers.agg(*[F.avg(c) for c in cols], *[F.min(c) for c in cols], *[F.max(c) for c in cols]).first()
-    middle = [centre[i] if centre[k + i] != centre[2 * k + i] else centre[k + i] for i in range(k)]
-    x = [F.coalesce(F.col(c) - F.lit(m or 0.0), F.lit(0.0)) for c, m in zip(cols, middle)]
-    known = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    patterns = (
-        numbers.groupBy(known.alias("known"))
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)],
-             *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs])
-        .collect()
-    )
-    rows = []
-    for i, j in pairs:
-        r = _pair_corr([p for p in patterns if p["known"] >> i & 1 and p["known"] >> j & 1], i, j)
-        rows += [(cols[i], cols[j], r)] + ([(cols[j], cols[i], r)] if i != j else [])
-    table = small_table(df.sparkSession, rows, "col_a string, col_b string, corr double")
-    return table.withColumn("corr", F.round("corr", 6))
-
-
-def _pair_corr(patterns, i: int, j: int) -> float | None:
-    n = sum(p["n"] for p in patterns)
-    if not n:
-        return None
-    a, b = (sum(p[f"s{c}"] for p in patterns) / n for c in (i, j))
-    aa, bb, ab = (sum(p[name] for p in patterns) / n for name in (f"p{i}_{i}", f"p{j}_{j}", f"p{i}_{j}"))
-    va, vb = aa - a * a, bb - b * b
-    # A variance this far below the mean square is the rounding of a constant.
-    if va <= 1e-12 * aa or vb <= 1e-12 * bb:
-        return None
-    return (ab - a * b) / sqrt(va * vb)
-
-
-def sorted_group_profile(df: DataFrame, key: str, col: str, values: Sequence[str]) -> DataFrame:
+
+def sorted_group_profile(df: DataFrame, key: str, col: str) -> DataFrame:
     """Crosstab by group with the number of distinct values, in group order."""
-    table = crosstab(df, key, col, values)
-    kinds = sum((F.when(F.col(f"`{v}`") > 0, 1).otherwise(0) for v in values), F.lit(0))
+    table = crosstab(df, key, col)
+    kinds = sum((F.when(F.col(f"`{v}`") > 0, 1).otherwise(0) for v in table.columns[1:]), F.lit(0))
     return table.withColumn(f"Unique{col}s", kinds).orderBy(key)

@@ -11,48 +11,74 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, floor
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from purser.session import small_table
+from purser.session import small_table, written
 
 BINS = 1_024
-MAX_GROUPS = 100
 
 
-def exact_quantiles(
-    df: DataFrame, col: str, probs: Sequence[float], by: str | None = None
-) -> dict[object, tuple[int, list[float]]]:
-    """{group: (rows, quantile values)} with linear interpolation between neighbours.
-
-    Null values are left out, and so are rows without a group.
-    """
-    group = F.col(by) if by else F.lit("all")
-    data = df.select(group.alias("_g"), F.col(col).cast("double").alias("_x"))
-    data = data.where(F.col("_g").isNotNull() & F.col("_x").isNotNull())
-    spans = (
-        data.groupBy("_g")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        .limit(MAX_GROUPS + 1)
-        .collect()
-    )
-    if len(spans) > MAX_GROUPS:
-        raise ValueError(f"{by} has more than {MAX_GROUPS} values")
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> tuple[int, list[float]] | None:
+    """(rows, quantile values) with linear interpolation between neighbours; nothing when no value is known."""
+    data = df.select(F.lit("all").alias("_g"), F.col(col).cast("double").alias("_x")).where("_x is not null")
+    s = data.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+    if not s["n"]:
+        return None
     found: dict[tuple[object, int], float] = {}
     open_ranks: dict[tuple[object, float, float, int], set[int]] = {}
-    for s in spans:
-        ranks = {r for p in probs for r in (floor((s["n"] - 1) * p), ceil((s["n"] - 1) * p))}
-        _settle(found, open_ranks, s["_g"], s["lo"], s["hi"], 0, s["n"], ranks)
+    ranks = {r for p in probs for r in (floor((s["n"] - 1) * p), ceil((s["n"] - 1) * p))}
+    _settle(found, open_ranks, "all", s["lo"], s["hi"], 0, s["n"], ranks)
     while open_ranks:
         open_ranks = _narrow(data, open_ranks, found)
-    result = {}
-    for s in spans:
-        values = []
-        for p in probs:
-            h = (s["n"] - 1) * p
-            low, high = found[s["_g"], floor(h)], found[s["_g"], ceil(h)]
-            values.append(low + (high - low) * (h - floor(h)))
-        result[s["_g"]] = (s["n"], values)
-    return result
+    values = []
+    for p in probs:
+        h = (s["n"] - 1) * p
+        low, high = found["all", floor(h)], found["all", ceil(h)]
+        values.append(low + (high - low) * (h - floor(h)))
+    return s["n"], values
+
+
+def group_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The counts of distinct values (by, col, n), and the quantiles of each group (by, n, quantiles), linearly interpolated.
+
+    Open intervals and ranks are tables like the data, so neither the groups nor their sizes are bounded: a pass counts
+    the slices of every open interval and keeps those that hold a wanted rank. Nulls are left out.
+    """
+    by = list(by)
+    for c in (*by, col):
+        df = df.where(F.col(c).isNotNull())
+    values = written(df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n")), "distinct-values")
+    sizes = values.groupBy(*by).agg(F.sum("n").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+    place = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(h).cast("bigint") for h in place for f in (F.floor, F.ceil)]))
+    spans = written(sizes.withColumn("below", F.lit(0).cast("bigint")).withColumn("r", F.explode(ranks)), "open-ranks")
+    at_low = (F.col("r") == F.col("below")) | (F.col("lo") == F.col("hi"))
+    at_high = F.col("r") == F.col("below") + F.col("n") - 1
+    settled = spans.where(at_low | at_high).select(*by, "r", F.when(at_low, F.col("lo")).otherwise(F.col("hi")).alias("v"))
+    still = spans.where(~(at_low | at_high))
+    interval = [*by, "lo", "hi", "below"]
+    while not still.isEmpty():
+        share = (F.col(col) / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        inside = values.withColumnRenamed("n", "_n").join(still.select(*interval).distinct(), by).where(F.col(col).between(F.col("lo"), F.col("hi")))
+        slices = inside.groupBy(*interval, F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("b")).agg(
+            F.sum("_n").alias("_n"), F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+        earlier = Window.partitionBy(*interval).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        slices = slices.withColumn("_below", F.col("below") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        holds = (F.col("r") >= F.col("_below")) & (F.col("r") < F.col("_below") + F.col("_n"))
+        narrowed = still.select(*interval, "r").join(slices, interval).where(holds).select(
+            *by, F.col("_n").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_below").alias("below"), "r")
+        narrowed = written(narrowed, "open-ranks")
+        settled = settled.unionByName(
+            narrowed.where(at_low | at_high).select(*by, "r", F.when(at_low, F.col("lo")).otherwise(F.col("hi")).alias("v")))
+        still = narrowed.where(~(at_low | at_high))
+    found = settled.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("_found"))
+
+    def value(h: Column) -> Column:
+        low, high = (F.element_at("_found", f(h).cast("bigint")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (h - F.floor(h))
+
+    quantiles = sizes.join(found, by).select(*by, "n", F.array(*map(value, place)).alias("quantiles"))
+    return values, quantiles
 
 
 def _settle(found, open_ranks, group, lo, hi, below, n, ranks) -> None:

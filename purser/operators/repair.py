@@ -11,15 +11,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from purser.functions.scalars import SPEND, ceil_double
-from purser.operators.groups import SLOT, group_aggregates, lookup_join, with_group_values
+from purser.operators.groups import group_aggregates, lookup_join
 from purser.operators.profile import groups_single_valued, mean_by
-from purser.session import small_table, written
-
-# A fitted table of up to this many rows is carried in the plan and broadcast.
-MAX_FITTED_ROWS = 100_000
+from purser.session import written
 
 # Planet by deck, and the most frequent deck of a planet.
 PLANET_BY_DECK = {
@@ -50,47 +47,30 @@ def fill_by_rules(df: DataFrame, target: str, source: str, rules: Mapping[str, s
     return df.withColumn(target, F.coalesce(target, rule))
 
 
-def propagate_group_value(df: DataFrame, key: str, cols: Sequence[str], order: str) -> DataFrame:
+def propagate_group_value(df: DataFrame, key: str, cols: Sequence[str], order: str | Column) -> DataFrame:
     """Write one value per group to all its rows, over known values too.
 
     Of a group's distinct values it is the one that first occurs last along
-    ``order``, which must be unique. A group without a known value gives null.
+    ``order``, which must be unique in the group. A group without a known value gives null.
     """
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cols])
+    order = F.col(order) if isinstance(order, str) else order
+    seen = (
+        df.where(F.col(key).isNotNull()).select(key, order.alias("_at"), F.inline(pairs))
+        .where(F.col("value").isNotNull())
+        .groupBy(key, "name", "value")
+        .agg(F.min("_at").alias("first"))
+    )
+
+    def latest(c: str) -> Column:
+        return F.max_by(F.when(F.col("name") == c, F.col("value")), F.when(F.col("name") == c, F.col("first"))).alias(c)
 
-    part = [key, SLOT] if SLOT in df.columns else [key]
-    along = Window.partitionBy(*part).orderBy(order)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    # Every window here has the same order, so the rows are sorted once.
-    marked = df.withColumns({
-        f"_new_{c}": F.when(~F.array_contains(F.collect_set(c).over(before), F.col(c)), F.col(c)) for c in cols
-    })
-
-    def windowed(_: list[str]) -> dict[str, Column]:
-        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return {c: F.last(f"_new_{c}", ignorenulls=True).over(whole) for c in cols}
-
-    def table(rows: DataFrame) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cols])
-        seen = (
-            rows.select(key, order, F.inline(pairs))
-            .where(F.col("value").isNotNull())
-            .groupBy(key, "name", "value")
-            .agg(F.min(order).alias("first"))
-        )
-        return seen.groupBy(key).agg(
-            *[F.max_by(F.when(F.col("name") == c, F.col("value")), F.when(F.col("name") == c, F.col("first"))).alias(c)
-              for c in cols]
-        )
-
-    return with_group_values(marked, key, windowed, table).drop(*[f"_new_{c}" for c in cols])
-
-
-def lookup_overwrite(df: DataFrame, key: str, col: str, order: str, **join) -> DataFrame:
-    """``propagate_group_value`` as an aggregate joined back."""
-    known = df.where(F.col(key).isNotNull() & F.col(col).isNotNull())
-    seen = known.groupBy(key, col).agg(F.min(order).alias("_first"))
-    lookup = seen.groupBy(key).agg(F.max_by(col, "_first").alias(col))
-    return lookup_join(df.drop(col), lookup, key, order, **join).select(*df.columns)
+    return lookup_join(df.drop(*cols), seen.groupBy(key).agg(*map(latest, cols)), key).select(*df.columns)
+
+
+def lookup_overwrite(df: DataFrame, key: str, col: str, order: str | Column) -> DataFrame:
+    """``propagate_group_value`` of one column."""
+    return propagate_group_value(df, key, (col,), order)
 
 
 def fill_if_unique(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -100,34 +80,25 @@ def fill_if_unique(df: DataFrame, key: str, col: str) -> DataFrame:
     return ends.withColumn(col, F.coalesce(col, only)).drop("_low", "_high")
 
 
-def semi_single_valued(df: DataFrame, key: str, col: str, row_key: str, **join) -> DataFrame:
+def semi_single_valued(df: DataFrame, key: str, col: str) -> DataFrame:
     """Rows of the groups that have exactly one known value of ``col``."""
     groups = groups_single_valued(df, key, col).select(key, F.lit(True).alias("_one"))
-    return lookup_join(df, groups, key, row_key, how="inner", **join).drop("_one")
+    return lookup_join(df, groups, key, how="inner").drop("_one")
 
 
 @dataclass(frozen=True)
 class GroupMeans:
-    """Fitted means per key combination: rows carried in the plan, or a written table when they are many."""
+    """Fitted means per key combination: a written table, joined as its size asks for."""
 
     keys: tuple[str, ...]
     cols: tuple[str, ...]
-    schema: T.StructType
-    rows: tuple[tuple, ...]
-    table: DataFrame | None = None
+    table: DataFrame
     ceil_all: bool = False
-    row_key: str = "PassengerId"
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Fill missing values by the mean of the row's key combination."""
         means = {c: f"_mean_{c}" for c in self.cols}
-        if self.table is None:
-            table = small_table(df.sparkSession, self.rows, self.schema).withColumnsRenamed(means)
-            joined = df.join(F.broadcast(table), list(self.keys), "left")
-        else:
-            key = F.to_json(F.struct(*self.keys))
-            table = self.table.select(key.alias("_key"), *[F.col(c).alias(m) for c, m in means.items()])
-            joined = lookup_join(df.withColumn("_key", key), table, "_key", self.row_key)
+        joined = df.join(self.table.withColumnsRenamed(means), list(self.keys), "left")
         known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in self.keys])
 
         def filled(c: str) -> Column:
@@ -144,22 +115,13 @@ def fit_group_means(
     ceil: bool = True,
     zero_is_missing: bool = True,
     ceil_all: bool = False,
-    max_rows: int = MAX_FITTED_ROWS,
-    row_key: str = "PassengerId",
 ) -> GroupMeans:
-    """Means per key combination: broadcast up to ``max_rows`` of them (counted), a shuffled join beyond.
+    """Means per key combination, in one aggregate that is written.
 
     ``ceil_all`` also rounds up observed values, and clears the rows whose key is missing.
-    ``row_key`` spreads the rows of a hot combination in the shuffled join.
     """
-    means = mean_by(df, keys, cols, ceil and not ceil_all, zero_is_missing)
-    rows = means.limit(max_rows + 1).collect()
-    table = None
-    if len(rows) > max_rows:
-        rows, table = [], written(means, "group-means")
-    return GroupMeans(
-        tuple(keys), tuple(cols), means.schema, tuple(tuple(r) for r in rows), table, ceil_all, row_key
-    )
+    means = written(mean_by(df, keys, cols, ceil and not ceil_all, zero_is_missing), "group-means")
+    return GroupMeans(tuple(keys), tuple(cols), means, ceil_all)
 
 
 @dataclass(frozen=True)

@@ -19,12 +19,10 @@ from purser.functions.scalars import (
 from purser.operators import evaluate, features, profile, repair
 from purser.plans import cleaning
 from purser.session import new_path
-from purser.sources.derived import hot_groups, hot_orders, manifest
+from purser.sources.derived import manifest
 from purser.sources.manifest import read_manifest, submission as as_submission, write_submission
 
 KEY, GROUP = cleaning.KEY, cleaning.GROUP
-DECKS = ("A", "B", "C", "D", "E", "F", "G", "T")
-DESTINATIONS = ("DEST-N", "DEST-R", "TRAPPIST-1e")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -37,12 +35,6 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-def with_hot_groups(spark, sf_dir, *columns, **kwargs):
-    """The manifest and its hot groups, looked for once."""
-    hot = hot_orders(spark, sf_dir)
-    return manifest(spark, sf_dir, *columns, hot=hot, **kwargs), hot_groups(hot)
-
-
 # Sources and sinks
 
 
@@ -66,8 +58,8 @@ def submission(spark, sf_dir):
 
 @query
 def select_model_columns(spark, sf_dir):
-    df, hot = with_hot_groups(spark, sf_dir)
-    df = features.group_features(cleaning.by_group(with_group(with_cabin_parts(df)), hot))
+    df = manifest(spark, sf_dir)
+    df = features.group_features(cleaning.by_group(with_group(with_cabin_parts(df))))
     df = df.withColumn("TotalExpenses", total()).withColumn("Is_Spend", spend_label())
     return cleaning.model_columns(df, KEY, "Transported")
 
@@ -98,7 +90,7 @@ def filter_null_and_eq(spark, sf_dir):
 
 @query
 def groups_single_valued(spark, sf_dir):
-    return profile.groups_single_valued(with_group(manifest(spark, sf_dir, "Destination")), GROUP, "Destination")
+    return profile.groups_single_valued(manifest(spark, sf_dir, "Destination", key="group"), GROUP, "Destination")
 
 
 @query
@@ -112,31 +104,31 @@ def filter_cryo_missing_total(spark, sf_dir):
 
 @query
 def join_group_features(spark, sf_dir):
-    df, hot = with_hot_groups(spark, sf_dir, "VIP")
-    return features.join_group_features(with_group(df), KEY, hot=hot)
+    df = manifest(spark, sf_dir, "VIP")
+    return features.join_group_features(with_group(df))
 
 
 @query
 def key_overlap(spark, sf_dir):
-    parts = [with_group(manifest(spark, sf_dir, "Name", split=s)) for s in ("train", "score")]
+    parts = [manifest(spark, sf_dir, "Name", split=s, key="group") for s in ("train", "score")]
     return profile.key_overlap(*parts, GROUP).unionByName(profile.key_overlap(*parts, "Name"))
 
 
 @query
 def lookup_overwrite(spark, sf_dir):
-    df, hot = with_hot_groups(spark, sf_dir, "Destination")
-    return repair.lookup_overwrite(with_group(df, member=False), GROUP, "Destination", KEY, hot=hot)
+    df = manifest(spark, sf_dir, "Destination")
+    return repair.lookup_overwrite(cleaning.by_group(df), GROUP, "Destination", cleaning.member_number())
 
 
 @query
 def semi_single_valued(spark, sf_dir):
-    df, hot = with_hot_groups(spark, sf_dir, "Destination")
-    return repair.semi_single_valued(with_group(df, member=False), GROUP, "Destination", KEY, hot=hot)
+    df = manifest(spark, sf_dir, "Destination")
+    return repair.semi_single_valued(cleaning.by_group(df), GROUP, "Destination")
 
 
 @query
 def impute_unique_in_group(spark, sf_dir):
-    df = cleaning.by_group(*with_hot_groups(spark, sf_dir, "Destination"))
+    df = manifest(spark, sf_dir, "Destination").transform(cleaning.by_group)
     return repair.fill_if_unique(df, GROUP, "Destination").select(KEY, GROUP, "Destination")
 
 
@@ -151,30 +143,30 @@ def null_profile(spark, sf_dir):
 @query
 def crosstab_size(spark, sf_dir):
     df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", key=False))
-    return profile.crosstab(df, "HomePlanet", "Deck", DECKS)
+    return profile.crosstab(df, "HomePlanet", "Deck")
 
 
 @query
 def crosstab_count(spark, sf_dir):
     df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", key=False))
-    return profile.crosstab(df, "HomePlanet", "Deck", DECKS, count_of="Deck")
+    return profile.crosstab(df, "HomePlanet", "Deck", count_of="Deck")
 
 
 @query
 def distinct_per_group(spark, sf_dir):
-    df = with_group(manifest(spark, sf_dir, "Destination"))
+    df = manifest(spark, sf_dir, "Destination", key="group")
     return profile.distinct_per_group(df, GROUP, "Destination", "UniqueDestinations")
 
 
 @query
 def fd_check(spark, sf_dir):
-    df = with_group(with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", "Destination")))
+    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", "Destination", key="group"))
     return profile.fd_check(df, GROUP, ("HomePlanet", "Side", "Destination"))
 
 
 @query
 def value_share(spark, sf_dir):
-    df = with_group(manifest(spark, sf_dir, "Destination", "CryoSleep"))
+    df = manifest(spark, sf_dir, "Destination", "CryoSleep", key="group")
     kinds = profile.distinct_per_group(df, GROUP, "Destination", "UniqueDestinations")
     shares = [(profile.value_share(d, c), c) for d, c in ((kinds, "UniqueDestinations"), (df, "CryoSleep"))]
     named = [
@@ -185,7 +177,7 @@ def value_share(spark, sf_dir):
 
 @query
 def distinct_pairs(spark, sf_dir):
-    return profile.distinct_pairs(with_group(manifest(spark, sf_dir, "Destination")), GROUP, "Destination")
+    return profile.distinct_pairs(manifest(spark, sf_dir, "Destination", key="group"), GROUP, "Destination")
 
 
 def with_route(spark, sf_dir, *columns, **kwargs):
@@ -260,11 +252,7 @@ def box_stats(spark, sf_dir):
 @query
 def outlier_rows(spark, sf_dir):
     df = with_ratios(with_display_labels(with_total(spark, sf_dir, "VIP")))
-    rows = [
-        profile.outlier_rows(df, x, "VIP").select(KEY, "VIP", F.lit(x).alias("measure"), F.col(x).alias("value"))
-        for x in ("TotalExpenses", "RatioRoomService")
-    ]
-    return rows[0].unionByName(rows[1])
+    return profile.outlier_cells(df, ("TotalExpenses", "RatioRoomService"), "VIP", KEY, "VIP")
 
 
 @query
@@ -276,8 +264,8 @@ def corr_matrix(spark, sf_dir):
 
 @query
 def sorted_group_profile(spark, sf_dir):
-    df = with_group(manifest(spark, sf_dir, "Destination"))
-    return profile.sorted_group_profile(df, GROUP, "Destination", DESTINATIONS)
+    df = manifest(spark, sf_dir, "Destination", key="group")
+    return profile.sorted_group_profile(df, GROUP, "Destination")
 
 
 # Missing-value repair
@@ -312,10 +300,10 @@ def fill_destination_test(spark, sf_dir):
 
 @query
 def propagate_group_value(spark, sf_dir):
-    df, hot = with_hot_groups(spark, sf_dir, "HomePlanet", "Cabin", "Destination")
+    df = manifest(spark, sf_dir, "HomePlanet", "Cabin", "Destination")
     cols = ("HomePlanet", "Side", "Destination")
-    df = cleaning.by_group(with_cabin_parts(df), hot)
-    return repair.propagate_group_value(df, GROUP, cols, KEY).select(KEY, GROUP, *cols)
+    df = cleaning.by_group(with_cabin_parts(df))
+    return repair.propagate_group_value(df, GROUP, cols, cleaning.member_number()).select(KEY, GROUP, *cols)
 
 
 @query
@@ -396,10 +384,10 @@ def is_spend(spark, sf_dir):
 
 @query
 def cut_group_size(spark, sf_dir):
-    df, hot = with_hot_groups(spark, sf_dir, "VIP")
+    df = manifest(spark, sf_dir, "VIP")
     df = with_group(df)
     bins = features.fit_cut(features.group_table(df), "GroupSize", 3, cleaning.SIZE_LABELS)
-    sized = features.group_features(cleaning.by_group(df, hot))
+    sized = features.group_features(cleaning.by_group(df))
     return bins.transform(sized, to="SizeClass").select(KEY, "GroupSize", "SizeClass")
 
 
@@ -443,20 +431,20 @@ def holdout_split(spark, sf_dir):
 
 @query
 def clean_train(spark, sf_dir):
-    return cleaning.clean_train(*with_hot_groups(spark, sf_dir))
+    return cleaning.clean_train(manifest(spark, sf_dir))
 
 
 @query
 def clean_test(spark, sf_dir):
-    df, hot = with_hot_groups(spark, sf_dir)
-    return rounded(cleaning.clean_score(df.drop("Transported"), hot), *SPEND, "TotalExpenses")
+    df = manifest(spark, sf_dir)
+    return rounded(cleaning.clean_score(df.drop("Transported")), *SPEND, "TotalExpenses")
 
 
 @query
 def train_features(spark, sf_dir):
-    df, hot = with_hot_groups(spark, sf_dir)
-    df = cleaning.clean_train(df, hot)
-    df = cleaning.fit_features(df).transform(df, hot)
+    df = manifest(spark, sf_dir)
+    df = cleaning.clean_train(df)
+    df = cleaning.fit_features(df).transform(df)
     return rounded(cleaning.model_columns(df, KEY, "Transported", "Is_Single", ratios=True), *features.SCALED)
 
 

@@ -1,15 +1,14 @@
 """The whole cleaning of a training and of a scoring manifest, and the model features.
 
-Both start with the group repairs, which need the rows of a group together, and run
-them in one exchange. The repaired table is written once. What follows is fitted on a
-few of its columns and applied row by row.
+Both start with the group repairs: aggregates over a written table, joined back onto its rows. What
+follows is fitted on a few columns of the repaired table, which is written too, and applied row by row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from purser.functions.scalars import (
     SPEND,
@@ -23,7 +22,6 @@ from purser.functions.scalars import (
 )
 from purser.operators import repair
 from purser.operators.features import Bins, OneHot, Scaler, fit_cut, fit_onehot, fit_qcut, fit_scale, group_features, group_table
-from purser.operators.groups import SLOT, HotKeys, spread_hot_groups
 from purser.session import written
 
 KEY = "PassengerId"
@@ -38,50 +36,85 @@ MODEL_COLUMNS = (
 )
 
 
-def by_group(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Name the group of each row and spread the groups too big for one task (looked for when not given)."""
-    return spread_hot_groups(split_passenger_id(df, member=False), GROUP, KEY, hot)
+def by_group(df: DataFrame) -> DataFrame:
+    """Name the group of each row."""
+    return split_passenger_id(df, member=False)
 
 
-def clean_train(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Training rows with every needed value known; rows that cannot be repaired are dropped."""
+def member_number() -> Column:
+    """The place of a passenger in the group: a number, so that 100 comes after 99."""
+    return part(KEY, "_", 1).try_cast("bigint")
+
+
+@dataclass(frozen=True)
+class ScoringMeans:
+    """What the scoring table's missing numbers are filled with."""
+
+    ages: repair.GroupMeans
+    routes: repair.GroupMeans
+    overall: repair.GlobalMeans
+
+
+def _zero_filled(df: DataFrame) -> DataFrame:
+    return repair.zero_fill_where(df, total_expenses().isNull() & F.col("CryoSleep"))
+
+
+def _clean_train(df: DataFrame) -> tuple[DataFrame, repair.GroupMeans, repair.GroupMeans, DataFrame]:
     df = repair.fill_constant(df, {"Name": "Unknown"})
     df = split_cabin(repair.drop_missing(df, ("HomePlanet", "Cabin"), "all"))
-    df = by_group(df, hot)
+    # Written before each group step: its aggregate and its rows read the table, not the source.
+    df = written(by_group(df), "clean-train-keyed")
     # Planet and side of a group come from the same rows, so one step serves both.
-    df = repair.propagate_group_value(df, GROUP, ("HomePlanet", "Side"), KEY)
+    df = repair.propagate_group_value(df, GROUP, ("HomePlanet", "Side"), member_number())
     df = repair.fill_by_rules(df, "HomePlanet", "Deck", repair.PLANET_BY_DECK)
     df = repair.fill_by_rules(df, "Deck", "HomePlanet", repair.DECK_BY_PLANET)
-    df = repair.drop_missing(df, ("Side", "Num"))
+    df = written(repair.drop_missing(df, ("Side", "Num")), "clean-train-placed")
     df = repair.drop_missing(repair.fill_if_unique(df, GROUP, "Destination"), ("Destination",))
-    df = written(df.drop(SLOT).withColumn("JourneyRoute", journey_route()), "clean-train")
+    df = written(df.withColumn("JourneyRoute", journey_route()), "clean-train")
+
+    routes = repair.fit_group_means(df, ("JourneyRoute", "VIP"))
+    filled = _zero_filled(routes.transform(df))
+    df = repair.drop_missing(filled.withColumn("TotalExpenses", total_expenses()), SPEND)
+    ages = repair.fit_group_means(df, ("HomePlanet",), ("Age",), zero_is_missing=False, ceil_all=True)
+    return repair.drop_missing(ages.transform(df), ("CryoSleep", "VIP")), ages, routes, filled
+
+
+def clean_train(df: DataFrame) -> DataFrame:
+    """Training rows with every needed value known; rows that cannot be repaired are dropped."""
+    return _clean_train(df)[0]
+
 
-    df = repair.fit_group_means(df, ("JourneyRoute", "VIP")).transform(df)
-    df = repair.zero_fill_where(df, total_expenses().isNull() & F.col("CryoSleep"))
-    df = repair.drop_missing(df.withColumn("TotalExpenses", total_expenses()), SPEND)
-    df = repair.fit_group_means(df, ("HomePlanet",), ("Age",), zero_is_missing=False, ceil_all=True).transform(df)
-    return repair.drop_missing(df, ("CryoSleep", "VIP"))
+def fit_clean_train(df: DataFrame) -> tuple[DataFrame, ScoringMeans]:
+    """``clean_train``, and the means it learned, for scoring tables."""
+    clean, ages, routes, filled = _clean_train(df)
+    return clean, ScoringMeans(ages, routes, repair.fit_global_means(filled))
 
 
-def clean_score(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Scoring rows with every needed value known; no row is dropped."""
+def clean_score(df: DataFrame, means: ScoringMeans | None = None) -> DataFrame:
+    """Scoring rows with every needed value known; no row is dropped.
+
+    ``means`` are those of the training table. Without them they are fitted again, on the scoring rows.
+    """
     df = repair.fill_constant(df, {"Name": "Unknown"})
-    df = by_group(split_cabin(df, with_num=False), hot)
-    df = repair.propagate_group_value(df, GROUP, ("HomePlanet", "Side"), KEY)
+    df = written(by_group(split_cabin(df, with_num=False)), "clean-score-keyed")
+    df = repair.propagate_group_value(df, GROUP, ("HomePlanet", "Side"), member_number())
     df = repair.fill_by_rules(df, "HomePlanet", "Deck", repair.PLANET_BY_DECK)
     df = repair.fill_constant(df, {k: repair.SCORING_CONSTANTS[k] for k in ("HomePlanet", "Side")})
-    df = repair.fill_by_rules(df, "Deck", "HomePlanet", repair.DECK_BY_PLANET)
+    df = written(repair.fill_by_rules(df, "Deck", "HomePlanet", repair.DECK_BY_PLANET), "clean-score-placed")
     df = repair.fill_if_unique(df, GROUP, "Destination")
     df = repair.fill_by_rules(df, "Destination", "HomePlanet", repair.DESTINATION_BY_PLANET)
-    df = written(df.drop(SLOT).withColumn("JourneyRoute", journey_route()), "clean-score")
+    df = written(df.withColumn("JourneyRoute", journey_route()), "clean-score")
 
-    ages = repair.fit_group_means(df, ("HomePlanet",), ("Age",), zero_is_missing=False, ceil_all=True)
-    df = repair.fit_group_means(df, ("JourneyRoute", "VIP")).transform(ages.transform(df))
+    def fit_ages() -> repair.GroupMeans:
+        return repair.fit_group_means(df, ("HomePlanet",), ("Age",), zero_is_missing=False, ceil_all=True)
+
+    ages = means.ages if means else fit_ages()
+    routes = means.routes if means else repair.fit_group_means(df, ("JourneyRoute", "VIP"))
     # A sleeper whose flag is itself missing is not zero-filled: the flag is filled afterwards.
-    df = repair.zero_fill_where(df, total_expenses().isNull() & F.col("CryoSleep"))
-    df = repair.fit_global_means(df).transform(df)
-    df = df.withColumn("TotalExpenses", total_expenses())
-    return repair.fill_constant(df, {k: repair.SCORING_CONSTANTS[k] for k in ("CryoSleep", "VIP")})
+    filled = _zero_filled(routes.transform(ages.transform(df)))
+    overall = means.overall if means else repair.fit_global_means(filled)
+    out = overall.transform(filled).withColumn("TotalExpenses", total_expenses())
+    return repair.fill_constant(out, {k: repair.SCORING_CONSTANTS[k] for k in ("CryoSleep", "VIP")})
 
 
 @dataclass(frozen=True)
@@ -93,10 +126,9 @@ class FeatureParams:
     scale: Scaler
     ratio_after_scale: bool = False
 
-    def transform(self, df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-        """``df`` is a cleaned table; one exchange, for the group features."""
-        df = spread_hot_groups(df, GROUP, KEY, hot)
-        df = group_features(df.withColumn("InGroupNumber", part(KEY, "_", 1))).drop("InGroupNumber", SLOT)
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` is a cleaned table; one aggregate joined back, for the group features."""
+        df = group_features(df.withColumn("InGroupNumber", part(KEY, "_", 1))).drop("InGroupNumber")
         if not self.ratio_after_scale:
             df = spend_ratios(df)
         df = self.age.transform(self.size.transform(df.withColumn("Is_Spend", is_spend())))

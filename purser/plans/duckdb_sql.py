@@ -67,7 +67,7 @@ _SINGLE = "CASE WHEN max(InGroupNumber) = '01' THEN 'Single' ELSE 'Not-Single' E
 def _last_first_seen(name: str, source: str, col: str) -> str:
     return f"""{name} AS (
   SELECT GroupNumber, arg_max({col}, f) AS {col} FROM (
-    SELECT GroupNumber, {col}, min(PassengerId) AS f FROM {source} WHERE {col} IS NOT NULL GROUP BY ALL)
+    SELECT GroupNumber, {col}, min(CAST(split_part(PassengerId, '_', 2) AS BIGINT)) AS f FROM {source} WHERE {col} IS NOT NULL GROUP BY ALL)
   GROUP BY GroupNumber)"""
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from purser.operators import models
 from purser.operators.evaluate import threshold_score
 from purser.operators.features import OneHot, holdout, with_fold
-from purser.operators.groups import HotKeys
 from purser.operators.models import scored
 from purser.operators.stacking import META, Stacking
 from purser.plans import cleaning
@@ -34,11 +33,13 @@ class Encoder:
         plain = [c for c in (*cleaning.MODEL_COLUMNS, *(cleaning.RATIOS if self.ratios else ())) if c not in encoded]
         return [*plain, *self.levels.columns()]
 
-    def transform(self, clean: DataFrame, *keep: str, hot: HotKeys | None = None) -> DataFrame:
-        table = cleaning.model_columns(self.features.transform(clean, hot), cleaning.KEY, *keep, ratios=self.ratios)
-        table = self.levels.transform(table)
-        vector = VectorAssembler(inputCols=self.names(), outputCol="features").transform(table)
-        return vector.select(cleaning.KEY, *keep, "features")
+    def transform(self, clean: DataFrame, *keep: str) -> DataFrame:
+        """The vector's places are named by ``names``; a level may be any text, as it is no column name here."""
+        table = cleaning.model_columns(self.features.transform(clean), cleaning.KEY, *keep, ratios=self.ratios)
+        encoded = {c for c, _ in self.levels.levels}
+        plain = [F.col(c) for c in self.names() if c in table.columns and c not in encoded]
+        cells = [c.cast("double") for c in (*plain, *self.levels.flags())]
+        return table.select(cleaning.KEY, *keep, array_to_vector(F.array(*cells)).alias("features"))
 
 
 def fit_encoder(clean: DataFrame, ratios: bool = False) -> Encoder:
@@ -54,6 +55,7 @@ class TrainingSet:
     rows: DataFrame
     encoder: Encoder
     n_train: int
+    means: cleaning.ScoringMeans
 
     @property
     def train(self) -> DataFrame:
@@ -64,12 +66,15 @@ class TrainingSet:
         return self.rows.where("split = 'val'")
 
 
-def training_set(manifest: DataFrame, ratios: bool = False, hot: HotKeys | None = None) -> TrainingSet:
-    clean = cleaning.clean_train(manifest, hot)
+def training_set(manifest: DataFrame, ratios: bool = False) -> TrainingSet:
+    """The rows are dealt evenly by their key: fits read them dozens of times."""
+    clean, means = cleaning.fit_clean_train(manifest)
+    clean = written(clean, "cleaned")
     encoder = fit_encoder(clean, ratios)
-    rows = encoder.transform(clean, LABEL, hot=hot).withColumn("label", F.col(LABEL).cast("double")).drop(LABEL)
-    rows = written(with_fold(holdout(rows), FOLDS, seed=17), "training-set")
-    return TrainingSet(rows, encoder, rows.where("split = 'train'").count())
+    rows = encoder.transform(clean, LABEL).withColumn("label", F.col(LABEL).cast("double")).drop(LABEL)
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(with_fold(holdout(rows), FOLDS, seed=17).repartition(parts, cleaning.KEY), "training-set")
+    return TrainingSet(rows, encoder, rows.where("split = 'train'").count(), means)
 
 
 def base_models(n_train: int) -> dict[str, Estimator]:
@@ -86,7 +91,12 @@ def stacked(n_train: int) -> Stacking:
     return Stacking(base_models(n_train), models.gaussian_bayes(META), folds=FOLDS)
 
 
-def score_manifest(manifest: DataFrame, encoder: Encoder, model: Model, hot: HotKeys | None = None) -> DataFrame:
-    """Clean and encode an unlabelled manifest with parameters fitted in training, score it, cut at one half."""
-    rows = encoder.transform(cleaning.clean_score(manifest, hot), hot=hot)
+def score_manifest(
+    manifest: DataFrame, encoder: Encoder, model: Model, means: cleaning.ScoringMeans | None = None,
+) -> DataFrame:
+    """Clean and encode an unlabelled manifest with parameters fitted in training, score it, cut at one half.
+
+    Without ``means`` those of the imputation are fitted again, on the rows to score.
+    """
+    rows = encoder.transform(cleaning.clean_score(manifest, means))
     return submission(scored(model, rows), threshold_score("score"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -20,6 +18,8 @@ def build_session(app: str = "purser", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Several joins in a row share the group key: a hot group is still split, at the price of a shuffle.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         **conf,
     }
@@ -29,23 +29,9 @@ def build_session(app: str = "purser", master: str | None = None, **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local session, where driver and executors are one process, may do
-    without the setting; a cluster session without it is an error.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = _local_folder(context.applicationId)
-    return folder
-
-
-@cache
-def _local_folder(app: str) -> str:
-    return tempfile.mkdtemp(prefix=f"purser-{app}-")
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse where that is not set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -67,13 +53,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def on_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """``df`` in at least a partition per core, for fits that cost far more CPU than reading.
-
-    Only a table of a few megabytes is shuffled for it; a large one already has its splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+def delete_written(spark: SparkSession) -> None:
+    """Delete all tables this application wrote, once nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/purser/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from purser.functions.scalars import SPEND
-from purser.operators.groups import HotKeys, hot_keys, number_rows
+from purser.operators.groups import number_rows
 from purser.sources.manifest import LABEL, TRAIN_SCHEMA
 
 # A column is missing where l_partkey is a multiple of its number.
@@ -30,6 +30,7 @@ MISSING_EVERY = {
 }
 MEMBER_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
 SPLITS = ("train", "score")
+PARTS_IN_SLOT = 4_096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,29 +69,18 @@ def _values() -> dict[str, Column]:
     }
 
 
-def hot_orders(spark: SparkSession, sf_dir: str) -> HotKeys:
-    """Orders too big for one task."""
-    return hot_keys(table(spark, sf_dir, "lineitem"), "l_orderkey")
-
-
-def hot_groups(orders: HotKeys) -> HotKeys:
-    """The same orders by the group number of their passengers."""
-    renamed = orders.table and orders.table.select(_padded("l_orderkey", 7).alias("GroupNumber"), "_rows")
-    return orders._replace(key="GroupNumber", table=renamed)
-
-
 def manifest(
     spark: SparkSession,
     sf_dir: str,
     *columns: str,
     split: str | None = None,
-    key: bool = True,
-    hot: HotKeys | None = None,
+    key: bool | str = True,
 ) -> DataFrame:
     """PassengerId and the given columns (all when none are given) of the derived manifest.
 
     ``split`` keeps the training or the scoring part; whole orders go to either. Without
-    ``key`` no members are numbered, which saves the shuffle of the line items.
+    ``key`` no members are numbered, which saves the shuffle of the line items; with ``key="group"``
+    they are not either, and the rows have their GroupNumber alone.
     """
     columns = columns or tuple(f.name for f in TRAIN_SCHEMA.fields[1:])
     rows = table(spark, sf_dir, "lineitem")
@@ -100,9 +90,9 @@ def manifest(
         rows = rows.where(F.col("l_orderkey") % 5 == 0)
     elif split is not None:
         raise ValueError(f"split is one of {SPLITS}, not {split}")
-    coarse = F.col("l_linenumber").cast("bigint") * F.lit(1 << 40) + F.col("l_partkey")
-    if key:
-        rows = number_rows(rows, "l_orderkey", MEMBER_ORDER, coarse, hot=hot)
+    if key is True:
+        slot = F.col("l_linenumber").cast("bigint") * F.lit(1 << 40) + F.floor(F.col("l_partkey") / PARTS_IN_SLOT)
+        rows = number_rows(rows, "l_orderkey", MEMBER_ORDER, slot)
     if {"HomePlanet", "Name"} & set(columns):
         orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         rows = rows.join(orders, "l_orderkey", "left")
@@ -115,5 +105,8 @@ def manifest(
     values = _values()
     for name, every in MISSING_EVERY.items():
         values[name] = F.when(F.col("l_partkey") % every != 0, values[name])
-    passenger = [F.concat(_padded("l_orderkey", 7), F.lit("_"), _padded("member", 2)).alias("PassengerId")] if key else []
-    return rows.select(*passenger, *[values[c].alias(c) for c in columns])
+    group = _padded("l_orderkey", 7)
+    named = []
+    if key:
+        named = [group.alias("GroupNumber") if key == "group" else F.concat(group, F.lit("_"), _padded("member", 2)).alias("PassengerId")]
+    return rows.select(*named, *[values[c].alias(c) for c in columns])

@@ -1,4 +1,4 @@
-"""Group operators give the same rows whether their groups are treated as hot or not."""
+"""Group operators against brute force, with a group that holds a third of the rows."""
 
 import random
 
@@ -6,21 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from purser.operators import features, groups, repair
-from purser.plans import cleaning
-from purser.sources.derived import hot_groups, hot_orders, manifest, table
-
-
-def cell(v):
-    return round(v, 9) if isinstance(v, float) else v
 
 
 def rows(df):
-    return sorted((tuple(cell(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=repr)
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
 
 
 @pytest.fixture(scope="module")
 def skewed(spark):
-    """900 rows, a third of them in one group; a smaller hot group; many small ones; a missing key."""
+    """900 rows, a third of them in one group; many small ones; a missing key."""
     draw = random.Random(3)
     data = []
     for i in range(900):
@@ -32,101 +26,80 @@ def skewed(spark):
     return spark.createDataFrame(data, "id string, g string, v string, a int, b int").repartition(5).cache()
 
 
-def none_hot(df):
-    return groups.HotKeys("g", None, 0, 1)
-
-
-def some_hot(df):
-    hot = groups.hot_keys(df, "g", 20)
-    assert {r["g"] for r in hot.table.collect()} == {"big", "mid"} and hot.null_rows > 20
-    return hot
-
-
-def both(df, run):
-    plain, hot = run(none_hot(df)), run(some_hot(df))
-    assert plain.columns == hot.columns
-    assert rows(plain) == rows(hot)
-    return plain
+def members(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r["id"]):
+        out.setdefault(r["g"], []).append(r)
+    return out
 
 
 def test_propagate(skewed):
-    def run(hot):
-        spread = groups.spread_hot_groups(skewed, "g", "id", hot)
-        return repair.propagate_group_value(spread, "g", ["v"], "id").select(*skewed.columns)
-
-    out = both(skewed, run)
-    assert out.where("g IS NULL AND v IS NOT NULL").count() == 0
-
-
-def test_propagate_against_brute_force(skewed):
     """A dict filled from the distinct pairs in first-seen order: later pairs overwrite earlier ones."""
-    lookup = {}
-    for r in sorted(skewed.collect(), key=lambda r: r["id"]):
-        pair = (r["g"], r["v"])
-        if None not in pair and pair not in lookup:
-            lookup[pair] = len(lookup)
-    value = {g: v for g, v in lookup}
-    expected = sorted((r["id"], value.get(r["g"])) for r in skewed.collect())
-    for hot in (none_hot(skewed), some_hot(skewed)):
-        out = repair.propagate_group_value(groups.spread_hot_groups(skewed, "g", "id", hot), "g", ["v"], "id")
+    value = {}
+    for g, own in members(skewed).items():
+        value[g] = None if g is None else (list(dict.fromkeys(r["v"] for r in own if r["v"])) or [None])[-1]
+    expected = sorted((r["id"], value[r["g"]]) for r in skewed.collect())
+    for out in (repair.propagate_group_value(skewed, "g", ["v"], "id"), repair.lookup_overwrite(skewed, "g", "v", "id")):
+        assert out.columns == skewed.columns
         assert sorted((r["id"], r["v"]) for r in out.collect()) == expected
 
 
-def test_fill_if_unique(skewed):
-    def run(hot):
-        spread = groups.spread_hot_groups(skewed, "g", "id", hot)
-        return repair.fill_if_unique(spread, "g", "v").select(*skewed.columns)
-
-    both(skewed, run)
+def test_fill_if_unique_and_semi(skewed):
+    known = {g: {r["v"] for r in own if r["v"]} for g, own in members(skewed).items()}
+    only = {g: next(iter(v)) if g is not None and len(v) == 1 else None for g, v in known.items()}
+    out = repair.fill_if_unique(skewed, "g", "v")
+    assert sorted((r["id"], r["v"]) for r in out.collect()) == sorted(
+        ((r["id"], r["v"] or only[r["g"]]) for r in skewed.collect()))
+    semi = repair.semi_single_valued(skewed, "g", "v")
+    assert rows(semi) == rows(skewed.where(F.col("g").isin([g for g, v in only.items() if v])))
 
 
 def test_group_features(skewed):
     df = skewed.withColumnsRenamed({"g": "GroupNumber"}).withColumn("InGroupNumber", F.lpad("b", 2, "0"))
-
-    def run(hot):
-        spread = groups.spread_hot_groups(df, "GroupNumber", "id", hot._replace(
-            key="GroupNumber", table=hot.table and hot.table.withColumnRenamed("g", "GroupNumber")))
-        return features.group_features(spread).drop(groups.SLOT)
-
-    windowed = both(skewed, run).where("GroupNumber IS NOT NULL")
-    assert rows(features.join_group_features(df, "id")) == rows(windowed)
+    sized = features.group_features(df)
+    assert sized.count() == 900
+    assert rows(features.join_group_features(df)) == rows(sized.where("GroupNumber IS NOT NULL"))
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_join(skewed, how):
     lookup = skewed.where("v = 'A'").groupBy("g").agg(F.count("v").alias("n")).where("g <> 'mid'")
-    out = both(skewed, lambda hot: groups.lookup_join(skewed, lookup, "g", "id", how, hot=hot))
+    out = groups.lookup_join(skewed, lookup, "g", how)
     assert rows(out) == rows(skewed.join(lookup, "g", how).select(*skewed.columns, "n"))
 
 
-def test_lookup_overwrite_and_semi(skewed):
-    both(skewed, lambda hot: repair.lookup_overwrite(skewed, "g", "v", "id", hot=hot))
-    both(skewed, lambda hot: repair.semi_single_valued(skewed, "g", "v", "id", hot=hot))
-
-
 def test_number_rows(skewed):
-    coarse = F.col("a").cast("bigint") * 100 + F.col("b")
     known = skewed.where("g IS NOT NULL")
-    out = both(skewed, lambda hot: groups.number_rows(known, "g", ("a", "b", "id"), coarse, hot=hot))
-    assert out.groupBy("g").agg((F.max("member") - F.count("g")).alias("d")).where("d <> 0").count() == 0
-
-
-def test_hot_groups_spread_over_slots(skewed):
-    spread = groups.spread_hot_groups(skewed, "g", "id", some_hot(skewed))
-    for group, slots in (("g = 'big'", 10), ("g IS NULL", 2)):
-        sizes = spread.where(group).groupBy(groups.SLOT).count().collect()
-        assert len(sizes) >= slots and max(r["count"] for r in sizes) < 50
-
-
-def test_hot_manifest_cleans_to_the_same_rows(spark, sf_dir):
-    """The whole cleaning with every order of ten or more items treated as hot."""
-    plain = hot_orders(spark, sf_dir)
-    assert plain.table is None
-    hot = groups.hot_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", 10)
-    assert hot.table.count() > 3
-    for clean in (cleaning.clean_train, lambda df, hot: cleaning.clean_score(df.drop("Transported"), hot)):
-        expected = clean(manifest(spark, sf_dir, hot=plain), hot_groups(plain))
-        got = clean(manifest(spark, sf_dir, hot=hot), hot_groups(hot))
-        assert rows(got) == rows(expected)
-        assert rows(cleaning.fit_features(got).transform(got, hot_groups(hot))) == rows(
-            cleaning.fit_features(expected).transform(expected, hot_groups(plain)))
+    out = groups.number_rows(known, "g", ("a", "b", "id"), F.floor(F.col("a") / 7))
+    got = {r["id"]: r["member"] for r in out.collect()}
+    for g, own in members(known).items():
+        ordered = sorted(own, key=lambda r: (r["a"], r["b"], r["id"]))
+        assert [got[r["id"]] for r in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_distinct_values_of_one_group_take_linear_time(spark):
+    """Two hundred thousand distinct values in a group: an aggregate of them, no list that each row repeats."""
+    df = spark.range(200_000).selectExpr("cast(1 as int) g", "cast(id as string) v", "id ord")
+    assert repair.propagate_group_value(df, "g", ["v"], "ord").select("v").distinct().collect() == [("199999",)]
+
+
+def test_no_task_holds_the_group(spark, tmp_path):
+    """Half the rows in one group: their side of the join is split."""
+    previous = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(100_000).repartition(8).selectExpr(
+            "if(id % 2 = 0, 'big', cast(id as string)) g", "cast(xxhash64(id) as string) v", "id ord").withColumn("pad", F.sha2("v", 512))
+        out = repair.fill_if_unique(df, "g", "v").withColumn("task", F.spark_partition_id())
+        out.write.parquet(str(tmp_path / "out"))
+        largest = spark.read.parquet(str(tmp_path / "out")).where("g = 'big'").groupBy("task").count().agg(F.max("count")).first()[0]
+        assert largest < 25_000
+    finally:
+        for k in settings:
+            spark.conf.set(k, previous[k]) if k in previous else spark.conf.unset(k)

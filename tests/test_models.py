@@ -110,10 +110,34 @@ def test_batch_and_stream_scoring_agree(spark, sf_dir, tmp_path):
     unlabelled = manifest(spark, sf_dir, split="score").drop("Transported").cache()
     inbox = tmp_path / "inbox"
     unlabelled.coalesce(1).write.csv(str(inbox), header=True)
-    expected = sorted(map(tuple, training.score_manifest(unlabelled, data.encoder, model).collect()))
-    query = score_stream(manifest_stream(spark, str(inbox)), data.encoder, model, str(tmp_path / "out"), str(tmp_path / "progress"))
+    expected = sorted(map(tuple, training.score_manifest(unlabelled, data.encoder, model, data.means).collect()))
+    query = score_stream(manifest_stream(spark, str(inbox)), data.encoder, model, data.means, str(tmp_path / "out"), str(tmp_path / "progress"))
     query.awaitTermination(300)
     assert query.exception() is None
     got = spark.read.schema("PassengerId string, Transported boolean").csv(str(tmp_path / "out" / "batch=0"), header=True)
     assert sorted(map(tuple, got.collect())) == expected
     assert len(expected) == unlabelled.count()
+
+
+def test_scoring_rows_do_not_change_the_fitted_means(spark, sf_dir):
+    """Means learned in training fill a scoring table whose own means are others; refitting uses its own."""
+    from purser.plans import cleaning
+
+    train = manifest(spark, sf_dir, split="train")
+    _, means = cleaning.fit_clean_train(train)
+    scoring = manifest(spark, sf_dir, split="score").drop("Transported").withColumn("Age", F.when(F.col("Age").isNotNull(), F.lit(200.0)))
+    missing = scoring.where("Age is null").select("PassengerId")
+    filled = {r["Age"] for r in cleaning.clean_score(scoring, means).join(missing, "PassengerId").collect()}
+    refitted = {r["Age"] for r in cleaning.clean_score(scoring).join(missing, "PassengerId").collect()}
+    assert refitted == {200.0} and filled and max(filled) < 100
+
+
+def test_network_curve_falls(toy):
+    curve = models.network_curve(toy.where("split = 'train'"), toy.where("split = 'val'"), 3, stages=3, iterations=5)
+    assert [len(v) for v in curve.values()] == [3, 3] and curve["loss"][-1] < curve["loss"][0]
+
+
+def test_the_whole_grid_has_81_settings():
+    from purser.plans.model_catalog import full_grid
+
+    assert len(full_grid(models.boosted_trees())) == 81
