@@ -168,7 +168,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     open_members = open_members.select("bucket", "band", "doc_id", "component", "pair.*")
     carried = reps.select("doc_id", "sketch").join(texts, "doc_id")
     more = written(_forest(open_members.join(carried, "doc_id")), "more-links")
-    return sketched.join(rep_of, "key", "left").select("doc_id", "rep"), components(links.unionByName(more))
+    return sketched.join(rep_of, "key", "left").select("doc_id", "rep"), components(
+        so_far.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,9 +184,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = rows.withColumn("node", node).join(linked, "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("class_id"))
     # A repeated id can stand for several texts.
+    classes = written(classes, "classes")
     ties = classes.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b")
-    merged = components(ties.select("a", "b"), "repeated-ids").select(F.col("node").alias("class_id"), "component")
-    classes = classes.join(merged, "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("class_id"))
+    if not ties.isEmpty():
+        merged = components(ties.select("a", "b"), "repeated-ids").select(F.col("node").alias("class_id"), "component")
+        classes = classes.join(merged, "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("class_id"))
     out = classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
     unnamed = docs.where(F.col(doc_id).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
