@@ -30,20 +30,27 @@ def terms(text: str | Column) -> Column:
 
 
 def lexicon(docs: DataFrame, n_docs: int, text: str = "text") -> DataFrame:
-    """(term) of all terms in the band, counted over all documents."""
+    """(term, subsets) of all terms in the band, counted over all documents; bit i of subsets: the term is in sub-lexicon i."""
     seen = docs.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return seen.where((F.col("n") >= LEAST_SHARE * n_docs) & (F.col("n") <= MOST_SHARE * n_docs)).select("term")
+    return seen.where((F.col("n") >= LEAST_SHARE * n_docs) & (F.col("n") <= MOST_SHARE * n_docs)).select("term", _subsets(F.md5("term")).alias("subsets"))
+
+
+def _subsets(digest: Column) -> Column:
+    bits = [F.when(F.substring(digest, place, 2) < below, 1 << i).otherwise(0) for i, (place, below) in enumerate(SUBSETS)]
+    return sum(bits[1:], bits[0])
 
 
 def fingerprint(found: Column, otherwise: Column) -> Column:
-    """The hashes of a document's sorted lexicon terms, or the other digest for each where it has none."""
+    """The hashes of a document's sorted lexicon terms (with their subsets), or the other digest for each where it has none."""
 
-    def one(place: int, below: str) -> Column:
-        own = F.filter(found, lambda t: F.substring(F.md5(t), place, 2) < below)
-        return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ")), 1, 8)).otherwise(NONE)
+    def own(bit: Column) -> Column:
+        kept = F.filter(found, lambda t: t["subsets"].bitwiseAND(bit) != 0)
+        return F.array_join(F.transform(kept, lambda t: t["term"]), " ")
 
+    bits = F.array(*[F.lit(1 << i) for i in range(len(SUBSETS))])
+    hashes = F.transform(F.transform(bits, own), lambda j: F.when(j != "", F.substring(F.md5(j), 1, 8)).otherwise(NONE))
     alone = F.array_repeat(F.substring(otherwise, 1, 8), len(SUBSETS))
-    return F.array_join(F.when(F.size(found) > 0, F.array(*[one(*s) for s in SUBSETS])).otherwise(alone), ".")
+    return F.array_join(F.when(F.size(found) > 0, hashes).otherwise(alone), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -115,7 +122,8 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     carried = ("doc_id", "next_part", "next_place", "n_chars", "edited_sha256", "otherwise")
     spread = both.withColumn("otherwise", F.md5(every)).select(
         "part", "place", "v.version", *carried, F.posexplode_outer("terms").alias("pos", "term"))
-    known = spread.join(words.withColumn("known", F.col("term")), "term", "left").where("known is not null or coalesce(pos, 0) = 0")
+    known = spread.join(words, "term", "left").where("subsets is not null or coalesce(pos, 0) = 0")
+    known = known.withColumn("known", F.when(F.col("subsets").isNotNull(), F.struct("term", "subsets")))
     # All of this happens inside the parts: their rows are together since they were numbered.
     prints = known.groupBy("part", "place", "version").agg(
         F.sort_array(F.collect_list("known")).alias("found"), *[F.first(c).alias(c) for c in carried])
