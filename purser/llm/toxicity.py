@@ -25,17 +25,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from purser.llm.common import held_out, id_and_text
+from purser.session import written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The sample of labelled rows that is fitted on: so many of each class at most, lowest id hashes first.
-SAMPLE_PER_CLASS = 8_192
-MAX_TERMS = 4_096
+SAMPLE_PER_CLASS = 4_096
+MAX_TERMS = 512
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (3, 4, 5)
 MAX_REMEMBERED = 400_000
 MIN_CHI_SQUARE = 30.0
-BLOCK = 64
+BLOCK = 256
 NEIGHBOURS = 16
+#: So many examples, evenly spaced by id, are voted on without themselves to calibrate the votes.
+CALIBRATED = 2_048
+#: Weight, in labelled rows, of the corpus' share of toxic ones in each calibrated step.
+PULL = 2.0
 #: Weight of the share among texts without any term, in votes of cosine 1.
 PRIOR_VOTES = 0.5
 THRESHOLD = 0.3
@@ -118,18 +123,20 @@ class BlockMaxIndex:
     def __post_init__(self):
         examples, idf = self.model.examples, self.model.idf
         self.term = {t: i for i, t in enumerate(sorted(idf))}
-        n_blocks = -(-len(examples) // BLOCK)
-        self.highest = np.zeros((len(self.term), n_blocks))
-        lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for at, (_, _, times) in enumerate(examples):
-            for t, w in weights(Counter(dict(times)), idf).items():
-                key = (at // BLOCK, self.term[t])
-                places, values = lists.setdefault(key, ([], []))
-                places.append(at % BLOCK)
-                values.append(w)
-                self.highest[key[1], key[0]] = max(self.highest[key[1], key[0]], w)
         self.terms = WordTerms(frozenset(self.term))
-        self.lists = {k: (np.array(p), np.array(v)) for k, (p, v) in lists.items()}
+        self.n_blocks = -(-len(examples) // BLOCK)
+        postings = [
+            (self.term[t], at, w) for at, (_, _, times) in enumerate(examples) for t, w in weights(Counter(dict(times)), idf).items()
+        ]
+        term, at, weight = (np.array(x) for x in zip(*postings, strict=True)) if postings else (np.zeros(0, int),) * 3
+        # Lists by term, then example: a block of a list lies between two neighbouring starts.
+        order = np.lexsort((at, term))
+        block = term[order] * self.n_blocks + at[order] // BLOCK
+        self.places, self.values = (at[order] % BLOCK).astype(np.int16), weight[order].astype(np.float64)
+        self.starts = np.searchsorted(block, np.arange(len(self.term) * self.n_blocks + 1))
+        self.highest = np.zeros(len(self.term) * self.n_blocks)
+        np.maximum.at(self.highest, block, self.values)
+        self.highest = self.highest.reshape(len(self.term), self.n_blocks)
 
     def nearest(self, times: Counter, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k largest positive cosines and their examples; of equal ones the first examples."""
@@ -144,8 +151,8 @@ class BlockMaxIndex:
                 break
             cosines = np.zeros(BLOCK)
             for t, w in vector:
-                if found := self.lists.get((block, t)):
-                    cosines[found[0]] += w * found[1]
+                here = slice(*self.starts[t * self.n_blocks + block :][:2])
+                cosines[self.places[here]] += w * self.values[here]
             best += [(-c, block * BLOCK + i) for i, c in enumerate(cosines.tolist()) if c > 0]
             best = sorted(best)[:k]
         return [(-c, at) for c, at in best]
@@ -180,8 +187,11 @@ def calibrated(votes: float, steps: tuple[tuple[float, float], ...]) -> float:
     return out
 
 
-def isotonic(points: list[tuple[float, int, float]]) -> tuple[tuple[float, float], ...]:
-    """Non-decreasing steps through (votes, label, weight), pooling neighbours that are out of order."""
+def isotonic(points: list[tuple[float, int, float]], base: float = 0.0, pull: float = 0.0) -> tuple[tuple[float, float], ...]:
+    """Non-decreasing steps through (votes, label, weight), pooling neighbours that are out of order.
+
+    Each step is pulled toward ``base`` by a weight of ``pull``, so that a few points alone decide little.
+    """
     pools: list[list[float]] = []  # votes from there on, weight, weighted labels
     for votes, label, weight in sorted(points):
         if pools and pools[-1][0] == votes:
@@ -193,7 +203,11 @@ def isotonic(points: list[tuple[float, int, float]]) -> tuple[tuple[float, float
             _, weight_2, labels_2 = pools.pop()
             pools[-1][1] += weight_2
             pools[-1][2] += labels_2
-    return tuple((start, labels / weight) for start, weight, labels in pools)
+    steps, highest = [], 0.0
+    for start, weight, labels in pools:
+        highest = max(highest, (labels + pull * base) / (weight + pull))
+        steps.append((start, highest))
+    return tuple(steps)
 
 
 def _example_terms(rows: DataFrame) -> DataFrame:
@@ -212,6 +226,22 @@ def _example_terms(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(words, "doc_id long, label int, word string, times long")
 
 
+def _examples(rows: DataFrame, chosen: frozenset[str]) -> DataFrame:
+    """(doc_id, label, terms, times) of the labelled rows that have a chosen term."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_word = WordTerms(chosen)
+        for batch in batches:
+            found = [of_word.count(text.as_py()) for text in batch["text"]]
+            out = pa.record_batch(
+                [batch["doc_id"], batch["label"], pa.array([list(f) for f in found], pa.list_(pa.string())),
+                 pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))],
+                names=["doc_id", "label", "terms", "times"])
+            yield out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    return rows.mapInArrow(terms, "doc_id long, label int, terms array<string>, times array<long>")
+
+
 def document_frequencies(texts: DataFrame, terms: frozenset[str]) -> tuple[int, dict[str, int]]:
     """Number of rows, and of those whose text has each term; counted over all rows, one sum for each batch."""
 
@@ -250,17 +280,18 @@ def fit_toxicity(
         return ToxicityModel({}, (), (1.0, 1.0), 0.0)
     drawn = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
     sample = drawn[0].unionByName(drawn[1])
-    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    words = _example_terms(rows).persist()
-    size = {y: min(SAMPLE_PER_CLASS, share.get(y, 0)) for y in (0, 1)}
-    chosen = _chosen_terms(words, size)
+    drawn_texts = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    # Of equal texts one example says as much as many; it is toxic if one of them is.
+    rows = written(drawn_texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "examples")
+    size = {0: 0, 1: 0} | {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = _chosen_terms(_example_terms(rows), size)
     n_docs, seen = document_frequencies(texts, chosen)
     idf = {t: math.log((1 + n_docs) / (1 + seen.get(t, 0))) + 1 for t in chosen}
-    held: dict[tuple[int, int], list[tuple[str, int]]] = {}
-    for r in words.where(F.col("word").isin(*chosen) if chosen else F.lit(False)).collect():  # the sample's chosen terms only
-        held.setdefault((r["doc_id"], r["label"]), []).append((r["word"], r["times"]))
-    words.unpersist()
-    examples = tuple((d, y, tuple(sorted(t))) for (d, y), t in sorted(held.items()))
+    name = {t: t for t in chosen}
+    examples = tuple(
+        (r["doc_id"], r["label"], tuple(sorted((name[t], n) for t, n in zip(r["terms"], r["times"], strict=True))))
+        for r in _examples(rows, chosen).orderBy("doc_id").collect()  # one row for each example
+    )
     # A drawn row stands for so many labelled ones.
     each = tuple(share.get(y, 0) / size[y] if size[y] else 0.0 for y in (0, 1))
     without = [size[y] - sum(e[1] == y for e in examples) for y in (0, 1)]
@@ -269,7 +300,7 @@ def fit_toxicity(
     share_without = (without[1] * each[1] + base) / (n_without + 1)
     highest = max(each)
     model = ToxicityModel(idf, examples, tuple(w / highest for w in each), share_without)
-    return ToxicityModel(idf, examples, model.class_weight, share_without, _calibration(model, without, each))
+    return ToxicityModel(idf, examples, model.class_weight, share_without, _calibration(model, without, each, base))
 
 
 def _chosen_terms(words: DataFrame, size: dict[int, int]) -> frozenset[str]:
@@ -284,18 +315,21 @@ def _chosen_terms(words: DataFrame, size: dict[int, int]) -> frozenset[str]:
     return frozenset(r["word"] for r in top.orderBy(F.desc("chi"), "word").limit(MAX_TERMS).collect())
 
 
-def _calibration(model: ToxicityModel, without: list[int], each: tuple[float, ...]) -> tuple[tuple[float, float], ...]:
+def _calibration(model: ToxicityModel, without: list[int], each: tuple[float, ...], base: float) -> tuple[tuple[float, float], ...]:
     """Steps from each example's votes, left to its neighbours, to the share of toxic ones."""
     index = BlockMaxIndex(model)
     seen: dict[tuple, list[tuple[float, int]]] = {}
     points = []
-    for at, (_, label, times) in enumerate(model.examples):
+    chosen = sorted(set(np.linspace(0, len(model.examples) - 1, min(CALIBRATED, len(model.examples))).astype(int).tolist()))
+    for at in chosen:
+        _, label, times = model.examples[at]
         if times not in seen:
             seen[times] = index.nearest(Counter(dict(times)), NEIGHBOURS + 1)
         near = [x for x in seen[times] if x[1] != at][:NEIGHBOURS]
         points.append((index.votes(near), label, each[label]))
-    points += [(model.share_without, y, without[y] * each[y]) for y in (0, 1) if without[y]]
-    return isotonic(points)
+    part = len(chosen) / max(len(model.examples), 1)
+    points += [(model.share_without, y, part * without[y] * each[y]) for y in (0, 1) if without[y] and part]
+    return isotonic(points, base, PULL)
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
