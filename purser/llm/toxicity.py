@@ -8,8 +8,8 @@ text, the blocks are scored in the order of their bound (the weighted sum of tho
 exceeds the k-th best cosine, so the k nearest are exact.
 
 The examples vote with their cosines. Both classes are sampled alike, so votes are weighted back to the shares
-the labels have, pulled toward the share among texts without any term, and calibrated by an isotonic fit of
-each example's vote without itself.
+the labels have, pulled toward the share among texts without any term, and calibrated by a logistic curve
+fitted to each example's vote without itself.
 """
 
 from __future__ import annotations
@@ -32,14 +32,14 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_PER_CLASS = 4_096
 MAX_TERMS = 512
 #: Lengths of the beginnings of words that are terms.
-BEGINNINGS = (3, 4, 5)
+BEGINNINGS = (4, 5)
 MAX_REMEMBERED = 400_000
 MIN_CHI_SQUARE = 30.0
 BLOCK = 256
 NEIGHBOURS = 16
 #: So many examples, evenly spaced by id, are voted on without themselves to calibrate the votes.
 CALIBRATED = 2_048
-#: Weight, in labelled rows, of the corpus' share of toxic ones in each calibrated step.
+#: Weight, in labelled rows, of leaving the votes as they are.
 PULL = 2.0
 #: Weight of the share among texts without any term, in votes of cosine 1.
 PRIOR_VOTES = 0.5
@@ -78,7 +78,7 @@ class ToxicityModel:
     examples: tuple[tuple[int, int, tuple[tuple[str, int], ...]], ...]  # id, label, (term, times)
     class_weight: tuple[float, float]
     share_without: float
-    steps: tuple[tuple[float, float], ...] = ()  # votes from there on, calibrated score
+    curve: tuple[float, float] = (1.0, 0.0)
 
     def column(self, text: str | Column) -> Column:
         """struct<score, evidence> of a text column; evidence are the nearest examples' ids and cosines, nearest first."""
@@ -174,40 +174,38 @@ class BlockMaxIndex:
             evidence = [(self.model.examples[at][0], self.model.examples[at][1], c) for c, at in near]
             if len(self.remembered) > 50_000:
                 self.remembered.clear()
-            self.remembered[key] = (calibrated(self.votes(near), self.model.steps), evidence)
+            self.remembered[key] = (calibrated(self.votes(near), self.model.curve), evidence)
         return self.remembered[key]
 
 
-def calibrated(votes: float, steps: tuple[tuple[float, float], ...]) -> float:
-    out = steps[0][1] if steps else votes
-    for start, value in steps:
-        if votes < start:
-            break
-        out = value
-    return out
+def calibrated(votes: float, curve: tuple[float, float]) -> float:
+    return 1 / (1 + math.exp(-(curve[0] * _odds(votes) + curve[1])))
+
+
+def _odds(share: float) -> float:
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return math.log(share / (1 - share))
 
 
-def isotonic(points: list[tuple[float, int, float]], base: float = 0.0, pull: float = 0.0) -> tuple[tuple[float, float], ...]:
-    """Non-decreasing steps through (votes, label, weight), pooling neighbours that are out of order.
+def logistic_curve(points: list[tuple[float, int, float]]) -> tuple[float, float]:
+    """Slope and shift of the votes' log odds that suit (votes, label, weight) best, held near (1, 0) as if by ``PULL`` rows.
 
-    Each step is pulled toward ``base`` by a weight of ``pull``, so that a few points alone decide little.
+    So without points, or with few, the votes are their own calibration.
     """
-    pools: list[list[float]] = []  # votes from there on, weight, weighted labels
-    for votes, label, weight in sorted(points):
-        if pools and pools[-1][0] == votes:
-            pools[-1][1] += weight
-            pools[-1][2] += weight * label
-        else:
-            pools.append([votes, weight, weight * label])
-        while len(pools) > 1 and pools[-2][2] / pools[-2][1] >= pools[-1][2] / pools[-1][1]:
-            _, weight_2, labels_2 = pools.pop()
-            pools[-1][1] += weight_2
-            pools[-1][2] += labels_2
-    steps, highest = [], 0.0
-    for start, weight, labels in pools:
-        highest = max(highest, (labels + pull * base) / (weight + pull))
-        steps.append((start, highest))
-    return tuple(steps)
+    x = np.array([[_odds(v), 1.0] for v, _, _ in points]).reshape(-1, 2)
+    y, w = (np.array([p[i] for p in points], float) for i in (1, 2))
+    start = np.array([1.0, 0.0])
+    curve = start.copy()
+    for _ in range(50):  # Newton steps, shortened so that none overshoots far
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
+        slope = x.T @ (w * (y - p)) - PULL * (curve - start)
+        bend = (x * (w * p * (1 - p))[:, None]).T @ x + PULL * np.eye(2)
+        move = np.clip(np.linalg.solve(bend, slope), -1, 1)
+        curve += move
+        curve[0] = max(curve[0], 0.05)  # more toxic votes never lower the score
+        if np.abs(move).max() < 1e-9:
+            break
+    return float(curve[0]), float(curve[1])
 
 
 def _example_terms(rows: DataFrame) -> DataFrame:
@@ -300,7 +298,7 @@ def fit_toxicity(
     share_without = (without[1] * each[1] + base) / (n_without + 1)
     highest = max(each)
     model = ToxicityModel(idf, examples, tuple(w / highest for w in each), share_without)
-    return ToxicityModel(idf, examples, model.class_weight, share_without, _calibration(model, without, each, base))
+    return ToxicityModel(idf, examples, model.class_weight, share_without, _calibration(model, without, each))
 
 
 def _chosen_terms(words: DataFrame, size: dict[int, int]) -> frozenset[str]:
@@ -312,11 +310,20 @@ def _chosen_terms(words: DataFrame, size: dict[int, int]) -> frozenset[str]:
     spread = F.col("n") * (n - F.col("n")) * positive * (n - positive)
     strength = F.when(spread > 0, off * off * n / spread)
     top = counts.select("word", strength.alias("chi")).where(F.col("chi") >= MIN_CHI_SQUARE)
-    return frozenset(r["word"] for r in top.orderBy(F.desc("chi"), "word").limit(MAX_TERMS).collect())
-
-
-def _calibration(model: ToxicityModel, without: list[int], each: tuple[float, ...], base: float) -> tuple[tuple[float, float], ...]:
-    """Steps from each example's votes, left to its neighbours, to the share of toxic ones."""
+    found = {r["word"]: r["chi"] for r in top.orderBy(F.desc("chi"), "word").limit(8 * MAX_TERMS).collect()}
+    # A beginning counts only where it says more than any word or longer beginning it stands for.
+    better: dict[str, float] = {}
+    for term, chi in found.items():
+        stem = term.removesuffix("*")
+        for n in BEGINNINGS:
+            if len(stem) > n or len(stem) == n and not term.endswith("*"):
+                better[f"{stem[:n]}*"] = max(chi, better.get(f"{stem[:n]}*", 0.0))
+    kept = [t for t, chi in found.items() if not (t.endswith("*") and better.get(t, 0.0) >= chi)]
+    return frozenset(kept[:MAX_TERMS])
+
+
+def _calibration(model: ToxicityModel, without: list[int], each: tuple[float, ...]) -> tuple[float, float]:
+    """The curve from each example's votes, left to its neighbours, to the share of toxic ones."""
     index = BlockMaxIndex(model)
     seen: dict[tuple, list[tuple[float, int]]] = {}
     points = []
@@ -329,7 +336,7 @@ def _calibration(model: ToxicityModel, without: list[int], each: tuple[float, ..
         points.append((index.votes(near), label, each[label]))
     part = len(chosen) / max(len(model.examples), 1)
     points += [(model.share_without, y, part * without[y] * each[y]) for y in (0, 1) if without[y] and part]
-    return isotonic(points, base, PULL)
+    return logistic_curve(points)
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -97,10 +97,15 @@ def test_blocks_are_skipped_without_loss():
         assert [c for c, _ in index.nearest(times)] == pytest.approx([-c for c, _ in every[: toxicity.NEIGHBOURS] if c < 0])
 
 
-def test_isotonic():
-    steps = toxicity.isotonic([(0.1, 0, 1.0), (0.2, 1, 1.0), (0.3, 0, 1.0), (0.4, 1, 2.0)])
-    assert steps == ((0.1, 0.0), (0.2, 0.5), (0.4, 1.0))
-    assert [toxicity.calibrated(v, steps) for v in (0.0, 0.15, 0.35, 0.9)] == [0.0, 0.0, 0.5, 1.0]
+def test_calibration():
+    assert toxicity.logistic_curve([]) == (1.0, 0.0)
+    pick = np.random.default_rng(5)
+    votes = pick.random(4000)
+    sharp = [(float(v), int(pick.random() < v * v / (v * v + (1 - v) ** 2)), 1.0) for v in votes]  # twice the log odds
+    slope, shift = toxicity.logistic_curve(sharp)
+    assert slope == pytest.approx(2, abs=0.2) and shift == pytest.approx(0, abs=0.2)
+    scores = [toxicity.calibrated(v, (slope, shift)) for v in (0.0, 0.2, 0.5, 0.9, 1.0)]
+    assert scores == sorted(scores) and 0 <= scores[0] and scores[-1] <= 1
 
 
 def test_toxicity_of_awkward_texts(spark, toxic_model, awkward, nothing):
