@@ -38,9 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mask in place of each secret; n_chars follows the new text."""
-    found = secrets.find_secrets(docs)
     masked = F.when(F.col("row.text").isNotNull(), secrets.masked_text())
-    new = {"text": masked, "n_chars": F.when(F.size("spans") > 0, F.length(masked).cast("long")).otherwise(F.col("row.n_chars"))}
+    found = secrets.find_secrets(docs).select("row", F.size("spans").alias("n"), masked.alias("masked"))
+    new = {"text": F.col("masked")} | ({"n_chars": F.when(F.col("n") > 0, F.length("masked").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
     return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
