@@ -4,6 +4,10 @@ For each language a zstandard raw-content dictionary is made of excerpts of docu
 compressed whole with every dictionary; the smallest result names the language. The score is the share of
 bytes saved against the runner-up, and a text whose score is too small is rejected.
 
+Every dictionary is as long as its language's excerpts allow, whatever the others have. Two languages are compared
+with equally much text: the longer dictionary is cut into pieces of the shorter one's length, and the language of less text
+wins only if it is clearly better than with each of several such pieces.
+
 Letters only: a text is lower-cased and its words are joined by one blank, so that case, digits and marks,
 which no language owns, decide nothing.
 """
@@ -29,6 +33,9 @@ EXCERPT_CHARS = 400
 DICTIONARY_BYTES = 131_072
 LEVEL = 6
 MIN_MARGIN = 0.001
+#: So many pieces of a longer dictionary a shorter one is compared with, and the share of bytes it must save against each.
+RIVALS = 8
+CLEAR = 0.01
 
 
 def letters(text: str) -> bytes:
@@ -48,9 +55,9 @@ class LanguageModel:
 
         @F.arrow_udf("lang string, score double, rejected boolean")
         def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            compressors = _compressors(shared.value.dictionaries)
+            dictionaries = shared.value.dictionaries
             for batch in batches:
-                found = [_predict(text.as_py(), compressors) for text in batch]
+                found = [_predict(text.as_py(), dictionaries) for text in batch]
                 yield pa.StructArray.from_arrays(
                     [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                      pa.array([f[0] == UNKNOWN or f[1] < MIN_MARGIN for f in found], pa.bool_())],
@@ -65,24 +72,48 @@ def _broadcast(model: LanguageModel):
     return SparkSession.active().sparkContext.broadcast(model)
 
 
-@lru_cache(maxsize=1)
-def _compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    out = []
-    for lang, content in dictionaries:
-        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(level=LEVEL)
-        out.append((lang, zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)))
-    return out
+@lru_cache(maxsize=128)
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def _size(words: bytes, content: bytes) -> int:
+    return len(_compressor(content).compress(words))
+
+
+@lru_cache(maxsize=1_024)
+def _pieces(content: bytes, size: int) -> list[bytes]:
+    """At most ``RIVALS`` pieces of a size, evenly spaced over a dictionary."""
+    n = min(RIVALS, len(content) // size)
+    starts = [0] if n == 1 else [(len(content) - size) * i // (n - 1) for i in range(n)]
+    return [content[start : start + size] for start in starts]
 
 
-def _predict(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:
+def _predict(text: str | None, dictionaries: tuple[tuple[str, bytes], ...]) -> tuple[str, float]:
     words = letters(text or "")
-    if not words or not compressors:
+    if not words or not dictionaries:
         return UNKNOWN, 0.0
-    sizes = sorted((len(c.compress(words)), lang) for lang, c in compressors)
-    if len(sizes) == 1:
-        return sizes[0][1], 1.0
-    return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+    if len(dictionaries) == 1:
+        return dictionaries[0][0], 1.0
+    sizes = {lang: _size(words, content) for lang, content in dictionaries}
+    # From the longest dictionary on, so that a rival never has more text than the language that leads.
+    (best, held), *rivals = sorted(dictionaries, key=lambda d: (-len(d[1]), sizes[d[0]], d[0]))
+    score = None
+    for lang, content in rivals:
+        if len(content) == len(held):
+            if sizes[lang] < sizes[best]:
+                best, held, score = lang, content, None
+            continue
+        against = min(_size(words, piece) for piece in _pieces(held, len(content)))
+        margin = (against - sizes[lang]) / against
+        if margin > (CLEAR if 2 * len(content) <= len(held) else 0):
+            best, held, score = lang, content, margin
+    if score is None:
+        against = min(size for lang, size in sizes.items() if lang != best)
+        score = max(0.0, (against - sizes[best]) / against)
+    return best, score
 
 
 def fit_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -108,9 +139,7 @@ def fit_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
             content.setdefault(row["lang"], []).append(words)
     if not content:
         return LanguageModel(())
-    # Equal sizes, so that none wins by having seen more.
-    size = min(DICTIONARY_BYTES, min(len(b" ".join(parts)) for parts in content.values()))
-    return LanguageModel(tuple((name, b" ".join(parts)[:size]) for name, parts in sorted(content.items())))
+    return LanguageModel(tuple((name, b" ".join(parts)[:DICTIONARY_BYTES]) for name, parts in sorted(content.items())))
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

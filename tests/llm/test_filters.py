@@ -30,6 +30,26 @@ def test_language_accuracy(corpus):
     assert np.mean([r["rejected"] for r in rows]) < 0.02 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_a_rare_language_leaves_the_others_as_they_are(spark, corpus):
+    docs = corpus["documents"]
+    ids = spark.range(10_000_000, 10_000_020).selectExpr("id AS doc_id").where("crc32(CAST(doc_id AS STRING)) % 4 != 2").limit(1)
+    rare = ids.selectExpr("doc_id", "'krølle bølle' AS text", "'xx' AS lang", "'s' AS source", "12L AS n_chars")
+    model, before = language.fit_language(docs.select(rare.columns).unionByName(rare)), language.fit_language(docs)
+    assert [d for d in model.dictionaries if d[0] != "xx"] == list(before.dictionaries)
+    assert min(len(d) for _, d in before.dictionaries) > 10_000 and dict(model.dictionaries)["xx"] == "krølle bølle".encode()
+    rows = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97 and np.mean([r["rejected"] for r in rows]) < 0.02
+
+
+def test_a_language_of_little_text_is_found(corpus):
+    docs = corpus["documents"]
+    model = language.fit_language(docs)
+    short = language.LanguageModel(tuple((name, d[:2000] if name == "fr" else d) for name, d in model.dictionaries))
+    rows = language.identify(docs, short).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang_pred"] == "fr" for r in rows if r["lang"] == "fr"]) > 0.9
+    assert np.mean([r["lang_pred"] == r["lang"] for r in rows if r["lang"] != "fr"]) > 0.97
+
+
 def test_language_of_awkward_texts(spark, corpus, awkward, nothing):
     model = language.fit_language(corpus["documents"])
     rows = language.identify(awkward, model).collect()
