@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 For each language a zstandard raw-content dictionary is made of excerpts of documents labelled with it. A text is
-compressed whole with every dictionary; the smallest result names the language. The score is the share of
-bytes saved against the runner-up, and a text whose score is too small is rejected.
+compressed whole with every dictionary, in pieces whose sizes are summed; the smallest sum names the language. The score is
+the share of bytes saved against the runner-up, and a text whose score is too small is rejected. Each piece starts from the
+dictionary alone, so the score of a long text is about that of its pieces.
 
 Every dictionary is as long as its language's excerpts allow, whatever the others have. Two languages are compared
 with equally much text: the longer dictionary is cut into pieces of the shorter one's length, and the language of less text
@@ -32,6 +33,7 @@ EXCERPTS = 512
 EXCERPT_CHARS = 400
 DICTIONARY_BYTES = 131_072
 LEVEL = 6
+PIECE = 16_384
 MIN_MARGIN = 0.001
 #: So many pieces of a longer dictionary a shorter one is compared with, and the share of bytes it must save against each.
 RIVALS = 8
@@ -80,7 +82,8 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def _size(words: bytes, content: bytes) -> int:
-    return len(_compressor(content).compress(words))
+    compressor = _compressor(content)
+    return sum(len(compressor.compress(words[at : at + PIECE])) for at in range(0, len(words), PIECE))
 
 
 @lru_cache(maxsize=1_024)

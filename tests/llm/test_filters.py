@@ -50,6 +50,15 @@ def test_a_language_of_little_text_is_found(corpus):
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows if r["lang"] != "fr"]) > 0.97
 
 
+def test_long_texts_keep_their_margin(corpus):
+    docs = corpus["documents"]
+    model = language.fit_language(docs)
+    english = " ".join(r["text"] for r in docs.where("lang = 'en' AND text IS NOT NULL").orderBy("doc_id").collect())
+    short, long = (language._predict(text, model.dictionaries) for text in (english[:20_000], english * 3))
+    assert len(english) > 1_000_000 and short[0] == long[0] == "en"
+    assert long[1] > short[1] / 2 > 10 * language.MIN_MARGIN
+
+
 def test_language_of_awkward_texts(spark, corpus, awkward, nothing):
     model = language.fit_language(corpus["documents"])
     rows = language.identify(awkward, model).collect()
