@@ -3,7 +3,9 @@
 Equal vectors of a label are one node. The nodes of a label are dealt into shards of bounded size, and a hierarchical
 small-world graph is built for each. Each pair of shards of a label is a task: the nodes of the one query the graph of the
 other (within a shard, all query their own). A query's beam is widened while it is full of links; all beams of a task
-are widened until an audit of sampled queries against brute force finds what it must. Every hit is verified
+are widened until audits of sampled queries against brute force find what they must: the graph's own nodes, the same slightly
+moved, which have links there for certain, and the querying shard's nodes. No audit counts a node's finding itself or what
+it was moved from among the other links. If no beam that is cheaper does, the task compares all pairs. Every hit is verified
 in double precision, so no reported link is below the threshold.
 
 Tasks return the number of links of each node and a spanning forest of the links, never the pairs; the forests' components
@@ -60,9 +62,15 @@ def _build(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _hits(graph: Graph, indexed: np.ndarray, queries: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries, indexed) places of verified links, batch by batch. A beam full of links is doubled."""
+    """(queries, indexed) places of verified links, batch by batch. A beam full of links is doubled; one wider than all nodes
+    stands for comparing all pairs."""
     for start in range(0, len(queries), QUERIES):
-        waiting, wide = np.arange(start, min(start + QUERIES, len(queries))), min(beam, len(indexed))
+        if beam > len(indexed):
+            q, i = np.nonzero(queries[start : start + QUERIES] @ indexed.T >= THRESHOLD - SLACK)
+            true = np.einsum("ld,ld->l", queries[start + q], indexed[i]) >= THRESHOLD
+            yield start + q[true], i[true]
+            continue
+        waiting, wide = np.arange(start, min(start + QUERIES, len(queries))), beam
         while len(waiting):
             nodes, sims = graph.search(queries[waiting], wide)
             # A search that filled its beam with links may have missed some; one that met all nodes has not.
@@ -74,18 +82,53 @@ def _hits(graph: Graph, indexed: np.ndarray, queries: np.ndarray, beam: int) ->
             waiting, wide = waiting[full], min(2 * wide, len(indexed))
 
 
+def _spaced(n: int) -> np.ndarray:
+    return np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
+
+
+def _moved(vectors: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Unit vectors half way to the threshold from the given ones, in random directions."""
+    aside = np.random.default_rng(seed).standard_normal(vectors.shape)
+    aside -= np.einsum("nd,nd->n", aside, vectors)[:, None] * vectors
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.divide(aside, length, out=np.zeros_like(aside), where=length > 1e-6)  # one dimension has no other direction
+    cosine = (1 + THRESHOLD) / 2
+    return units(cosine * vectors + np.sqrt(1 - cosine * cosine) * aside)
+
+
 def audited_beam(graph: Graph, indexed: np.ndarray, queries: np.ndarray, beam: int = BEAM, least: float = RECALL) -> int:
-    """A beam with which sampled queries find their links: of those that brute force finds, at least the given share."""
-    places = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    sample = queries[places]
-    there = (sample @ indexed.T >= THRESHOLD).sum()
-    while beam < len(indexed):
-        if sum(len(q) for q, _ in _hits(graph, indexed, sample, beam)) >= least * there:
-            break
+    """A beam with which each audit finds, of the links that brute force finds, at least the given share; one more than the
+    nodes, which stands for comparing all pairs, if none of up to a quarter of the nodes does."""
+    places = _spaced(len(indexed))
+    own = indexed[places]
+    audits = [(own, places), (_moved(own), places)]
+    if queries is not indexed:
+        audits.append((queries[_spaced(len(queries))], None))
+    there = [sample @ indexed.T >= THRESHOLD for sample, _ in audits]
+    beam = min(beam, len(indexed))
+    while not all(_passes(graph, indexed, *audit, links, beam, least) for audit, links in zip(audits, there, strict=True)):
+        if 8 * beam > len(indexed):  # comparing all pairs costs no more from here on
+            return len(indexed) + 1
         beam *= 2
     return beam
 
 
+def _passes(
+    graph: Graph, indexed: np.ndarray, sample: np.ndarray, origin: np.ndarray | None, there: np.ndarray, beam: int, least: float,
+) -> bool:
+    """Whether the share is found, of the sample's origins and of all other links each."""
+    found = np.zeros_like(there)
+    for q, i in _hits(graph, indexed, sample, beam):
+        found[q, i] = True
+    found &= there  # rounding may put a cosine on either side
+    groups = [np.ones_like(there)]
+    if origin is not None:
+        first = np.zeros_like(there)
+        first[np.arange(len(sample)), origin] = True
+        groups = [first, ~first]
+    return all((found & g).sum() >= least * (there & g).sum() for g in groups)
+
+
 def _links(raw: dict) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Links of each node, counting copies, and a spanning forest, of one pair of shards."""
     own = raw["shard"] == raw["q_shard"]

@@ -87,3 +87,56 @@ def test_beam_widens_until_the_audit_passes():
     assert embeddings.audited_beam(Graph.build(vectors), vectors, vectors) < 300
     broken = Graph(vectors.astype(np.float32), [np.full((300, 4), -1, np.int32)], np.arange(300))
     assert embeddings.audited_beam(broken, vectors, vectors) >= 300
+
+
+def with_unreachable(pick, near=6):
+    """256 far nodes, and links of the first few that no list of the graph leads to."""
+    far = embeddings.units(pick.standard_normal((256, 32)))
+    graph = Graph.build(far)
+    vectors = np.vstack([far, embeddings.units(far[:near] + 0.01 * pick.standard_normal((near, 32)))])
+    bottom = np.vstack([graph.layers[0], np.full((near, graph.layers[0].shape[1]), -1, np.int32)])
+    order = np.concatenate([graph.order, np.arange(256, 256 + near)])
+    return vectors, Graph(vectors[order].astype(np.float32), [bottom, *graph.layers[1:]], order)
+
+
+def test_the_audit_does_not_count_what_finds_itself():
+    """One link among 257 nodes, found by neither end, while every query finds its nearest node."""
+    vectors, _ = with_unreachable(np.random.default_rng(5), 1)
+    assert (np.triu(vectors @ vectors.T, 1) >= embeddings.THRESHOLD).sum() == 1
+
+    class Nearest:
+        def search(self, queries, beam):
+            sims = queries @ vectors.T
+            nodes = np.where(np.arange(beam) == 0, sims.argmax(1)[:, None], -1)
+            return nodes, np.where(nodes >= 0, sims.max(1)[:, None], -np.inf)
+
+    assert embeddings.audited_beam(Nearest(), vectors, vectors) > len(vectors)
+
+
+def test_a_graph_is_audited_where_the_queries_have_no_links():
+    pick = np.random.default_rng(6)
+    vectors, graph = with_unreachable(pick)
+    others = embeddings.units(pick.standard_normal((256, 32)))
+    assert (others @ vectors.T).max() < embeddings.THRESHOLD
+    assert embeddings.audited_beam(graph, vectors, others) > len(vectors)
+    good = Graph.build(vectors)
+    assert embeddings.audited_beam(good, vectors, others) < len(vectors)
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_links_of_unreachable_nodes_are_counted(own):
+    pick = np.random.default_rng(7)
+    vectors, graph = with_unreachable(pick)
+    queries = vectors if own else embeddings.units(vectors + 0.005 * pick.standard_normal(vectors.shape))
+    first = 0 if own else 1000
+    raw = {"shard": 0, "q_shard": int(not own), "size": 32, "vectors": vectors.tobytes(), "graph": graph.to_bytes(),
+           "q_vectors": queries.tobytes(), "ids": list(range(len(vectors))), "copies": [1] * len(vectors),
+           "q_ids": list(range(first, first + len(queries))), "q_copies": [1] * len(queries)}
+    links = queries @ vectors.T >= embeddings.THRESHOLD
+    if own:
+        np.fill_diagonal(links, False)
+    wanted = {first + i: int(n) for i, n in enumerate(links.sum(1)) if n}
+    if not own:
+        wanted |= {i: int(n) for i, n in enumerate(links.sum(0)) if n}
+    counts, forest = embeddings._links(raw)
+    assert counts == wanted and forest
