@@ -1,27 +1,29 @@
 """Toxicity of a text from its nearest labelled examples.
 
-Terms are the words, and the beginnings of words, that go with the label (chi-square over a bounded sample of labelled
-rows); a beginning ("abcd*") stands for all inflections of a stem, also unseen ones. Examples and texts
-are TF-IDF vectors over these terms, with document frequencies from the whole corpus. The examples are
-held in an inverted index whose lists are cut into blocks of examples; each term has its largest weight per block. For a
-text, the blocks are scored in the order of their bound (the weighted sum of those maxima) until no bound
-exceeds the k-th best cosine, so the k nearest are exact.
-
-The examples vote with their cosines. Both classes are sampled alike, so votes are weighted back to the shares
+Terms are all words, and beginnings of words, of a bounded sample of labelled rows; a beginning ("abcd*") stands for all
+inflections of a stem, also unseen ones. Examples and texts are TF-IDF vectors over these terms, with document frequencies
+from the whole corpus; the more a term goes with the label in the sample (chi-square), the more it weighs, and none weighs
+nothing. The examples are held in an inverted index whose lists are cut into blocks of examples; each term has its largest
+weight per block. For a text, the blocks are scored in the order of their bound (the weighted sum of those maxima) until no
+bound exceeds the k-th best cosine, so the k nearest are exact.
+
+The examples vote with their squared cosines. Both classes are sampled alike, so votes are weighted back to the shares
 the labels have, pulled toward the share among texts without any term, and calibrated by a logistic curve
 fitted to each example's vote without itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from purser.llm.common import held_out, id_and_text
@@ -30,11 +32,13 @@ from purser.session import written
 WORD = re.compile(r"[^\W\d_]+")
 #: The sample of labelled rows that is fitted on: so many of each class at most, lowest id hashes first.
 SAMPLE_PER_CLASS = 4_096
-MAX_TERMS = 512
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (4, 5)
 MAX_REMEMBERED = 400_000
-MIN_CHI_SQUARE = 30.0
+MAX_SCORES = 10_000
+#: A term of this chi-square has half the weight that the label can give; none has less than the least.
+HALF_CHI_SQUARE = 30.0
+LEAST_WEIGHT = 0.1
 BLOCK = 256
 NEIGHBOURS = 16
 #: So many examples, evenly spaced by id, are voted on without themselves to calibrate the votes.
@@ -49,7 +53,7 @@ THRESHOLD = 0.3
 class WordTerms(dict):
     """The terms of a word: itself and its beginnings, as far as they are in ``chosen`` (all, where that is None)."""
 
-    def __init__(self, chosen: frozenset[str] | None = None):
+    def __init__(self, chosen: Container[str] | None = None):
         super().__init__()
         self._chosen = chosen
 
@@ -70,12 +74,47 @@ class WordTerms(dict):
         return times
 
 
+@dataclass(frozen=True, eq=False)
+class Examples:
+    """(id, label, ((term, times), ...)) of each example, held in arrays."""
+
+    names: tuple[str, ...]
+    ids: np.ndarray
+    labels: np.ndarray
+    starts: np.ndarray
+    terms: np.ndarray  # places in names
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, rows: tuple) -> Examples:
+        names = tuple(sorted({t for _, _, found in rows for t, _ in found}))
+        place = {t: i for i, t in enumerate(names)}
+        pairs = np.array([(place[t], n) for _, _, found in rows for t, n in found], np.int32).reshape(-1, 2)
+        return cls(names, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32),
+                   np.cumsum([0, *(len(r[2]) for r in rows)]), pairs[:, 0], pairs[:, 1])
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def __getitem__(self, at: int) -> tuple[int, int, tuple[tuple[str, int], ...]]:
+        if not -len(self) <= at < len(self):
+            raise IndexError(at)
+        at %= len(self)
+        here = slice(self.starts[at], self.starts[at + 1])
+        found = zip(self.terms[here].tolist(), self.times[here].tolist(), strict=True)
+        return int(self.ids[at]), int(self.labels[at]), tuple((self.names[t], n) for t, n in found)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Examples) and self.names == other.names and all(
+            np.array_equal(getattr(self, f), getattr(other, f)) for f in ("ids", "labels", "starts", "terms", "times"))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Terms with their inverse document frequencies, the indexed examples, and the calibration."""
+    """Terms with their weights (inverse document frequency, by the label's), the indexed examples, and the calibration."""
 
     idf: dict[str, float]
-    examples: tuple[tuple[int, int, tuple[tuple[str, int], ...]], ...]  # id, label, (term, times)
+    examples: Examples | tuple[tuple[int, int, tuple[tuple[str, int], ...]], ...]  # id, label, (term, times)
     class_weight: tuple[float, float]
     share_without: float
     curve: tuple[float, float] = (1.0, 0.0)
@@ -121,63 +160,79 @@ class BlockMaxIndex:
         return cls._last
 
     def __post_init__(self):
-        examples, idf = self.model.examples, self.model.idf
-        self.term = {t: i for i, t in enumerate(sorted(idf))}
-        self.terms = WordTerms(frozenset(self.term))
-        self.n_blocks = -(-len(examples) // BLOCK)
-        postings = [
-            (self.term[t], at, w) for at, (_, _, times) in enumerate(examples) for t, w in weights(Counter(dict(times)), idf).items()
-        ]
-        term, at, weight = (np.array(x) for x in zip(*postings, strict=True)) if postings else (np.zeros(0, int),) * 3
-        # Lists by term, then example: a block of a list lies between two neighbouring starts.
+        held = self.model.examples
+        self.held = held = held if isinstance(held, Examples) else Examples.of(held)
+        self.term = {t: i for i, t in enumerate(sorted(self.model.idf))}
+        self.terms = WordTerms(self.term)
+        self.n_blocks = -(-len(held) // BLOCK)
+        number = np.array([self.term[t] for t in held.names], np.int64)
+        idf = np.array([self.model.idf[t] for t in held.names], float)
+        at = np.repeat(np.arange(len(held)), np.diff(held.starts))
+        raw = (1 + np.log(np.maximum(held.times, 1))) * idf[held.terms] if len(at) else np.zeros(0)
+        norm = np.sqrt(np.bincount(at, raw * raw, len(held)))
+        weight = raw / norm[at]
+        # Lists by term, then example; an entry is the part of a list in one block, between two neighbouring starts.
+        term = number[held.terms] if len(at) else np.zeros(0, int)
         order = np.lexsort((at, term))
-        block = term[order] * self.n_blocks + at[order] // BLOCK
-        self.places, self.values = (at[order] % BLOCK).astype(np.int16), weight[order].astype(np.float64)
-        self.starts = np.searchsorted(block, np.arange(len(self.term) * self.n_blocks + 1))
-        self.highest = np.zeros(len(self.term) * self.n_blocks)
-        np.maximum.at(self.highest, block, self.values)
-        self.highest = self.highest.reshape(len(self.term), self.n_blocks)
+        self.places, self.values = at[order].astype(np.int32), weight[order]
+        entry, first = np.unique(term[order] * max(self.n_blocks, 1) + at[order] // BLOCK, return_index=True)
+        self.block = entry % max(self.n_blocks, 1)
+        self.first = np.searchsorted(entry // max(self.n_blocks, 1), np.arange(len(self.term) + 1))
+        self.starts = np.append(first, len(at))
+        self.highest = np.maximum.reduceat(self.values, first) if len(first) else np.zeros(0)
 
     def nearest(self, times: Counter, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k largest positive cosines and their examples; of equal ones the first examples."""
         vector = [(self.term[t], w) for t, w in weights(times, self.model.idf).items()]
-        if not vector or not self.model.examples:
+        if not vector or not len(self.held):
             return []
-        bound = sum(w * self.highest[t] for t, w in vector)
-        best: list[tuple[float, int]] = []
-        for block in np.lexsort((np.arange(len(bound)), -bound)).tolist():
-            # Rounding may lift a cosine over its bound by a few units in the last place.
-            if bound[block] <= 0 or len(best) == k and bound[block] < -best[-1][0] - 1e-12:
-                break
-            cosines = np.zeros(BLOCK)
-            for t, w in vector:
-                here = slice(*self.starts[t * self.n_blocks + block :][:2])
-                cosines[self.places[here]] += w * self.values[here]
-            best += [(-c, block * BLOCK + i) for i, c in enumerate(cosines.tolist()) if c > 0]
-            best = sorted(best)[:k]
-        return [(-c, at) for c, at in best]
+        term, weight = np.array([t for t, _ in vector]), np.array([w for _, w in vector])
+        entry, of = _ranges(self.first[term], self.first[term + 1])
+        weight, block = weight[of], self.block[entry]
+        bound = np.bincount(block, weight * self.highest[entry], self.n_blocks)
+        waiting = np.lexsort((np.arange(len(bound)), -bound))
+        waiting = waiting[bound[waiting] > 0]
+        best, places, wave = np.zeros(0), np.zeros(0, int), 1
+        while len(waiting):
+            here = np.isin(block, waiting[:wave])
+            posting, of = _ranges(self.starts[entry[here]], self.starts[entry[here] + 1])
+            cosines = np.bincount(self.places[posting], weight[here][of] * self.values[posting], len(self.held))
+            found = np.nonzero(cosines > 0)[0]
+            best, places = np.append(best, cosines[found]), np.append(places, found)
+            top = np.lexsort((places, -best))[:k]
+            best, places = best[top], places[top]
+            waiting, wave = waiting[wave:], 2 * wave
+            if len(best) == k:  # rounding may lift a cosine over its bound by a few units in the last place
+                waiting = waiting[bound[waiting] >= best[-1] - 1e-12]
+        return list(zip(best.tolist(), places.tolist(), strict=True))
 
     def votes(self, near: list[tuple[float, int]]) -> float:
         total, toxic = PRIOR_VOTES, PRIOR_VOTES * self.model.share_without
         for cosine, at in near:
-            label = self.model.examples[at][1]
-            vote = cosine * self.model.class_weight[label]
+            label = int(self.held.labels[at])
+            vote = cosine * cosine * self.model.class_weight[label]
             total += vote
             toxic += vote * label
         return toxic / total
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        times = self.terms.count(text)
-        key = tuple(sorted(times.items()))
+        key = hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
         if key not in self.remembered:
-            near = self.nearest(times)
-            evidence = [(self.model.examples[at][0], self.model.examples[at][1], c) for c, at in near]
-            if len(self.remembered) > 50_000:
+            near = self.nearest(self.terms.count(text))
+            evidence = [(int(self.held.ids[at]), int(self.held.labels[at]), c) for c, at in near]
+            if len(self.remembered) > MAX_SCORES:
                 self.remembered.clear()
             self.remembered[key] = (calibrated(self.votes(near), self.model.curve), evidence)
         return self.remembered[key]
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and the range of each."""
+    size = end - start
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (start - np.cumsum(size) + size)[of], of
+
+
 def calibrated(votes: float, curve: tuple[float, float]) -> float:
     return 1 / (1 + math.exp(-(curve[0] * _odds(votes) + curve[1])))
 
@@ -240,7 +295,7 @@ def _examples(rows: DataFrame, chosen: frozenset[str]) -> DataFrame:
     return rows.mapInArrow(terms, "doc_id long, label int, terms array<string>, times array<long>")
 
 
-def document_frequencies(texts: DataFrame, terms: frozenset[str]) -> tuple[int, dict[str, int]]:
+def document_frequencies(texts: DataFrame, terms: Container[str]) -> tuple[int, dict[str, int]]:
     """Number of rows, and of those whose text has each term; counted over all rows, one sum for each batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +308,8 @@ def document_frequencies(texts: DataFrame, terms: frozenset[str]) -> tuple[int,
             [pa.array([None, *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["word", "n"])
 
     sums = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = {r["word"]: r["n"] for r in sums.collect()}  # a row for each term: at most MAX_TERMS
+    found = sums.toArrow()  # a row for each term of the bounded sample
+    counts = dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
     return counts.pop(None, 0), counts
 
 
@@ -282,17 +338,13 @@ def fit_toxicity(
     # Of equal texts one example says as much as many; it is toxic if one of them is.
     rows = written(drawn_texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "examples")
     size = {0: 0, 1: 0} | {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = _chosen_terms(_example_terms(rows), size)
-    n_docs, seen = document_frequencies(texts, chosen)
-    idf = {t: math.log((1 + n_docs) / (1 + seen.get(t, 0))) + 1 for t in chosen}
-    name = {t: t for t in chosen}
-    examples = tuple(
-        (r["doc_id"], r["label"], tuple(sorted((name[t], n) for t, n in zip(r["terms"], r["times"], strict=True))))
-        for r in _examples(rows, chosen).orderBy("doc_id").collect()  # one row for each example
-    )
+    strength = _term_weights(_example_terms(rows), size)
+    n_docs, seen = document_frequencies(texts, frozenset(strength))
+    idf = {t: strength[t] * (math.log((1 + n_docs) / (1 + seen.get(t, 0))) + 1) for t in sorted(strength)}
+    examples = _held(_examples(rows, frozenset(strength)).toArrow(), tuple(idf))
     # A drawn row stands for so many labelled ones.
     each = tuple(share.get(y, 0) / size[y] if size[y] else 0.0 for y in (0, 1))
-    without = [size[y] - sum(e[1] == y for e in examples) for y in (0, 1)]
+    without = [size[y] - int((examples.labels == y).sum()) for y in (0, 1)]
     n_without = sum(n * w for n, w in zip(without, each, strict=True))
     base = share.get(1, 0) / n_known
     share_without = (without[1] * each[1] + base) / (n_without + 1)
@@ -301,38 +353,39 @@ def fit_toxicity(
     return ToxicityModel(idf, examples, model.class_weight, share_without, _calibration(model, without, each))
 
 
-def _chosen_terms(words: DataFrame, size: dict[int, int]) -> frozenset[str]:
-    """The terms whose presence and the label are dependent, strongest first."""
+def _held(found: pa.Table, names: tuple[str, ...]) -> Examples:
+    """The examples of a table of (doc_id, label, terms, times), by id; the terms of each sorted."""
+    found = found.sort_by("doc_id").combine_chunks()
+    lists, times = (pa.concat_arrays(found[c].chunks) if found.num_rows else pa.array([], found[c].type) for c in ("terms", "times"))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    terms = pc.index_in(lists.flatten(), value_set=pa.array(names, lists.type.value_type)).to_numpy(zero_copy_only=False).astype(np.int32)
+    order = np.lexsort((terms, at))
+    return Examples(names, found["doc_id"].to_numpy(), found["label"].to_numpy(), np.append(0, np.cumsum(sizes)), terms[order],
+                    times.flatten().to_numpy(zero_copy_only=False).astype(np.int32)[order])
+
+
+def _term_weights(words: DataFrame, size: dict[int, int]) -> dict[str, float]:
+    """All terms of the examples, each with a weight that rises with the dependence of its presence and the label."""
     n, positive = float(size[0] + size[1]), float(size[1])
     counts = words.groupBy("word").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("a"))
-    off = F.col("a") * n - F.col("n") * positive
+    # With Yates's correction, or a term of one row would seem to go with the rarer label.
+    off = F.greatest(F.abs(F.col("a") * n - F.col("n") * positive) - n / 2, F.lit(0.0))
     spread = F.col("n") * (n - F.col("n")) * positive * (n - positive)
-    strength = F.when(spread > 0, off * off * n / spread)
-    top = counts.select("word", strength.alias("chi")).where(F.col("chi") >= MIN_CHI_SQUARE)
-    found = {r["word"]: r["chi"] for r in top.orderBy(F.desc("chi"), "word").limit(8 * MAX_TERMS).collect()}
-    # A beginning counts only where it says more than any word or longer beginning it stands for.
-    better: dict[str, float] = {}
-    for term, chi in found.items():
-        stem = term.removesuffix("*")
-        for n in BEGINNINGS:
-            if len(stem) > n or len(stem) == n and not term.endswith("*"):
-                better[f"{stem[:n]}*"] = max(chi, better.get(f"{stem[:n]}*", 0.0))
-    kept = [t for t, chi in found.items() if not (t.endswith("*") and better.get(t, 0.0) >= chi)]
-    return frozenset(kept[:MAX_TERMS])
+    chi = F.when(spread > 0, off * off * n / spread).otherwise(F.lit(0.0))
+    found = counts.select("word", F.greatest(chi / (chi + HALF_CHI_SQUARE), F.lit(LEAST_WEIGHT)).alias("weight")).toArrow()
+    return dict(zip(found["word"].to_pylist(), found["weight"].to_pylist(), strict=True))
 
 
 def _calibration(model: ToxicityModel, without: list[int], each: tuple[float, ...]) -> tuple[float, float]:
     """The curve from each example's votes, left to its neighbours, to the share of toxic ones."""
     index = BlockMaxIndex(model)
-    seen: dict[tuple, list[tuple[float, int]]] = {}
     points = []
     chosen = sorted(set(np.linspace(0, len(model.examples) - 1, min(CALIBRATED, len(model.examples))).astype(int).tolist()))
     for at in chosen:
         _, label, times = model.examples[at]
-        if times not in seen:
-            seen[times] = index.nearest(Counter(dict(times)), NEIGHBOURS + 1)
-        near = [x for x in seen[times] if x[1] != at][:NEIGHBOURS]
+        near = [x for x in index.nearest(Counter(dict(times)), NEIGHBOURS + 1) if x[1] != at][:NEIGHBOURS]
         points.append((index.votes(near), label, each[label]))
     part = len(chosen) / max(len(model.examples), 1)
     points += [(model.share_without, y, part * without[y] * each[y]) for y in (0, 1) if without[y] and part]

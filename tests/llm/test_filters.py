@@ -126,6 +126,24 @@ def test_blocks_are_skipped_without_loss():
         assert [c for c, _ in index.nearest(times)] == pytest.approx([-c for c, _ in every[: toxicity.NEIGHBOURS] if c < 0])
 
 
+def test_a_rare_insult_is_a_term(spark):
+    """A word of eight toxic rows among hundreds of clean ones, too few for a chi-square of 30 to be likely, still tells."""
+    plain = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    pick = np.random.default_rng(8)
+    texts = {i: " ".join(pick.choice(plain, 30)) for i in range(1200)}
+    toxic = {i for i in range(1200) if i % 3 == 0}
+    for i, doc in enumerate(sorted(toxic)):
+        texts[doc] += f" slur{'abcdefghijklmnopqrstuvwxyzäöüßéèêëàáâãåæçñìíîïòóôõøùúûý'[i // 8]}"
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in texts], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    index = toxicity.BlockMaxIndex(model)
+    example = next(e for e in model.examples if e[1] == 1)
+    score, evidence = index.score(texts[example[0]])
+    assert score >= toxicity.THRESHOLD and evidence[0][0] == example[0] and evidence[0][2] == pytest.approx(1)
+    assert {t for _, _, terms in model.examples for t, _ in terms} >= set(plain)
+
+
 def test_calibration():
     assert toxicity.logistic_curve([]) == (1.0, 0.0)
     pick = np.random.default_rng(5)
