@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from purser.llm import embeddings, fingerprints, language, minhash, packing, pieces, quality, secrets, token_shards, toxicity
+from purser.llm import embeddings, exact_copies, fingerprints, language, minhash, packing, pieces, quality, secrets, token_shards, toxicity
 from purser.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,11 @@ def op8_quality(spark, sf_dir):
 @query
 def op7_embeddings(spark, sf_dir):
     return embeddings.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_exact_copies(spark, sf_dir):
+    return exact_copies.exact_copies(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_exact_copies"] = exact_copies.SQL
