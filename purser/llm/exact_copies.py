@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from purser.llm.common import partitions
-from purser.session import small_table, written
+from purser.session import new_path, small_table, written
 
 #: Distinct keys that a bucket holds.
 CAPACITY = 4_096
@@ -101,7 +101,9 @@ def build_index(
     owners = partitions(spark)
     owner = (F.shiftrightunsigned("bucket", 33) * owners / (1 << 31)).cast("int")
     owned = bucket_of(combined, buckets).repartitionById(owners, owner).sortWithinPartitions("bucket", "key")
-    return CopyIndex(buckets, written(owned, "copy-entries"), rows)
+    path = new_path(spark, "copy-entries")
+    owned.write.option("compression", "zstd").parquet(path)  # whole texts: half the size
+    return CopyIndex(buckets, spark.read.schema(owned.schema).parquet(path), rows)
 
 
 def bucket_of(keys: DataFrame, buckets: DataFrame) -> DataFrame:
