@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from purser.llm import embeddings, exact_copies, fingerprints, language, minhash, packing, pieces, quality, runs, secrets, token_shards, toxicity
+from purser.llm import ball_tree, embeddings, exact_copies, fingerprints, language, minhash, packing, pieces, quality, runs, secrets, token_shards, toxicity
 from purser.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ ORACLE["op13_exact_copies"] = exact_copies.SQL
 @query
 def op11_runs(spark, sf_dir):
     return runs.digests(runs.find_runs(table(spark, sf_dir, "documents"), rewrite=runs.with_repeats))
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    return ball_tree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_ranked_search"] = ball_tree.SQL
