@@ -1,236 +1,272 @@
 """Toxicity of a text from its nearest labelled examples.
 
 Terms are all words, and beginnings of words, of a bounded sample of labelled rows; a beginning ("abcd*") stands for all
-inflections of a stem, also unseen ones. Examples and texts are TF-IDF vectors over these terms, with document frequencies
-from the whole corpus; the more a term goes with the label in the sample (chi-square), the more it weighs, and none weighs
-nothing. The examples are held in an inverted index whose lists are cut into blocks of examples; each term has its largest
-weight per block. For a text, the blocks are scored in the order of their bound (the weighted sum of those maxima) until no
-bound exceeds the k-th best cosine, so the k nearest are exact.
+inflections of a stem, also unseen ones. Examples and texts are TF-IDF vectors over these terms: one plus the logarithm of the
+occurrences, times the squared inverse document frequency over the whole corpus, times a weight that is the larger the more the term goes
+with the label in the sample (chi-square); none weighs nothing.
+
+The examples are held in an inverted index of arrays, in an order that puts like ones side by side and cuts them into blocks. Lists of
+terms of few examples are read whole. Those of frequent terms are not: an example can gain from them no more than the product of
+both sides' lengths over these terms, nor more than its block's largest weights, so the other examples are never looked at. What can
+still be among the k nearest is scored in full, the most promising first, so the k nearest are exact.
 
 The examples vote with their squared cosines. Both classes are sampled alike, so votes are weighted back to the shares
 the labels have, pulled toward the share among texts without any term, and calibrated by a logistic curve
-fitted to each example's vote without itself.
+fitted to each example's vote without itself, in a Spark job over the examples.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import math
 import re
 from collections import Counter
-from collections.abc import Container, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from purser.llm.ball_tree import BallTree
 from purser.llm.common import held_out, id_and_text
 from purser.session import written
 
 WORD = re.compile(r"[^\W\d_]+")
-#: The sample of labelled rows that is fitted on: so many of each class at most, lowest id hashes first.
+#: The sample of labelled rows that is fitted on: so many of each class at most, lowest id hashes first, with so many characters
+#: in all and in each. This bounds the model.
 SAMPLE_PER_CLASS = 4_096
+SAMPLE_CHARS = 1 << 24
+LONGEST = 1 << 19
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (4, 5)
-MAX_REMEMBERED = 400_000
-MAX_SCORES = 10_000
+MAX_REMEMBERED = 150_000
+MAX_SCORES = 4_000
+#: Texts whose new words are looked up at once.
+SLICE = 128
 #: A term of this chi-square has half the weight that the label can give; none has less than the least.
 HALF_CHI_SQUARE = 30.0
 LEAST_WEIGHT = 0.1
-BLOCK = 256
+BLOCK = 32
+#: Terms of more than this share of the examples have lists that are not read whole.
+FREQUENT = 0.08
 NEIGHBOURS = 16
-#: So many examples, evenly spaced by id, are voted on without themselves to calibrate the votes.
-CALIBRATED = 2_048
 #: Weight, in labelled rows, of leaving the votes as they are.
 PULL = 2.0
 #: Weight of the share among texts without any term, in votes of cosine 1.
 PRIOR_VOTES = 0.5
 THRESHOLD = 0.3
+#: Document frequencies are added up in chunks of so many terms, by so many groups of tasks first.
+CHUNK = 4_096
+GROUPS = 1_024
+
+
+def term_hashes(word: str) -> list[int]:
+    """64-bit hashes of a word and its beginnings, as signed numbers; the word itself stands for a beginning that it hasn't."""
+    terms = (word, *(f"{word[:n]}*" if len(word) > n else word for n in BEGINNINGS))
+    return [xxhash.xxh64_intdigest(t.encode(errors="surrogatepass")) - (1 << 63) for t in terms]
+
+
+class Terms:
+    """The terms of texts, as places in a sorted array of hashes, or as hashes where none is given. Remembers a bounded number of words."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        self._known = known
+        self._place: dict[str, int] = {}
+        self._table = np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
+
+    def _learn(self, words: set[str]) -> None:
+        fresh = list(words)
+        hashes = np.array([term_hashes(w) for w in fresh], np.int64).reshape(-1, 1 + len(BEGINNINGS))
+        again = hashes[:, 1:] == hashes[:, :1]
+        if self._known is not None:
+            at = np.minimum(np.searchsorted(self._known, hashes), max(len(self._known) - 1, 0))
+            found = self._known[at] == hashes if len(self._known) else np.zeros(hashes.shape, bool)
+            hashes = np.where(found, at, -1)
+        hashes[:, 1:][again] = -1
+        self._place.update(zip(fresh, range(len(self._table), len(self._table) + len(fresh)), strict=True))
+        self._table = np.concatenate([self._table, hashes])
+
+    def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms in order, times) of each text."""
+        for start in range(0, len(texts), SLICE):
+            if len(self._place) > MAX_REMEMBERED:
+                self._place, self._table = {}, self._table[:0]
+            counted = [Counter(WORD.findall(t.lower())) for t in texts[start : start + SLICE]]
+            self._learn(set().union(*counted) - self._place.keys())
+            for words in counted:
+                terms = self._table[[self._place[w] for w in words]].reshape(-1)
+                times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), self._table.shape[1])
+                real = terms != -1
+                terms, times = terms[real], times[real]
+                order = np.argsort(terms, kind="stable")
+                terms = terms[order]
+                first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, int)
+                yield terms[first], np.add.reduceat(times[order], first) if len(first) else times
+
+
+def weighted(times: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vector, given the gain of each term that is there."""
+    raw = (1 + np.log(times)) * gain
+    norm = math.sqrt(raw @ raw)
+    return raw / norm if norm else raw
+
+
+def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
-class WordTerms(dict):
-    """The terms of a word: itself and its beginnings, as far as they are in ``chosen`` (all, where that is None)."""
-
-    def __init__(self, chosen: Container[str] | None = None):
-        super().__init__()
-        self._chosen = chosen
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        terms = (word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n))
-        if self._chosen is not None:
-            terms = tuple(t for t in terms if t in self._chosen)
-        if len(self) > MAX_REMEMBERED:
-            self.clear()
-        self[word] = terms
-        return terms
-
-    def count(self, text: str) -> Counter:
-        """How often each term is in a text."""
-        times = Counter()
-        for terms in filter(None, map(self.__getitem__, WORD.findall(text.lower()))):
-            times.update(terms)
-        return times
-
-
-@dataclass(frozen=True, eq=False)
-class Examples:
-    """(id, label, ((term, times), ...)) of each example, held in arrays."""
-
-    names: tuple[str, ...]
-    ids: np.ndarray
-    labels: np.ndarray
-    starts: np.ndarray
-    terms: np.ndarray  # places in names
-    times: np.ndarray
+class BlockMaxIndex:
+    """The inverted index of the examples. ``read`` and ``posted`` count the postings read and those there were for the texts asked."""
+
+    FIELDS = ("ids", "labels", "gain", "first", "places", "values")
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, gain: np.ndarray, first: np.ndarray, places: np.ndarray, values: np.ndarray):
+        self.ids, self.labels, self.gain, self.first, self.places, self.values = ids, labels, gain, first, places, values
+        n = len(ids)
+        sizes = np.diff(first)
+        self.row = np.full(len(gain), -1, np.int64)  # of a frequent term, in the tables below
+        frequent = np.flatnonzero(sizes > FREQUENT * n) if n > 2 * BLOCK else np.zeros(0, np.int64)
+        self.row[frequent] = np.arange(len(frequent))
+        blocks = -(-n // BLOCK)
+        self.weight = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
+        for i, t in enumerate(frequent.tolist()):
+            here = slice(first[t], first[t + 1])
+            self.weight[places[here], i] = values[here]
+        self.highest = self.weight.reshape(blocks, BLOCK, -1).max(1).astype(np.float64) if len(frequent) else np.zeros((blocks, 0))
+        self.length = np.sqrt(np.square(self.weight, dtype=np.float64).sum(1))[:n]
+        self.sizes = sizes
+        self.read = self.posted = 0
 
     @classmethod
-    def of(cls, rows: tuple) -> Examples:
-        names = tuple(sorted({t for _, _, found in rows for t, _ in found}))
-        place = {t: i for i, t in enumerate(names)}
-        pairs = np.array([(place[t], n) for _, _, found in rows for t, n in found], np.int32).reshape(-1, 2)
-        return cls(names, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32),
-                   np.cumsum([0, *(len(r[2]) for r in rows)]), pairs[:, 0], pairs[:, 1])
-
-    def __len__(self) -> int:
-        return len(self.ids)
-
-    def __getitem__(self, at: int) -> tuple[int, int, tuple[tuple[str, int], ...]]:
-        if not -len(self) <= at < len(self):
-            raise IndexError(at)
-        at %= len(self)
-        here = slice(self.starts[at], self.starts[at + 1])
-        found = zip(self.terms[here].tolist(), self.times[here].tolist(), strict=True)
-        return int(self.ids[at]), int(self.labels[at]), tuple((self.names[t], n) for t, n in found)
+    def build(cls, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, terms: np.ndarray, times: np.ndarray, gain: np.ndarray) -> BlockMaxIndex:
+        """Of examples in order of their ids, with their terms (places in ``gain``) and times from ``starts``."""
+        row = np.repeat(np.arange(len(ids)), np.diff(starts))
+        raw = (1 + np.log(times)) * gain[terms]
+        norm = np.sqrt(np.bincount(row, raw * raw, len(ids)))
+        values = (raw / np.where(norm > 0, norm, 1)[row]).astype(np.float32)
+        order = np.arange(len(ids))
+        if len(ids):
+            order = BallTree.build(order, np.ones(len(ids), bool), starts, terms, values.astype(np.float64), range(len(gain))).ids
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        by_term = np.lexsort((place[row], terms))
+        first = np.searchsorted(terms[by_term], np.arange(len(gain) + 1))
+        return cls(ids[order], labels[order], gain, first, place[row][by_term].astype(np.int32), values[by_term])
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{f: getattr(self, f) for f in self.FIELDS})
+        return out.getvalue()
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Examples) and self.names == other.names and all(
-            np.array_equal(getattr(self, f), getattr(other, f)) for f in ("ids", "labels", "starts", "terms", "times"))
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> BlockMaxIndex:
+        with np.load(io.BytesIO(raw)) as held:
+            return cls(*(held[f] for f in cls.FIELDS))
+
+    def nearest(self, terms: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest positive cosines, largest first, and the places of their examples; of equal ones the smallest ids. ``but``: an id left out."""
+        vector, n = weighted(times, self.gain[terms]), len(self.ids)
+        if not len(vector) or not n:
+            return np.zeros(0), np.zeros(0, np.int64)
+        row = self.row[terms]
+        rare = row < 0
+        spans = _spans(self.first[terms[rare]], self.first[terms[rare] + 1])
+        part = np.bincount(self.places[spans], self.values[spans] * np.repeat(vector[rare], self.sizes[terms[rare]]), n)
+        often = np.zeros(self.weight.shape[1])
+        often[row[~rare]] = vector[~rare]
+        in_block = np.repeat(self.highest @ often, BLOCK)[:n]
+        # Rounding may lift a cosine over its bound by a few units in the last place.
+        bound = part + np.minimum(in_block, math.sqrt(often @ often) * self.length) + 1e-9
+        if but is not None:
+            bound[self.ids == but] = -1.0
+        first = np.argpartition(-bound, min(4 * k, n) - 1)[: 4 * k]
+        exact = part[first] + self.weight[first] @ often
+        least = np.partition(exact, len(exact) - k)[-k] if len(exact) >= k else 0.0
+        rest = bound >= max(least, 1e-9)
+        rest[first] = False
+        rest = np.flatnonzero(rest)
+        places = np.concatenate([first, rest])
+        cosines = np.concatenate([exact, part[rest] + self.weight[rest] @ often])
+        listed = self.sizes[terms].sum()
+        self.posted += int(listed)
+        self.read += int(len(spans) + (listed - len(spans)) * len(places) / n)
+        good = (cosines > 0) & (bound[places] > 0)
+        places, cosines = places[good], cosines[good]
+        top = np.lexsort((self.ids[places], -cosines))[:k]
+        return cosines[top], places[top]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class ToxicityModel:
-    """Terms with their weights (inverse document frequency, by the label's), the indexed examples, and the calibration."""
+    """Hashes of the terms in order, the indexed examples as bytes, and what makes scores of their votes."""
 
-    idf: dict[str, float]
-    examples: Examples | tuple[tuple[int, int, tuple[tuple[str, int], ...]], ...]  # id, label, (term, times)
+    terms: np.ndarray
+    index: bytes
     class_weight: tuple[float, float]
     share_without: float
     curve: tuple[float, float] = (1.0, 0.0)
 
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, ToxicityModel) and np.array_equal(self.terms, other.terms) and self.index == other.index and (
+            (self.class_weight, self.share_without, self.curve) == (other.class_weight, other.share_without, other.curve))
+
+    def votes(self, cosines: np.ndarray, labels: np.ndarray) -> float:
+        each = cosines * cosines * np.array(self.class_weight)[labels]
+        return float((PRIOR_VOTES * self.share_without + each[labels == 1].sum()) / (PRIOR_VOTES + each.sum()))
+
     def column(self, text: str | Column) -> Column:
         """struct<score, evidence> of a text column; evidence are the nearest examples' ids and cosines, nearest first."""
         shared = SparkSession.active().sparkContext.broadcast(self)
 
         @F.arrow_udf("score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
         def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            index = BlockMaxIndex.of(shared.value)
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+            scorer = Scorer.of(shared.value)
             for batch in batches:
-                found = [index.score(text.as_py() or "") for text in batch]
-                evidence = [[{"doc_id": d, "label": y, "cosine": c} for d, y, c in near] for _, near in found]
+                found = [f for at in range(0, len(batch), SLICE) for f in scorer([t.as_py() or "" for t in batch.slice(at, SLICE)])]
+                ends = np.cumsum([0, *(len(ids) for _, ids, _, _ in found)])
+                flat = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (1, 2, 3)]
+                near = pa.StructArray.from_arrays(
+                    [pa.array(c, kind) for c, kind in zip(flat, (pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "label", "cosine"])
                 yield pa.StructArray.from_arrays(
-                    [pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], names=["score", "evidence"])
+                    [pa.array([f[0] for f in found], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)],
+                    names=["score", "evidence"])
 
         return predict.asNondeterministic()(text)  # evaluated once, not again in a filter below
 
 
-def weights(times: Counter, idf: dict[str, float]) -> dict[str, float]:
-    """Unit TF-IDF vector."""
-    raw = {t: (1 + math.log(n)) * idf[t] for t, n in sorted(times.items())}
-    norm = math.sqrt(sum(v * v for v in raw.values()))
-    return {t: v / norm for t, v in raw.items()} if norm else {}
-
-
-@dataclass
-class BlockMaxIndex:
-    """The inverted index of a model's examples."""
-
-    model: ToxicityModel
-    remembered: dict = field(default_factory=dict)
+class Scorer:
+    """Scores texts by a model; one for each worker process. The scores of the last texts are remembered."""
 
     _last = None
 
+    def __init__(self, model: ToxicityModel):
+        self.model, self.index, self.terms = model, BlockMaxIndex.from_bytes(model.index), Terms(model.terms)
+        self._scores: dict[bytes, tuple] = {}
+
     @classmethod
-    def of(cls, model: ToxicityModel) -> BlockMaxIndex:
-        """One per worker process."""
+    def of(cls, model: ToxicityModel) -> Scorer:
         if cls._last is None or cls._last.model is not model:
             cls._last = cls(model)
         return cls._last
 
-    def __post_init__(self):
-        held = self.model.examples
-        self.held = held = held if isinstance(held, Examples) else Examples.of(held)
-        self.term = {t: i for i, t in enumerate(sorted(self.model.idf))}
-        self.terms = WordTerms(self.term)
-        self.n_blocks = -(-len(held) // BLOCK)
-        number = np.array([self.term[t] for t in held.names], np.int64)
-        idf = np.array([self.model.idf[t] for t in held.names], float)
-        at = np.repeat(np.arange(len(held)), np.diff(held.starts))
-        raw = (1 + np.log(np.maximum(held.times, 1))) * idf[held.terms] if len(at) else np.zeros(0)
-        norm = np.sqrt(np.bincount(at, raw * raw, len(held)))
-        weight = raw / norm[at]
-        # Lists by term, then example; an entry is the part of a list in one block, between two neighbouring starts.
-        term = number[held.terms] if len(at) else np.zeros(0, int)
-        order = np.lexsort((at, term))
-        self.places, self.values = at[order].astype(np.int32), weight[order]
-        entry, first = np.unique(term[order] * max(self.n_blocks, 1) + at[order] // BLOCK, return_index=True)
-        self.block = entry % max(self.n_blocks, 1)
-        self.first = np.searchsorted(entry // max(self.n_blocks, 1), np.arange(len(self.term) + 1))
-        self.starts = np.append(first, len(at))
-        self.highest = np.maximum.reduceat(self.values, first) if len(first) else np.zeros(0)
-
-    def nearest(self, times: Counter, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k largest positive cosines and their examples; of equal ones the first examples."""
-        vector = [(self.term[t], w) for t, w in weights(times, self.model.idf).items()]
-        if not vector or not len(self.held):
-            return []
-        term, weight = np.array([t for t, _ in vector]), np.array([w for _, w in vector])
-        entry, of = _ranges(self.first[term], self.first[term + 1])
-        weight, block = weight[of], self.block[entry]
-        bound = np.bincount(block, weight * self.highest[entry], self.n_blocks)
-        waiting = np.lexsort((np.arange(len(bound)), -bound))
-        waiting = waiting[bound[waiting] > 0]
-        best, places, wave = np.zeros(0), np.zeros(0, int), 1
-        while len(waiting):
-            here = np.isin(block, waiting[:wave])
-            posting, of = _ranges(self.starts[entry[here]], self.starts[entry[here] + 1])
-            cosines = np.bincount(self.places[posting], weight[here][of] * self.values[posting], len(self.held))
-            found = np.nonzero(cosines > 0)[0]
-            best, places = np.append(best, cosines[found]), np.append(places, found)
-            top = np.lexsort((places, -best))[:k]
-            best, places = best[top], places[top]
-            waiting, wave = waiting[wave:], 2 * wave
-            if len(best) == k:  # rounding may lift a cosine over its bound by a few units in the last place
-                waiting = waiting[bound[waiting] >= best[-1] - 1e-12]
-        return list(zip(best.tolist(), places.tolist(), strict=True))
-
-    def votes(self, near: list[tuple[float, int]]) -> float:
-        total, toxic = PRIOR_VOTES, PRIOR_VOTES * self.model.share_without
-        for cosine, at in near:
-            label = int(self.held.labels[at])
-            vote = cosine * cosine * self.model.class_weight[label]
-            total += vote
-            toxic += vote * label
-        return toxic / total
-
-    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        key = hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
-        if key not in self.remembered:
-            near = self.nearest(self.terms.count(text))
-            evidence = [(int(self.held.ids[at]), int(self.held.labels[at]), c) for c, at in near]
-            if len(self.remembered) > MAX_SCORES:
-                self.remembered.clear()
-            self.remembered[key] = (calibrated(self.votes(near), self.model.curve), evidence)
-        return self.remembered[key]
-
-
-def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges one after the other, and the range of each."""
-    size = end - start
-    of = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(of)) + (start - np.cumsum(size) + size)[of], of
+    def __call__(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """(score, ids, labels and cosines of the nearest examples) of each text."""
+        keys = [hashlib.blake2b(t.encode(errors="surrogatepass"), digest_size=16).digest() for t in texts]
+        if len(self._scores) > MAX_SCORES:
+            self._scores.clear()
+        fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in self._scores}
+        for key, (terms, times) in zip(fresh, self.terms.of(list(fresh.values())), strict=True):
+            cosines, places = self.index.nearest(terms, times)
+            labels = self.index.labels[places]
+            score = calibrated(self.model.votes(cosines, labels), self.model.curve)
+            self._scores[key] = (score, self.index.ids[places], labels, cosines)
+        return [self._scores[k] for k in keys]
 
 
 def calibrated(votes: float, curve: tuple[float, float]) -> float:
@@ -264,53 +300,50 @@ def logistic_curve(points: list[tuple[float, int, float]]) -> tuple[float, float
 
 
 def _example_terms(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, word, times) of the terms of each labelled row's whole text."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = WordTerms()
-        for batch in batches:
-            for doc, label, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "label", "text")), strict=True):
-                times = terms.count(text)
-                yield pa.record_batch(
-                    [pa.array([doc] * len(times), pa.int64()), pa.array([label] * len(times), pa.int32()),
-                     pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64())],
-                    names=["doc_id", "label", "word", "times"])
-
-    return rows.mapInArrow(words, "doc_id long, label int, word string, times long")
+    """(doc_id, label, terms, times) of each labelled row's whole text; terms are hashes."""
 
-
-def _examples(rows: DataFrame, chosen: frozenset[str]) -> DataFrame:
-    """(doc_id, label, terms, times) of the labelled rows that have a chosen term."""
-
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = WordTerms(chosen)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms_of = Terms()
         for batch in batches:
-            found = [of_word.count(text.as_py()) for text in batch["text"]]
-            out = pa.record_batch(
-                [batch["doc_id"], batch["label"], pa.array([list(f) for f in found], pa.list_(pa.string())),
-                 pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))],
-                names=["doc_id", "label", "terms", "times"])
-            yield out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+            found = list(terms_of.of([t.as_py() for t in batch["text"]]))
+            yield pa.record_batch(
+                [batch["doc_id"], batch["label"], pa.array([t for t, _ in found], pa.list_(pa.int64())),
+                 pa.array([n for _, n in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "times"])
 
-    return rows.mapInArrow(terms, "doc_id long, label int, terms array<string>, times array<long>")
+    return rows.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, terms array<long>, times array<int>")
 
 
-def document_frequencies(texts: DataFrame, terms: Container[str]) -> tuple[int, dict[str, int]]:
-    """Number of rows, and of those whose text has each term; counted over all rows, one sum for each batch."""
+def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of rows, and of those whose text has each of the sorted terms: a count for each term and task, added up by chunks."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
+    kind = pa.list_(pa.int64())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen, of_word = 0, Counter(), WordTerms(terms)
+        known, n, part = shared.value, 0, TaskContext.get().partitionId() % GROUPS
+        terms_of, seen = Terms(known), np.zeros(len(known) + 1, np.int64)
         for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for found, _ in terms_of.of([t.as_py() for t in batch["text"].slice(at, SLICE)]):
+                    seen[found] += 1
             n += batch.num_rows
-            for text in batch["text"]:
-                seen.update(of_word.count(text.as_py()).keys())
+        seen[-1] = n  # the last cell has the number of rows
+        chunks = [c for c in range(0, len(seen), CHUNK) if seen[c : c + CHUNK].any()]
         yield pa.record_batch(
-            [pa.array([None, *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["word", "n"])
+            [pa.array([part] * len(chunks), pa.int32()), pa.array(chunks, pa.int64()), pa.array([seen[c : c + CHUNK] for c in chunks], kind)],
+            names=["part", "chunk", "counts"])
 
-    sums = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()  # a row for each term of the bounded sample
-    counts = dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
-    return counts.pop(None, 0), counts
+    def add(rows: pa.Table) -> pa.Table:
+        counts = rows["counts"].combine_chunks()
+        total = counts.flatten().to_numpy().reshape(len(counts), -1).sum(0)
+        return pa.table([rows["part"][:1], rows["chunk"][:1], pa.array([total], kind)], names=["part", "chunk", "counts"])
+
+    schema = "part int, chunk long, counts array<long>"
+    sums = texts.select("text").mapInArrow(count, schema).groupBy("part", "chunk").applyInArrow(add, schema)
+    sums = sums.groupBy("chunk").applyInArrow(add, schema).toArrow()  # a number for each term of the bounded sample
+    seen = np.zeros(len(terms) + 1, np.int64)
+    for chunk, counts in zip(sums["chunk"].to_pylist(), sums["counts"].to_pylist(), strict=True):
+        seen[chunk : chunk + len(counts)] = counts
+    return int(seen[-1]), seen[:-1]
 
 
 def fit_toxicity(
@@ -319,7 +352,8 @@ def fit_toxicity(
     """Learn from labelled rows outside the held-out fold; at most ``SAMPLE_PER_CLASS`` of each class are examples.
 
     A document with several labels counts as toxic if one says so; one with several rows, by its first text. Labels without
-    a document or a value teach nothing. Without any label every text scores 0.
+    a document or a value teach nothing; nor do drawn rows with more than ``LONGEST`` characters, or after ``SAMPLE_CHARS`` of their
+    class. Without any label every text scores 0.
     """
     texts = id_and_text(docs, doc_id, text)
     known = (
@@ -331,64 +365,88 @@ def fit_toxicity(
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_known = sum(share.values())
     if not n_known:
-        return ToxicityModel({}, (), (1.0, 1.0), 0.0)
+        return ToxicityModel(np.zeros(0, np.int64), _index_of([], np.zeros(0)).to_bytes(), (1.0, 1.0), 0.0)
     drawn = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
     sample = drawn[0].unionByName(drawn[1])
     drawn_texts = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     # Of equal texts one example says as much as many; it is toxic if one of them is.
-    rows = written(drawn_texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "examples")
-    size = {0: 0, 1: 0} | {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    strength = _term_weights(_example_terms(rows), size)
-    n_docs, seen = document_frequencies(texts, frozenset(strength))
-    idf = {t: strength[t] * (math.log((1 + n_docs) / (1 + seen.get(t, 0))) + 1) for t in sorted(strength)}
-    examples = _held(_examples(rows, frozenset(strength)).toArrow(), tuple(idf))
+    rows = drawn_texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    rows = written(rows.where(F.length("text") <= LONGEST), "examples")
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.select("doc_id", F.sum(F.length("text")).over(so_far).alias("chars"), "label").where(F.col("chars") <= SAMPLE_CHARS)
+    rows = rows.join(F.broadcast(within.select("doc_id")), "doc_id")
+    found = written(_example_terms(rows), "example-terms")
+    size = {0: 0, 1: 0} | {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    terms, strength = _term_weights(found, size)
+    n_docs, seen = document_frequencies(texts, terms)
+    gain = strength * np.maximum(np.log((1 + n_docs) / (1 + seen)), 1e-3) ** 2
+    index = _built_index(found.where(F.size("terms") > 0), terms, gain)
     # A drawn row stands for so many labelled ones.
     each = tuple(share.get(y, 0) / size[y] if size[y] else 0.0 for y in (0, 1))
-    without = [size[y] - int((examples.labels == y).sum()) for y in (0, 1)]
+    without = [found.where((F.size("terms") == 0) & (F.col("label") == y)).count() for y in (0, 1)]
     n_without = sum(n * w for n, w in zip(without, each, strict=True))
-    base = share.get(1, 0) / n_known
-    share_without = (without[1] * each[1] + base) / (n_without + 1)
-    highest = max(each)
-    model = ToxicityModel(idf, examples, tuple(w / highest for w in each), share_without)
-    return ToxicityModel(idf, examples, model.class_weight, share_without, _calibration(model, without, each))
-
-
-def _held(found: pa.Table, names: tuple[str, ...]) -> Examples:
-    """The examples of a table of (doc_id, label, terms, times), by id; the terms of each sorted."""
-    found = found.sort_by("doc_id").combine_chunks()
-    lists, times = (pa.concat_arrays(found[c].chunks) if found.num_rows else pa.array([], found[c].type) for c in ("terms", "times"))
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.repeat(np.arange(len(sizes)), sizes)
-    terms = pc.index_in(lists.flatten(), value_set=pa.array(names, lists.type.value_type)).to_numpy(zero_copy_only=False).astype(np.int32)
-    order = np.lexsort((terms, at))
-    return Examples(names, found["doc_id"].to_numpy(), found["label"].to_numpy(), np.append(0, np.cumsum(sizes)), terms[order],
-                    times.flatten().to_numpy(zero_copy_only=False).astype(np.int32)[order])
-
-
-def _term_weights(words: DataFrame, size: dict[int, int]) -> dict[str, float]:
-    """All terms of the examples, each with a weight that rises with the dependence of its presence and the label."""
+    share_without = (without[1] * each[1] + share.get(1, 0) / n_known) / (n_without + 1)
+    highest = max(each) or 1.0
+    model = ToxicityModel(terms, index, tuple(w / highest for w in each), share_without)
+    curve = _calibration(model, found.where(F.size("terms") > 0), without, each)
+    return ToxicityModel(terms, index, model.class_weight, share_without, curve)
+
+
+def _term_weights(found: DataFrame, size: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of the examples in order, each with a weight that rises with the dependence of its presence and the label."""
+    counts = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("a"))
+    counts = counts.toArrow().sort_by("term")  # a row for each term of the bounded sample
     n, positive = float(size[0] + size[1]), float(size[1])
-    counts = words.groupBy("word").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("a"))
+    have, toxic = (counts[c].to_numpy().astype(np.float64) for c in ("n", "a"))
     # With Yates's correction, or a term of one row would seem to go with the rarer label.
-    off = F.greatest(F.abs(F.col("a") * n - F.col("n") * positive) - n / 2, F.lit(0.0))
-    spread = F.col("n") * (n - F.col("n")) * positive * (n - positive)
-    chi = F.when(spread > 0, off * off * n / spread).otherwise(F.lit(0.0))
-    found = counts.select("word", F.greatest(chi / (chi + HALF_CHI_SQUARE), F.lit(LEAST_WEIGHT)).alias("weight")).toArrow()
-    return dict(zip(found["word"].to_pylist(), found["weight"].to_pylist(), strict=True))
+    off = np.maximum(np.abs(toxic * n - have * positive) - n / 2, 0.0)
+    spread = have * (n - have) * positive * (n - positive)
+    chi = np.divide(off * off * n, spread, out=np.zeros_like(off), where=spread > 0)
+    return counts["term"].to_numpy(), np.maximum(chi / (chi + HALF_CHI_SQUARE), LEAST_WEIGHT)
+
+
+def _index_of(tables: list[pa.Table], gain: np.ndarray, terms: np.ndarray | None = None) -> BlockMaxIndex:
+    if not tables:
+        return BlockMaxIndex.build(*(np.zeros(0, np.int64) for _ in range(2)), np.zeros(1, np.int64), *(np.zeros(0, np.int64) for _ in range(2)), gain)
+    rows = tables[0].sort_by("doc_id").combine_chunks()
+    lists, times = (rows[c].combine_chunks() for c in ("terms", "times"))
+    starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return BlockMaxIndex.build(
+        rows["doc_id"].to_numpy(), rows["label"].to_numpy(), starts, np.searchsorted(terms, lists.flatten().to_numpy()),
+        times.flatten().to_numpy().astype(np.float64), gain)
+
+
+def _built_index(found: DataFrame, terms: np.ndarray, gain: np.ndarray) -> bytes:
+    """The index of the bounded sample, built by one task and kept in the shared folder."""
+    shared = found.sparkSession.sparkContext.broadcast((terms, gain))
 
+    def build(rows: pa.Table) -> pa.Table:
+        known, gain = shared.value
+        return pa.table([pa.array([_index_of([rows], gain, known).to_bytes()], pa.binary())], names=["index"])
 
-def _calibration(model: ToxicityModel, without: list[int], each: tuple[float, ...]) -> tuple[float, float]:
+    built = written(found.groupBy(F.lit("all").alias("all")).applyInArrow(build, "index binary"), "toxicity-index").first()
+    return bytes(built["index"]) if built else _index_of([], np.zeros(0)).to_bytes()
+
+
+def _calibration(model: ToxicityModel, found: DataFrame, without: list[int], each: tuple[float, ...]) -> tuple[float, float]:
     """The curve from each example's votes, left to its neighbours, to the share of toxic ones."""
-    index = BlockMaxIndex(model)
-    points = []
-    chosen = sorted(set(np.linspace(0, len(model.examples) - 1, min(CALIBRATED, len(model.examples))).astype(int).tolist()))
-    for at in chosen:
-        _, label, times = model.examples[at]
-        near = [x for x in index.nearest(Counter(dict(times)), NEIGHBOURS + 1) if x[1] != at][:NEIGHBOURS]
-        points.append((index.votes(near), label, each[label]))
-    part = len(chosen) / max(len(model.examples), 1)
-    points += [(model.share_without, y, part * without[y] * each[y]) for y in (0, 1) if without[y] and part]
+    shared = found.sparkSession.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer.of(shared.value)
+        for batch in batches:
+            votes, known = [], scorer.model.terms
+            for name, terms, times in zip(batch["doc_id"].to_pylist(), batch["terms"], batch["times"], strict=True):
+                at = np.searchsorted(known, terms.values.to_numpy())
+                cosines, places = scorer.index.nearest(at, times.values.to_numpy(), but=name)
+                votes.append(scorer.model.votes(cosines, scorer.index.labels[places]))
+            yield pa.record_batch([batch["doc_id"], batch["label"], pa.array(votes, pa.float64())], names=["doc_id", "label", "votes"])
+
+    # A row of three numbers for each example; Python works on them in the order of their ids.
+    spread = found.select("doc_id", "label", "terms", "times").repartition(4 * found.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    rows = spread.mapInArrow(vote, "doc_id long, label int, votes double").orderBy("doc_id").collect()
+    points = [(r["votes"], r["label"], each[r["label"]]) for r in rows]
+    points += [(model.share_without, y, without[y] * each[y]) for y in (0, 1) if without[y]]
     return logistic_curve(points)
 
 

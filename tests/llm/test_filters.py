@@ -1,6 +1,8 @@
 """Operators 6, 8 and 9: held-out accuracy, exact neighbours, and shrinkage."""
 
 import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -97,33 +99,119 @@ def test_toxic_documents_are_found(corpus, toxic_model):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
+def plain_terms(text):
+    """Every term of a text and its times, as strings."""
+    times = Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        times.update([word, *(f"{word[:n]}*" for n in toxicity.BEGINNINGS if len(word) > n)])
+    return times
+
+
+def plain_vectors(texts, docs, gain_of):
+    """Unit vectors of the texts over the terms that have a gain."""
+    out = []
+    for text in texts:
+        raw = {t: (1 + math.log(n)) * gain_of[t] for t, n in plain_terms(text).items() if t in gain_of}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        out.append({t: v / norm for t, v in raw.items()} if norm else {})
+    return out
+
+
+def plain_gains(corpus, labels):
+    """(examples, gain of each term) by sums over strings."""
+    texts = {r["doc_id"]: r["text"] for r in corpus["documents"].collect()}
+    examples = {}
+    for doc, y in sorted(labels.items()):
+        if doc in texts and zlib.crc32(str(doc).encode()) % 4 != 2:
+            first, label = examples.get(texts[doc], (doc, y))
+            examples[texts[doc]] = (first, max(label, y))
+    n, positive = len(examples), sum(y for _, y in examples.values())
+    have, toxic, seen = Counter(), Counter(), Counter()
+    for text, (_, y) in examples.items():
+        have.update(plain_terms(text).keys())
+        if y:
+            toxic.update(plain_terms(text).keys())
+    for text in texts.values():
+        seen.update(plain_terms(text).keys() & have.keys())
+    gain = {}
+    for t, k in have.items():
+        off = max(abs(toxic[t] * n - k * positive) - n / 2, 0)
+        spread = k * (n - k) * positive * (n - positive)
+        chi = off * off * n / spread if spread else 0
+        strength = max(chi / (chi + toxicity.HALF_CHI_SQUARE), toxicity.LEAST_WEIGHT)
+        gain[t] = strength * max(math.log((1 + len(texts)) / (1 + seen[t])), 1e-3) ** 2
+    return {first: (text, y) for text, (first, y) in examples.items()}, gain
+
+
 def test_neighbours_are_exact(corpus, toxic_model):
-    index = toxicity.BlockMaxIndex(toxic_model)
-    vectors = [toxicity.weights(Counter(dict(t)), toxic_model.idf) for _, _, t in toxic_model.examples]
+    """Against all cosines, from strings, with every term of the examples."""
+    examples, gain = plain_gains(corpus, {r["doc_id"]: r["toxic"] for r in corpus["labels"].collect()})
+    assert len(toxic_model.terms) == len(gain)
+    vectors = dict(zip(examples, plain_vectors([t for t, _ in examples.values()], None, gain), strict=True))
+    scorer = toxicity.Scorer(toxic_model)
+    rows = corpus["documents"].collect()
     checked = 0
-    for r in corpus["documents"].collect():
-        times = index.terms.count(r["text"])
-        own = toxicity.weights(times, toxic_model.idf)
-        cosines = [(sum(w * v.get(t, 0.0) for t, w in own.items()), at) for at, v in enumerate(vectors)]
-        best = sorted(((-c, at) for c, at in cosines if c > 1e-12))[: toxicity.NEIGHBOURS]
-        got = index.nearest(times)
-        assert [c for c, _ in got] == pytest.approx([-c for c, _ in best])
-        checked += bool(best)
+    for r, (_, ids, labels, cosines) in zip(rows, scorer([r["text"] for r in rows]), strict=True):
+        own = plain_vectors([r["text"]], None, gain)[0]
+        best = sorted(((sum(w * v.get(t, 0.0) for t, w in own.items()), d) for d, v in vectors.items()), reverse=True)[: toxicity.NEIGHBOURS]
+        assert cosines.tolist() == pytest.approx([c for c, _ in best if c > 1e-12], rel=1e-5)
+        assert [examples[d][1] for d in ids.tolist()] == labels.tolist()
+        checked += bool(len(ids))
     assert checked > 20
 
 
-def test_blocks_are_skipped_without_loss():
-    pick = np.random.default_rng(2)
-    terms = [f"t{i}" for i in range(40)]
-    examples = tuple(
-        (i, int(i % 3 == 0), tuple(sorted((str(t), int(pick.integers(1, 4))) for t in pick.choice(terms, 5, replace=False)))) for i in range(700))
-    model = toxicity.ToxicityModel({t: 1.0 + i / 10 for i, t in enumerate(terms)}, examples, (1.0, 1.0), 0.1)
-    index = toxicity.BlockMaxIndex(model)
-    for _ in range(50):
-        times = Counter({str(t): 1 for t in pick.choice(terms, 4, replace=False)})
-        own = toxicity.weights(times, model.idf)
-        every = sorted((-sum(own.get(t, 0) * w for t, w in toxicity.weights(Counter(dict(e[2])), model.idf).items()), i) for i, e in enumerate(examples))
-        assert [c for c, _ in index.nearest(times)] == pytest.approx([-c for c, _ in every[: toxicity.NEIGHBOURS] if c < 0])
+def random_index(pick, n, kinds=40, words=60):
+    """Examples of some kinds that share few rare terms and all frequent ones."""
+    terms = [np.unique(np.concatenate([pick.integers(0, 30, 12), 30 + words * pick.integers(kinds) + pick.integers(0, words, 20)])) for _ in range(n)]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
+    gain = np.where(np.arange(30 + words * kinds) < 30, 0.3, 10.0)
+    flat, times = np.concatenate(terms), pick.integers(1, 4, starts[-1]).astype(float)
+    labels = np.array([i % 3 == 0 for i in range(n)], np.int32)
+    return terms, toxicity.BlockMaxIndex.build(np.arange(n), labels, starts, flat, times, gain), [
+        dict(zip(t.tolist(), toxicity.weighted(times[a:b], gain[t]), strict=True)) for t, a, b in zip(terms, starts, starts[1:], strict=False)], gain
+
+
+@pytest.mark.parametrize("n", [1, 40, 900])
+def test_postings_are_skipped_without_loss(n):
+    pick = np.random.default_rng(n)
+    terms, index, vectors, gain = random_index(pick, n)
+    index = toxicity.BlockMaxIndex.from_bytes(index.to_bytes())
+    for at in pick.integers(0, n, 60).tolist():
+        asked = np.unique(np.concatenate([terms[at][::2], pick.integers(0, len(gain), 3)]))
+        own = dict(zip(asked.tolist(), toxicity.weighted(np.ones(len(asked)), gain[asked]), strict=True))
+        for but in (None, at):
+            every = sorted((-sum(w * v.get(t, 0) for t, w in own.items()), i) for i, v in enumerate(vectors) if i != but)[: toxicity.NEIGHBOURS]
+            got = index.nearest(asked, np.ones(len(asked)), but=but)
+            assert got[0].tolist() == pytest.approx([-c for c, _ in every if c < 0], rel=1e-5)
+            assert but not in index.ids[got[1]].tolist()
+    if n == 900:
+        assert len(index.weight[0]) and index.read < index.posted / 4
+
+
+def test_document_frequencies(spark, corpus, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    monkeypatch.setattr(toxicity, "GROUPS", 3)
+    texts = corpus["documents"].select("text").repartition(11)
+    seen = Counter(t for r in texts.collect() for t in plain_terms(r["text"]))
+    words = sorted(w for w in seen if not w.endswith("*"))[::40] + ["nosuchword"]
+    hashes = {w: toxicity.term_hashes(w)[0] for w in words}
+    n, counts = toxicity.document_frequencies(texts, np.array(sorted(hashes.values())))
+    place = {h: i for i, h in enumerate(sorted(hashes.values()))}
+    rows = [set(re.findall(r"[^\W\d_]+", r["text"].lower())) for r in texts.collect()]
+    assert n == len(rows) and {w: counts[place[h]] for w, h in hashes.items()} == {w: sum(w in r for r in rows) for w in words}
+
+
+def test_long_labelled_texts_are_bounded(spark, corpus, monkeypatch):
+    """Rows over the length, and after the characters of their class, are no examples; the others are."""
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} word{chr(97 + i)} " * (400 if i == 3 else 10)) for i in range(20)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    monkeypatch.setattr(toxicity, "LONGEST", 1000)
+    ids = toxicity.BlockMaxIndex.from_bytes(toxicity.fit_toxicity(docs, labels).index).ids.tolist()
+    known = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(ids) == [i for i in known if i != 3]
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 350)
+    model = toxicity.fit_toxicity(docs, labels)
+    assert 0 < len(toxicity.BlockMaxIndex.from_bytes(model.index).ids) < len(ids) and len(model.terms)
 
 
 def test_a_rare_insult_is_a_term(spark):
@@ -137,11 +225,11 @@ def test_a_rare_insult_is_a_term(spark):
     docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i in toxic)) for i in texts], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, labels)
-    index = toxicity.BlockMaxIndex(model)
-    example = next(e for e in model.examples if e[1] == 1)
-    score, evidence = index.score(texts[example[0]])
-    assert score >= toxicity.THRESHOLD and evidence[0][0] == example[0] and evidence[0][2] == pytest.approx(1)
-    assert {t for _, _, terms in model.examples for t, _ in terms} >= set(plain)
+    scorer = toxicity.Scorer(model)
+    example = int(scorer.index.ids[scorer.index.labels == 1][0])
+    score, ids, _, cosines = scorer([texts[example]])[0]
+    assert score >= toxicity.THRESHOLD and ids[0] == example and cosines[0] == pytest.approx(1)
+    assert set(model.terms.tolist()) >= {toxicity.term_hashes(w)[0] for w in plain}
 
 
 def test_calibration():
