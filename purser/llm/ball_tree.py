@@ -36,6 +36,8 @@ TOP = 10
 #: A tree closes at so many documents or, with long ones, so many distinct terms of documents.
 TREE_DOCS = 8_192
 TREE_ENTRIES = 1 << 21
+#: So many texts are counted at once.
+SLICE = 256
 LEAF = 32
 #: A block of items holds about so many (item, term) entries; a longer item is a block of its own.
 BLOCK_ENTRIES = 16_384
@@ -57,10 +59,12 @@ def term_vectors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(terms_of(text.as_py())) for text in batch["text"]]
-            yield pa.record_batch(
-                [batch["doc_id"], pa.array([f.total() for f in found], pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string())),
-                 pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "n", "terms", "tf"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [Counter(terms_of(text.as_py())) for text in part["text"]]
+                yield pa.record_batch(
+                    [part["doc_id"], pa.array([f.total() for f in found], pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string())),
+                     pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "n", "terms", "tf"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(count, VECTORS)
 
@@ -270,7 +274,7 @@ def build_trees(vectors: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
         def row() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            lists, times = (rows[c].chunk(0) for c in ("terms", "tf"))
+            lists, times = (rows[c].combine_chunks() for c in ("terms", "tf"))
             starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
             encoded = lists.flatten().dictionary_encode()
             tf = times.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
