@@ -1,7 +1,7 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded memory of the ids of a word.
 
-The library's pre-tokenizers cut a text at white space (a blank before a word belongs to the word) and where a
-run of letters ends. So the distinct words of a batch are encoded once by the library and looked up afterwards;
+The library first cuts a text at the special tokens of its vocabulary, each of which is one id, and then cuts what lies between
+at white space (a blank before a word belongs to the word) and where a run of letters ends. So the distinct words of a batch are encoded once by the library and looked up afterwards;
 the ids are those the library gives for the whole text (``tests/llm/test_tokens.py``).
 """
 
@@ -36,13 +36,17 @@ class WordIds(dict):
     def __init__(self, path: str, spaced: bool):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = True  # chunks hold no special token, but one in capitals may look so in lower case
         self._model = self._tokenizer.model
         self._spaced = spaced
         # How a byte-level vocabulary writes the UTF-8 of each character of WORD.
         write = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self._written = str.maketrans({c: write(c)[0][0] for c in map(chr, range(256)) if c == " " or WORD.fullmatch(c)})
         self.long: list[str] = []
+        added = self._tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path}: only special tokens that are matched as they stand are known here")
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
 
     def __missing__(self, chunk: str) -> bytes:
         if WORD.fullmatch(chunk) and (self._spaced or chunk.islower()):
@@ -73,15 +77,28 @@ class ChunkEncoder:
         self._known = WordIds(path, spaced)
         self._spaced = spaced
         self._chunks = SPACED if spaced else BARE
+        longest_first = sorted(self._known.special, key=len, reverse=True)
+        self._special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
 
     def _split(self, text: str) -> list[str]:
         if not self._spaced and (text.isascii() or max(text) <= "\xff"):
             text = text.lower()  # as the vocabulary's normalizer does; elsewhere it is left to the library
         return self._chunks.findall(text)
 
+    def _ids(self, text: str) -> bytes:
+        return b"".join(map(self._known.__getitem__, self._split(text)))
+
+    def _ids_around_special(self, text: str) -> bytes:
+        out, at = [], 0
+        for found in self._special.finditer(text):
+            out += self._ids(text[at : found.start()]), self._known.special[found.group()]
+            at = found.end()
+        return b"".join([*out, self._ids(text[at:])])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        ids = [b"".join(map(self._known.__getitem__, self._split(text))) for text in texts]
+        has_special = self._special.search if self._special else lambda text: None
+        ids = [self._ids_around_special(text) if has_special(text) else self._ids(text) for text in texts]
         self._known.shrink()
         return ids
 

@@ -72,7 +72,6 @@ def test_secrets_are_masked_and_the_rest_unchanged(after):
 
 def test_packing_holds_every_id(after):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     wanted = {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in after["secrets"].collect()}
     got = {r["doc_id"]: r["n"] for r in after["packing"].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert got == wanted

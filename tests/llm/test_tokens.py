@@ -21,13 +21,15 @@ ALPHABET = " \t\n\r\x0b\x85\xa0 　\x1c᠎​́ab'sZÉé1٣中,.!éİΣςß
 def odd_texts(n=3_000):
     pick = random.Random(1)
     odd = ["".join(pick.choice(ALPHABET) for _ in range(pick.randint(0, 40))) for _ in range(n)]
-    return [*odd, "<|endoftext|> a<|endoftext|>b", "", "a" * 5000, "don't it's. we'LL éa \xb5 \xaa1", "  two   three    four"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|>" * 3, "<|ENDOFTEXT|>", "a <|endoftext|> b", "word<|endoftext|>word",
+               " <|startoftext|>  two  <|endoftext|> ", "<|endoftext", "é<|endoftext|>́x", "'s<|startoftext|>'s\n<|endoftext|>\n\n"]
+    special += ["".join(pick.choice([*ALPHABET, "<|endoftext|>", "<|startoftext|>"]) for _ in range(20)) for _ in range(300)]
+    return [*odd, *special, "<|endoftext|> a<|endoftext|>b", "", "a" * 5000, "don't it's. we'LL éa \xb5 \xaa1", "  two   three    four"]
 
 
 @pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORDS, False)])
 def test_ids_are_the_librarys(texts, path, spaced):
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     every = [*texts.values(), *odd_texts()]
     wanted = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
     assert [as_ids(x).tolist() for x in encoder(path, spaced)(every)] == wanted
@@ -79,7 +81,6 @@ def test_encode_and_decode(docs, texts, awkward, nothing):
 
 def ids_of(path, text, end):
     library = ids_of.libraries.setdefault(path, Tokenizer.from_file(path))
-    library.encode_special_tokens = True
     return np.array([*library.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
