@@ -2,7 +2,7 @@
 
 Terms are all words, and beginnings of words, of a bounded sample of labelled rows; a beginning ("abcd*") stands for all
 inflections of a stem, also unseen ones. Examples and texts are TF-IDF vectors over these terms: one plus the logarithm of the
-occurrences, times the squared inverse document frequency over the whole corpus, times a weight that is the larger the more the term goes
+occurrences, times a power of the inverse document frequency over the whole corpus, times a weight that is the larger the more the term goes
 with the label in the sample (chi-square); none weighs nothing.
 
 The examples are held in an inverted index of arrays, in an order that puts like ones side by side and cuts them into blocks. Lists of
@@ -50,6 +50,8 @@ SLICE = 128
 #: A term of this chi-square has half the weight that the label can give; none has less than the least.
 HALF_CHI_SQUARE = 30.0
 LEAST_WEIGHT = 0.1
+#: Power of the inverse document frequency; the higher, the less of a vector is frequent terms.
+IDF_POWER = 2.5
 BLOCK = 32
 #: Terms of more than this share of the examples have lists that are not read whole.
 FREQUENT = 0.08
@@ -115,19 +117,17 @@ def weighted(times: np.ndarray, gain: np.ndarray) -> np.ndarray:
     return raw / norm if norm else raw
 
 
-def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges, one range after the other."""
-    size = end - start
-    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
-
-
 class BlockMaxIndex:
-    """The inverted index of the examples. ``read`` and ``posted`` count the postings read and those there were for the texts asked."""
+    """The inverted index of the examples. ``read`` and ``posted`` count the postings read and those there were for the texts asked;
+    ``looked`` and ``offered`` the examples that were scored in full, and all."""
 
-    FIELDS = ("ids", "labels", "gain", "first", "places", "values")
+    FIELDS = ("ids", "labels", "gain", "first", "places", "times")
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, gain: np.ndarray, first: np.ndarray, places: np.ndarray, values: np.ndarray):
-        self.ids, self.labels, self.gain, self.first, self.places, self.values = ids, labels, gain, first, places, values
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, gain: np.ndarray, first: np.ndarray, places: np.ndarray, times: np.ndarray):
+        self.ids, self.labels, self.gain, self.first, self.places, self.times = ids, labels, gain, first, places, times
+        raw = (1 + np.log(times.astype(np.float64))) * np.repeat(gain, np.diff(first))
+        norm = np.sqrt(np.bincount(places, raw * raw, len(ids)))
+        values = self.values = np.divide(raw, norm[places], out=raw).astype(np.float32)
         n = len(ids)
         sizes = np.diff(first)
         self.row = np.full(len(gain), -1, np.int64)  # of a frequent term, in the tables below
@@ -141,33 +141,34 @@ class BlockMaxIndex:
         self.highest = self.weight.reshape(blocks, BLOCK, -1).max(1).astype(np.float64) if len(frequent) else np.zeros((blocks, 0))
         self.length = np.sqrt(np.square(self.weight, dtype=np.float64).sum(1))[:n]
         self.sizes = sizes
-        self.read = self.posted = 0
+        self.read = self.posted = self.looked = self.offered = 0
 
     @classmethod
     def build(cls, ids: np.ndarray, labels: np.ndarray, starts: np.ndarray, terms: np.ndarray, times: np.ndarray, gain: np.ndarray) -> BlockMaxIndex:
         """Of examples in order of their ids, with their terms (places in ``gain``) and times from ``starts``."""
         row = np.repeat(np.arange(len(ids)), np.diff(starts))
-        raw = (1 + np.log(times)) * gain[terms]
-        norm = np.sqrt(np.bincount(row, raw * raw, len(ids)))
-        values = (raw / np.where(norm > 0, norm, 1)[row]).astype(np.float32)
+        values = (1 + np.log(times)) * gain[terms]
+        values /= np.sqrt(np.bincount(row, values * values, len(ids)))[row]
         order = np.arange(len(ids))
         if len(ids):
-            order = BallTree.build(order, np.ones(len(ids), bool), starts, terms, values.astype(np.float64), range(len(gain))).ids
+            order = BallTree.build(order, np.ones(len(ids), bool), starts, terms, values, range(len(gain))).ids
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
         by_term = np.lexsort((place[row], terms))
         first = np.searchsorted(terms[by_term], np.arange(len(gain) + 1))
-        return cls(ids[order], labels[order], gain, first, place[row][by_term].astype(np.int32), values[by_term])
+        return cls(ids[order], labels[order], gain, first, place[row][by_term].astype(np.int32), times[by_term])
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{f: getattr(self, f) for f in self.FIELDS})
+        small = {f: getattr(self, f).astype(np.min_scalar_type(int(getattr(self, f).max(initial=0)))) for f in ("first", "places", "times")}
+        np.savez_compressed(out, ids=self.ids, labels=self.labels, gain=self.gain, **small)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> BlockMaxIndex:
         with np.load(io.BytesIO(raw)) as held:
-            return cls(*(held[f] for f in cls.FIELDS))
+            wide = {"first": np.int64, "places": np.int32}
+            return cls(*(held[f].astype(wide.get(f, held[f].dtype)) for f in cls.FIELDS))
 
     def nearest(self, terms: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k largest positive cosines, largest first, and the places of their examples; of equal ones the smallest ids. ``but``: an id left out."""
@@ -176,8 +177,12 @@ class BlockMaxIndex:
             return np.zeros(0), np.zeros(0, np.int64)
         row = self.row[terms]
         rare = row < 0
-        spans = _spans(self.first[terms[rare]], self.first[terms[rare] + 1])
-        part = np.bincount(self.places[spans], self.values[spans] * np.repeat(vector[rare], self.sizes[terms[rare]]), n)
+        few = terms[rare]
+        lists = [slice(a, b) for a, b in zip(self.first[few].tolist(), self.first[few + 1].tolist(), strict=True)]
+        part, spans = np.zeros(n), 0
+        if lists:
+            gained = np.concatenate([self.values[x] for x in lists]) * np.repeat(vector[rare], self.sizes[few])
+            part, spans = np.bincount(np.concatenate([self.places[x] for x in lists]), gained, n), len(gained)
         often = np.zeros(self.weight.shape[1])
         often[row[~rare]] = vector[~rare]
         in_block = np.repeat(self.highest @ often, BLOCK)[:n]
@@ -185,7 +190,7 @@ class BlockMaxIndex:
         bound = part + np.minimum(in_block, math.sqrt(often @ often) * self.length) + 1e-9
         if but is not None:
             bound[self.ids == but] = -1.0
-        first = np.argpartition(-bound, min(4 * k, n) - 1)[: 4 * k]
+        first = np.argpartition(bound, max(n - 4 * k, 0))[-4 * k :]
         exact = part[first] + self.weight[first] @ often
         least = np.partition(exact, len(exact) - k)[-k] if len(exact) >= k else 0.0
         rest = bound >= max(least, 1e-9)
@@ -194,8 +199,9 @@ class BlockMaxIndex:
         places = np.concatenate([first, rest])
         cosines = np.concatenate([exact, part[rest] + self.weight[rest] @ often])
         listed = self.sizes[terms].sum()
+        self.looked, self.offered = self.looked + len(places), self.offered + n
         self.posted += int(listed)
-        self.read += int(len(spans) + (listed - len(spans)) * len(places) / n)
+        self.read += int(spans + (listed - spans) * len(places) / n)
         good = (cosines > 0) & (bound[places] > 0)
         places, cosines = places[good], cosines[good]
         top = np.lexsort((self.ids[places], -cosines))[:k]
@@ -341,8 +347,9 @@ def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[int, np.n
     sums = texts.select("text").mapInArrow(count, schema).groupBy("part", "chunk").applyInArrow(add, schema)
     sums = sums.groupBy("chunk").applyInArrow(add, schema).toArrow()  # a number for each term of the bounded sample
     seen = np.zeros(len(terms) + 1, np.int64)
-    for chunk, counts in zip(sums["chunk"].to_pylist(), sums["counts"].to_pylist(), strict=True):
-        seen[chunk : chunk + len(counts)] = counts
+    shared.destroy()
+    for chunk, counts in zip(sums["chunk"].to_pylist(), sums["counts"], strict=True):
+        seen[chunk : chunk + len(counts)] = counts.values.to_numpy()
     return int(seen[-1]), seen[:-1]
 
 
@@ -379,7 +386,7 @@ def fit_toxicity(
     size = {0: 0, 1: 0} | {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     terms, strength = _term_weights(found, size)
     n_docs, seen = document_frequencies(texts, terms)
-    gain = strength * np.maximum(np.log((1 + n_docs) / (1 + seen)), 1e-3) ** 2
+    gain = strength * np.maximum(np.log((1 + n_docs) / (1 + seen)), 1e-3) ** IDF_POWER
     index = _built_index(found.where(F.size("terms") > 0), terms, gain)
     # A drawn row stands for so many labelled ones.
     each = tuple(share.get(y, 0) / size[y] if size[y] else 0.0 for y in (0, 1))
@@ -425,6 +432,7 @@ def _built_index(found: DataFrame, terms: np.ndarray, gain: np.ndarray) -> bytes
         return pa.table([pa.array([_index_of([rows], gain, known).to_bytes()], pa.binary())], names=["index"])
 
     built = written(found.groupBy(F.lit("all").alias("all")).applyInArrow(build, "index binary"), "toxicity-index").first()
+    shared.destroy()
     return bytes(built["index"]) if built else _index_of([], np.zeros(0)).to_bytes()
 
 
@@ -445,6 +453,7 @@ def _calibration(model: ToxicityModel, found: DataFrame, without: list[int], eac
     # A row of three numbers for each example; Python works on them in the order of their ids.
     spread = found.select("doc_id", "label", "terms", "times").repartition(4 * found.sparkSession.sparkContext.defaultParallelism, "doc_id")
     rows = spread.mapInArrow(vote, "doc_id long, label int, votes double").orderBy("doc_id").collect()
+    shared.destroy()
     points = [(r["votes"], r["label"], each[r["label"]]) for r in rows]
     points += [(model.share_without, y, without[y] * each[y]) for y in (0, 1) if without[y]]
     return logistic_curve(points)

@@ -139,7 +139,7 @@ def plain_gains(corpus, labels):
         spread = k * (n - k) * positive * (n - positive)
         chi = off * off * n / spread if spread else 0
         strength = max(chi / (chi + toxicity.HALF_CHI_SQUARE), toxicity.LEAST_WEIGHT)
-        gain[t] = strength * max(math.log((1 + len(texts)) / (1 + seen[t])), 1e-3) ** 2
+        gain[t] = strength * max(math.log((1 + len(texts)) / (1 + seen[t])), 1e-3) ** toxicity.IDF_POWER
     return {first: (text, y) for text, (first, y) in examples.items()}, gain
 
 
@@ -188,6 +188,13 @@ def test_postings_are_skipped_without_loss(n):
         assert len(index.weight[0]) and index.read < index.posted / 4
 
 
+def test_most_examples_are_never_looked_at(corpus, toxic_model):
+    """Of the corpus' own texts: the lists of frequent terms are needed for few examples."""
+    scorer = toxicity.Scorer(toxic_model)
+    scorer([r["text"] for r in corpus["documents"].collect()])
+    assert scorer.index.looked < 0.25 * scorer.index.offered and scorer.index.read < 0.4 * scorer.index.posted
+
+
 def test_document_frequencies(spark, corpus, monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 7)
     monkeypatch.setattr(toxicity, "GROUPS", 3)
