@@ -35,14 +35,14 @@ _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 TOP = 10
 #: A tree closes at so many documents or, with long ones, so many distinct terms of documents.
 TREE_DOCS = 8_192
-TREE_ENTRIES = 1 << 21
+TREE_ENTRIES = 1 << 20
 #: So many texts are counted at once.
 SLICE = 256
 LEAF = 32
 #: A block of items holds about so many (item, term) entries; a longer item is a block of its own.
 BLOCK_ENTRIES = 16_384
 #: Cells of the node by term matrix of a projected tree; with more terms the tree is used to a smaller depth.
-CELLS = 1 << 23
+CELLS = 1 << 21
 VECTORS = "doc_id long, n long, terms array<string>, tf array<int>"
 TREES = "docs int, tree binary"
 HITS = "item_id long, doc_id long, score long"
