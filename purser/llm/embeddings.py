@@ -1,9 +1,9 @@
 """Near-duplicate embeddings: graphs for shards of vectors, queried by every vector of the same label.
 
 Equal vectors of a label are one node. The nodes of a label are dealt into shards of bounded size, and a hierarchical
-small-world graph is built for each. Each pair of shards of a label is a task: the nodes of the one query the graph of the
-other (within a shard, all query their own). A query's beam is widened while it is full of links; all beams of a task
-are widened until audits of sampled queries against brute force find what they must: the graph's own nodes, the same slightly
+small-world graph is built for each. Each pair of shards of a label is a key of its own: the nodes of the one query the graph of the
+other (within a shard, all query their own). A query whose beam is full of links, as in a dense group, is compared with all
+nodes of the shard instead, in blocks. All beams of a task are widened until audits of sampled queries against brute force find what they must: the graph's own nodes, the same slightly
 moved, which have links there for certain, and the querying shard's nodes. No audit counts a node's finding itself or what
 it was moved from among the other links. If no beam that is cheaper does, the task compares all pairs. Every hit is verified
 in double precision, so no reported link is below the threshold.
@@ -33,6 +33,8 @@ AUDIT = 256
 RECALL = 0.99
 #: Single precision may put a cosine this much off in the search; candidates are taken so much earlier.
 SLACK = 1e-5
+#: A product of blocks in double precision is right but for this; what is nearer to the threshold is verified one by one.
+SURE = 1e-12
 GRAPH = "label int, size int, shard int, ids array<long>, copies array<long>, vectors binary, graph binary"
 FOUND = "a long, b long, n long"
 
@@ -62,24 +64,28 @@ def _build(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _hits(graph: Graph, indexed: np.ndarray, queries: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries, indexed) places of verified links, batch by batch. A beam full of links is doubled; one wider than all nodes
-    stands for comparing all pairs."""
+    """(queries, indexed) places of verified links, batch by batch. A beam wider than all nodes stands for comparing all pairs."""
     for start in range(0, len(queries), QUERIES):
-        if beam > len(indexed):
-            q, i = np.nonzero(queries[start : start + QUERIES] @ indexed.T >= THRESHOLD - SLACK)
-            true = np.einsum("ld,ld->l", queries[start + q], indexed[i]) >= THRESHOLD
-            yield start + q[true], i[true]
-            continue
-        waiting, wide = np.arange(start, min(start + QUERIES, len(queries))), beam
-        while len(waiting):
-            nodes, sims = graph.search(queries[waiting], wide)
+        waiting = np.arange(start, min(start + QUERIES, len(queries)))
+        if beam <= len(indexed):
+            nodes, sims = graph.search(queries[waiting], beam)
             # A search that filled its beam with links may have missed some; one that met all nodes has not.
-            full = (sims[:, -1] >= THRESHOLD - SLACK) & (wide < len(indexed))
+            full = (sims[:, -1] >= THRESHOLD - SLACK) & (beam < len(indexed))
             row, place = np.nonzero((sims >= THRESHOLD - SLACK) & (nodes >= 0) & ~full[:, None])
-            q, i = waiting[row], nodes[row, place]
-            true = np.einsum("ld,ld->l", queries[q], indexed[i]) >= THRESHOLD
-            yield q[true], i[true]
-            waiting, wide = waiting[full], min(2 * wide, len(indexed))
+            yield _verified(indexed, queries, waiting[row], nodes[row, place])
+            waiting = waiting[full]
+        if len(waiting):
+            cosines = queries[waiting] @ indexed.T
+            sure, near = cosines >= THRESHOLD + SURE, np.abs(cosines - THRESHOLD) < SURE
+            row, place = np.nonzero(sure)
+            yield waiting[row], place
+            row, place = np.nonzero(near)
+            yield _verified(indexed, queries, waiting[row], place)
+
+
+def _verified(indexed: np.ndarray, queries: np.ndarray, q: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    true = np.einsum("ld,ld->l", queries[q], indexed[i]) >= THRESHOLD
+    return q[true], i[true]
 
 
 def _spaced(n: int) -> np.ndarray:
@@ -129,6 +135,39 @@ def _passes(
     return all((found & g).sum() >= least * (there & g).sum() for g in groups)
 
 
+class Forest:
+    """Components of the nodes of one task, and links that span them."""
+
+    def __init__(self, n: int):
+        self.group = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the ends of links, a batch at a time: one link of each end in b that still leads elsewhere, until none does."""
+        while True:
+            apart = self.group[a] != self.group[b]
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            first = np.unique(b, return_index=True)[1]
+            up: dict[int, int] = {}
+            for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                low, high = sorted((_root(up, int(self.group[x])), _root(up, int(self.group[y]))))
+                if low != high:
+                    up[high] = low
+                    self.links.append((x, y))
+            new = np.arange(len(self.group))
+            new[list(up)] = [_root(up, x) for x in up]
+            self.group = new[self.group]
+
+
+def _root(up: dict[int, int], x: int) -> int:
+    while x in up:
+        up[x] = up.get(up[x], up[x])
+        x = up[x]
+    return x
+
+
 def _links(raw: dict) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Links of each node, counting copies, and a spanning forest, of one pair of shards."""
     own = raw["shard"] == raw["q_shard"]
@@ -139,24 +178,20 @@ def _links(raw: dict) -> tuple[dict[int, int], list[tuple[int, int]]]:
     ids, copies = np.array(raw["ids"]), np.array(raw["copies"])
     q_ids, q_copies = (ids, copies) if own else (np.array(raw["q_ids"]), np.array(raw["q_copies"]))
     n, n_q = np.zeros(len(ids), np.int64), np.zeros(len(q_ids), np.int64)
-    group = np.arange(len(ids) + (0 if own else len(q_ids)))  # of the indexed, then the querying nodes
     first_q = 0 if own else len(ids)
-    forest = []
+    names = ids if own else np.concatenate([ids, q_ids])  # of the indexed, then the querying nodes
+    forest = Forest(len(names))
     for q, i in _hits(graph, indexed, queries, audited_beam(graph, indexed, queries)):
         if own:
             q, i = q[q != i], i[q != i]
-        np.add.at(n_q, q, copies[i])
+        n_q += np.bincount(q, copies[i], len(q_ids)).astype(np.int64)
         if not own:
-            np.add.at(n, i, q_copies[q])
-        for x, y in zip(q.tolist(), i.tolist(), strict=True):
-            a, b = group[first_q + x], group[y]
-            if a != b:
-                group[group == max(a, b)] = min(a, b)
-                forest.append((int(q_ids[x]), int(ids[y])))
+            n += np.bincount(i, q_copies[q], len(ids)).astype(np.int64)
+        forest.add(first_q + q, i)
     counts = dict(zip(q_ids.tolist(), n_q.tolist(), strict=True))
     if not own:
         counts |= dict(zip(ids.tolist(), n.tolist(), strict=True))
-    return {k: v for k, v in counts.items() if v}, forest
+    return {k: v for k, v in counts.items() if v}, [(int(names[x]), int(names[y])) for x, y in forest.links]
 
 
 def link_embeddings(
@@ -181,10 +216,12 @@ def link_embeddings(
         "label", "size", F.pmod(F.xxhash64("rep"), "shards").cast("int").alias("shard"), F.col("rep").alias("vec_id"), "copies", "embedding")
     graphs = written(dealt.groupBy("label", "size", "shard").applyInArrow(_build, GRAPH), "graphs")
 
-    asking = graphs.select("label", "size", F.col("shard").alias("q_shard"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "copies", "vectors")])
-    pairs = graphs.join(asking, ["label", "size"]).where("q_shard >= shard")
-    own = F.col("q_shard") == F.col("shard")
-    lean = pairs.withColumns({f"q_{c}": F.when(~own, F.col(f"q_{c}")) for c in ("ids", "copies", "vectors")})
+    # Each pair of shards is a key, so no task holds more than pairs; a shard's graph goes to each pair that it is queried in.
+    asked = graphs.join(shards, ["label", "size"]).withColumn("q_shard", F.explode(F.expr("sequence(shard, cast(shards as int) - 1)")))
+    asking = graphs.where("shard > 0").select(
+        "label", "size", F.col("shard").alias("q_shard"), F.explode(F.expr("sequence(0, shard - 1)")).alias("shard"),
+        *[F.col(c).alias(f"q_{c}") for c in ("ids", "copies", "vectors")])
+    lean = asked.join(asking, ["label", "size", "shard", "q_shard"], "left")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

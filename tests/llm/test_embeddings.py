@@ -1,5 +1,7 @@
 """Operator 7: links and components against brute force in double precision, with small shards."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -140,3 +142,54 @@ def test_links_of_unreachable_nodes_are_counted(own):
         wanted |= {i: int(n) for i, n in enumerate(links.sum(0)) if n}
     counts, forest = embeddings._links(raw)
     assert counts == wanted and forest
+
+
+def near_copies(pick, groups, n, dims=32):
+    """Groups of n vectors each that all link to each other, and as many far ones."""
+    vectors = [embeddings.units(c + 0.01 * pick.standard_normal((n, dims))) for c in pick.standard_normal((groups, dims))]
+    return np.vstack([*vectors, embeddings.units(pick.standard_normal((n, dims)))])
+
+
+def pair_of_shards(vectors, others=None):
+    held = {"label": 1, "size": vectors.shape[1], "shard": 0, "q_shard": 0, "ids": list(range(len(vectors))), "copies": [1] * len(vectors),
+            "vectors": vectors.tobytes(), "graph": Graph.build(vectors).to_bytes(), "q_ids": None, "q_copies": None, "q_vectors": None}
+    if others is not None:
+        held |= {"q_shard": 1, "q_ids": list(range(100_000, 100_000 + len(others))), "q_copies": [1] * len(others), "q_vectors": others.tobytes()}
+    return held
+
+
+def test_a_dense_shard_takes_no_long_search():
+    """4,096 near copies, 16 million links, in one shard."""
+    vectors = near_copies(np.random.default_rng(11), 1, 4_096)
+    start = time.process_time()
+    counts, forest = embeddings._links(pair_of_shards(vectors))
+    assert time.process_time() - start < 60
+    links = vectors @ vectors.T >= embeddings.THRESHOLD
+    assert counts == {i: int(k) - 1 for i, k in enumerate(links.sum(1)) if k > 1}
+    assert len(forest) == 4_095 + (len(counts) - 4_096) // 2
+
+
+def test_two_dense_shards():
+    pick = np.random.default_rng(12)
+    both = near_copies(pick, 3, 400)
+    both = both[pick.permutation(len(both))]
+    first, second = both[:800], both[800:]
+    counts, forest = embeddings._links(pair_of_shards(first, second))
+    links = first @ second.T >= embeddings.THRESHOLD
+    assert counts == {i: int(k) for i, k in enumerate(links.sum(1)) if k} | {100_000 + i: int(k) for i, k in enumerate(links.sum(0)) if k}
+    linked = sum(1 for k in links.any(1) if k) + sum(1 for k in links.any(0) if k)
+    assert len(forest) == linked - 3  # a spanning tree for each group
+
+
+def test_forest_spans_components():
+    pick = np.random.default_rng(13)
+    for n, m in ((50, 30), (300, 280), (300, 2000)):
+        forest, a, b = embeddings.Forest(n), pick.integers(0, n, m), pick.integers(0, n, m)
+        for at in range(0, m, 100):
+            forest.add(a[at : at + 100], b[at : at + 100])
+        group = np.arange(n)
+        for _ in range(n):
+            low = np.minimum(group[a], group[b])
+            np.minimum.at(group, a, low)
+            np.minimum.at(group, b, low)
+        assert (forest.group == group).all() and len(forest.links) == n - len(set(group.tolist()))
