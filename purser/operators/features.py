@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from purser.functions.scalars import SPEND, key_hash, label_if
 from purser.operators.groups import group_aggregates, lookup_join
+from purser.operators.profile import MAX_COLUMNS
 from purser.operators.quantiles import exact_quantiles
 
 SCALED = (*SPEND, "TotalExpenses")
@@ -133,8 +134,11 @@ def fit_onehot(df: DataFrame, cols: Sequence[str] | None = None, known: dict[str
     seen: dict[str, list[str]] = {c: [] for c in open_cols}
     if open_cols:
         pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in open_cols])
-        # Each level becomes a column, so the driver has to know them all.
-        for row in df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct().collect():
+        # Each level becomes a column, so the driver has to know them all; more than there can be columns are an error.
+        levels = df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect()
+        if len(levels) > MAX_COLUMNS:
+            raise ValueError(f"the levels of {open_cols} are more than {MAX_COLUMNS}, too many for columns")
+        for row in levels:
             seen[row["name"]].append(row["level"])
     return OneHot(tuple((c, tuple(known[c]) if c in known else tuple(sorted(seen[c]))) for c in cols))
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from purser.functions.scalars import ceil_double
 from purser.operators.quantiles import group_quantiles
+from purser.session import small_table, written
+
+#: So many values of a column can become columns of a result.
+MAX_COLUMNS = 10_000
 
 
 def long_form(df: DataFrame, cols: Sequence[str], *keep: str, name: str = "dim", value: str = "value") -> DataFrame:
@@ -27,16 +31,32 @@ def crosstab(
     row: str,
     col: str,
     count_of: str | None = None,
+    values: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows (or non-null ``count_of``) per pair of values, one column per value of ``col`` that the data hold.
+    """Rows (or non-null ``count_of``) per pair of values, one column per value of ``col``.
 
-    Rows where either side is missing are left out, and with them groups that
-    hold nothing else.
+    The columns are ``values``, or those that the data hold; more than ``MAX_COLUMNS`` of these are an error: then
+    ``crosstab_counts`` has the same numbers as rows. Rows where either side is missing are left out, and with them groups that
+    hold nothing else. The data are read once: the counts of the pairs are written, and the columns are made of them.
     """
+    counts = written(crosstab_counts(df, row, col, count_of), "crosstab")
+    if values is None:
+        values = bounded_values(counts.select(col).distinct(), f"the values of {col}")
+    return counts.groupBy(row).pivot(col, list(values)).agg(F.sum("n")).na.fill(0)
+
+
+def crosstab_counts(df: DataFrame, row: str, col: str, count_of: str | None = None) -> DataFrame:
+    """(row, col, n) of every pair of known values, however many there are."""
     known = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    counted = F.count(count_of) if count_of else F.count(F.lit(1))
-    values = sorted(r[0] for r in known.select(col).distinct().collect())  # they become columns
-    return known.groupBy(row).pivot(col, values).agg(counted).na.fill(0)
+    return known.groupBy(row, col).agg((F.count(count_of) if count_of else F.count(F.lit(1))).alias("n"))
+
+
+def bounded_values(values: DataFrame, what: str) -> list:
+    """The sorted values of a one-column table that are to become columns; more than ``MAX_COLUMNS`` are an error."""
+    found = [r[0] for r in values.limit(MAX_COLUMNS + 1).collect()]
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"{what} are more than {MAX_COLUMNS}, too many for columns")
+    return sorted(found)
 
 
 def distinct_per_group(df: DataFrame, key: str, col: str, name: str = "n_distinct") -> DataFrame:
@@ -213,24 +233,22 @@ def box_stats(df: DataFrame, boxes: Sequence[tuple[str, str]]) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair, each over the rows where both are known, in one aggregate.
 
-    A constant column has no correlation: null.
+    A row is dealt out to all pairs and the pairs are grouped, so the aggregate stays narrow; it is combined before its
+    shuffle of one row for each pair and task. A constant column has no correlation: null.
     """
     x = {c: F.col(f"`{c}`").cast("int" if t == "boolean" else "double").cast("double") for c, t in df.select(*cols).dtypes}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-
-    def corr(a: str, b: str) -> Column:
-        if a == b:
-            return F.when(F.var_pop(x[a]) > 0, 1.0)
-        both = x[a].isNotNull() & x[b].isNotNull()
-        left, right = F.when(both, x[a]), F.when(both, x[b])
-        return F.try_divide(F.covar_pop(left, right), F.sqrt(F.var_pop(left)) * F.sqrt(F.var_pop(right)))
-
-    one = df.agg(*[corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(f"_{i}", 6).alias("corr"))
-        for i, pair in enumerate(pairs) for a, b in dict.fromkeys((pair, pair[::-1]))
-    ]
-    return one.select(F.inline(F.array(*cells)))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[cols[i]].alias("x"), x[cols[j]].alias("y")) for i, j in pairs]
+    known = df.select(F.inline(F.array(*cells))).where("x is not null and y is not null")
+    sums = known.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"))
+    found = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    corr = F.round(F.when(F.col("i") == F.col("j"), F.when(F.col("xx") > 0, 1.0)).otherwise(found), 6)
+    # Pairs that no row knows both columns of are there, too.
+    every = small_table(df.sparkSession, pairs, "i int, j int")
+    names = F.array(*map(F.lit, cols))
+    both = every.join(sums, ["i", "j"], "left").select("i", "j", corr.alias("corr"))
+    both = both.unionByName(both.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    return both.select(F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), "corr")
 
 
 def sorted_group_profile(df: DataFrame, key: str, col: str) -> DataFrame:

@@ -20,8 +20,10 @@ BINS = 1_024
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> tuple[int, list[float]] | None:
     """(rows, quantile values) with linear interpolation between neighbours; nothing when no value is known."""
-    data = df.select(F.lit("all").alias("_g"), F.col(col).cast("double").alias("_x")).where("_x is not null")
-    s = data.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+    data = df.select(F.col(col).cast("double").alias("_x")).where("_x is not null").groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+    # Every pass reads the counts of the column, not the plan behind it.
+    data = written(data, "column-counts").select(F.lit("all").alias("_g"), "_x", "_n")
+    s = data.agg(F.sum("_n").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
     if not s["n"]:
         return None
     found: dict[tuple[object, int], float] = {}
@@ -103,7 +105,7 @@ def _narrow(data, open_ranks, found):
     share = (F.col("_x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
     slices = (
         inside.groupBy("i", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+        .agg(F.sum("_n").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
         .collect()
     )
     below = [interval[3] for interval in intervals]

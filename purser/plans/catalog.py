@@ -309,20 +309,24 @@ def propagate_group_value(spark, sf_dir):
 @query
 def impute_mean_route_vip(spark, sf_dir):
     df = with_route(spark, sf_dir, "VIP", *SPEND)
-    return repair.fit_group_means(df, ("JourneyRoute", "VIP")).transform(df).select(KEY, "JourneyRoute", "VIP", *SPEND)
+    means = repair.fit_group_means(with_route(spark, sf_dir, "VIP", *SPEND, key=False), ("JourneyRoute", "VIP"))
+    return means.transform(df).select(KEY, "JourneyRoute", "VIP", *SPEND)
 
 
 @query
 def impute_mean_transform(spark, sf_dir):
     df = with_route(spark, sf_dir, "VIP", *SPEND)
-    means = repair.fit_group_means(df, ("JourneyRoute", "VIP"), zero_is_missing=False, ceil_all=True)
+    means = repair.fit_group_means(
+        with_route(spark, sf_dir, "VIP", *SPEND, key=False), ("JourneyRoute", "VIP"), zero_is_missing=False, ceil_all=True)
     return means.transform(df).select(KEY, "JourneyRoute", "VIP", *SPEND)
 
 
 @query
 def impute_age_by_planet(spark, sf_dir):
-    df = manifest(spark, sf_dir, "HomePlanet", "Age")
-    return repair.fit_group_means(df, ("HomePlanet",), ("Age",), zero_is_missing=False, ceil_all=True).transform(df)
+    # No mean depends on the passengers' numbers, so the fit doesn't number them.
+    known = manifest(spark, sf_dir, "HomePlanet", "Age", key=False)
+    means = repair.fit_group_means(known, ("HomePlanet",), ("Age",), zero_is_missing=False, ceil_all=True)
+    return means.transform(manifest(spark, sf_dir, "HomePlanet", "Age"))
 
 
 @query
@@ -333,8 +337,8 @@ def zero_fill_cryo(spark, sf_dir):
 
 @query
 def impute_global_mean(spark, sf_dir):
-    df = manifest(spark, sf_dir, *SPEND)
-    return rounded(repair.fit_global_means(df).transform(df), *SPEND)
+    means = repair.fit_global_means(manifest(spark, sf_dir, *SPEND, key=False))
+    return rounded(means.transform(manifest(spark, sf_dir, *SPEND)), *SPEND)
 
 
 # Scalar functions
@@ -393,35 +397,34 @@ def cut_group_size(spark, sf_dir):
 
 @query
 def qcut_age(spark, sf_dir):
-    df = manifest(spark, sf_dir, "Age")
-    return features.fit_qcut(df, "Age", 5, cleaning.AGE_LABELS).transform(df, to="AgeClass")
+    bins = features.fit_qcut(manifest(spark, sf_dir, "Age", key=False), "Age", 5, cleaning.AGE_LABELS)
+    return bins.transform(manifest(spark, sf_dir, "Age"), to="AgeClass")
 
 
 @query
 def standardize_spend(spark, sf_dir):
-    df = with_total(spark, sf_dir)
-    return rounded(features.fit_scale(df).transform(df), *features.SCALED)
+    scale = features.fit_scale(with_total(spark, sf_dir, key=False))
+    return rounded(scale.transform(with_total(spark, sf_dir)), *features.SCALED)
 
 
 ENCODED = ("HomePlanet", "Destination", "Deck", "Side")
 
 
-def to_encode(spark, sf_dir):
-    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", "Destination", "VIP"))
-    return df.select(KEY, "VIP", *ENCODED)
+def to_encode(spark, sf_dir, key=True):
+    df = with_cabin_parts(manifest(spark, sf_dir, "HomePlanet", "Cabin", "Destination", "VIP", key=key))
+    return df.select(*([KEY] if key else []), "VIP", *ENCODED)
 
 
 @query
 def one_hot(spark, sf_dir):
-    df = to_encode(spark, sf_dir)
-    return features.fit_onehot(df, ENCODED).transform(df)
+    return features.fit_onehot(to_encode(spark, sf_dir, key=False), ENCODED).transform(to_encode(spark, sf_dir))
 
 
 @query
 def one_hot_aligned(spark, sf_dir):
     """Levels fitted on passengers of two planets, applied to all: the third planet is new to them."""
-    df = to_encode(spark, sf_dir)
-    return features.fit_onehot(df.where(F.col("HomePlanet").isin("Earth", "Europa")), ENCODED).transform(df)
+    some = to_encode(spark, sf_dir, key=False).where(F.col("HomePlanet").isin("Earth", "Europa"))
+    return features.fit_onehot(some, ENCODED).transform(to_encode(spark, sf_dir))
 
 
 @query

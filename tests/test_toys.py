@@ -249,3 +249,23 @@ def test_zero_fill_needs_a_known_sleeper(spark):
 def test_unknown_condition_takes_the_other_label(spark):
     df = spark.createDataFrame([(None,), (0.0,), (2.0,)], "TotalExpenses double")
     assert [r[0] for r in df.select(scalars.is_spend()).collect()] == ["Not-Spent", "Not-Spent", "Spent"]
+
+
+def test_too_many_columns_are_an_error(spark, monkeypatch):
+    from purser.operators import features
+
+    df = spark.createDataFrame([(i % 3, str(i)) for i in range(9)], "g int, v string")
+    monkeypatch.setattr(profile, "MAX_COLUMNS", 8)
+    monkeypatch.setattr(features, "MAX_COLUMNS", 8)
+    with pytest.raises(ValueError, match="too many"):
+        profile.crosstab(df, "g", "v")
+    with pytest.raises(ValueError, match="too many"):
+        features.fit_onehot(df, ["v"])
+    assert rows(profile.crosstab(df, "g", "v", values=["0", "7"])) == [(0, 1, 0), (1, 0, 1), (2, 0, 0)]
+    assert profile.crosstab_counts(df, "g", "v").count() == 9
+
+
+def test_correlation_of_pairs_that_never_meet(spark):
+    df = spark.createDataFrame([(1.0, None, 5.0), (2.0, None, 5.0), (None, 3.0, 5.0), (4.0, 1.0, 5.0)], "a double, b double, c double")
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in profile.corr_matrix(df, ["a", "b", "c"]).collect()}
+    assert len(got) == 9 and got["a", "a"] == 1.0 and got["c", "c"] is None and got["a", "b"] is None and got["a", "c"] is None
