@@ -38,6 +38,8 @@ TREE_DOCS = 8_192
 TREE_ENTRIES = 1 << 20
 #: So many texts are counted at once.
 SLICE = 256
+#: A task that counts terms holds so many at most.
+MAX_COUNTED = 1 << 18
 LEAF = 32
 #: A block of items holds about so many (item, term) entries; a longer item is a block of its own.
 BLOCK_ENTRIES = 16_384
@@ -55,7 +57,7 @@ def terms_of(text: str | None) -> list[str]:
 
 
 def term_vectors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, terms, tf) of every row's whole text; a null text has no terms."""
+    """(doc_id, n, terms, tf) of every row's whole text; a null text has no terms. For the items, whose terms Spark joins with the counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,51 +267,78 @@ class Search:
         return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["item_id", "doc_id", "score"])
 
 
-def build_trees(vectors: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
+def term_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, df, n): the documents that hold each term; in the row without a term, those with any term and all their terms.
+
+    A task counts its documents and sends the counts on whenever it holds many terms, so its memory is bounded.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts(seen: Counter, docs: int, terms: int) -> pa.RecordBatch:
+            return pa.record_batch(
+                [pa.array([None, *seen], pa.string()), pa.array([docs, *seen.values()], pa.int64()), pa.array([terms, *[0] * len(seen)], pa.int64())],
+                names=["term", "df", "n"])
+
+        seen, docs, terms = Counter(), 0, 0
+        for batch in batches:
+            for text in batch["text"]:
+                found = terms_of(text.as_py())
+                docs, terms = docs + bool(found), terms + len(found)
+                seen.update(set(found))
+                if len(seen) > MAX_COUNTED:
+                    yield counts(seen, docs, terms)
+                    seen, docs, terms = Counter(), 0, 0
+        yield counts(seen, docs, terms)
+
+    schema = "term string, df long, n long"
+    return docs.select(F.col(text).alias("text")).mapInArrow(count, schema).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
+
+def build_trees(docs: DataFrame, n_docs: int, n_terms: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Ball trees over the documents with terms; ``n_docs`` such documents hold ``n_terms`` terms with repeats."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        place: dict[str, int] = {}
+        names: list = []
+        cols: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        entries = 0
 
         def row() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            lists, times = (rows[c].combine_chunks() for c in ("terms", "tf"))
-            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            encoded = lists.flatten().dictionary_encode()
-            tf = times.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            m = 100 - 75 + (75 * rows["n"].to_numpy() * n_docs) // n_terms
-            vals = 1_000_000_000 * tf // (1000 * tf + 8 * np.repeat(m, np.diff(starts)))
-            known = ~rows["doc_id"].is_null().to_numpy()
-            ids = pc.fill_null(rows["doc_id"], 0).to_numpy()
-            tree = BallTree.build(ids, known, starts, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), vals, encoded.dictionary)
-            return pa.record_batch([pa.array([len(ids)], pa.int32()), pa.array([tree.to_bytes()], pa.binary())], names=["docs", "tree"])
-
-        docs = entries = 0
+            tf = np.concatenate(times)
+            sizes = [len(c) for c in cols]
+            n = np.array([t.sum() for t in times])
+            m = 100 - 75 + (75 * n * n_docs) // n_terms
+            vals = 1_000_000_000 * tf // (1000 * tf + 8 * np.repeat(m, sizes))
+            tree = BallTree.build(
+                np.array([d or 0 for d in names], np.int64), np.array([d is not None for d in names]), np.concatenate([[0], np.cumsum(sizes)]),
+                np.concatenate(cols), vals, pa.array(list(place), pa.string()))
+            return pa.record_batch([pa.array([len(names)], pa.int32()), pa.array([tree.to_bytes()], pa.binary())], names=["docs", "tree"])
+
         for batch in batches:
-            sizes = np.cumsum(pc.list_value_length(batch["terms"]).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < batch.num_rows:
-                before = int(sizes[at - 1]) if at else 0
-                end = min(batch.num_rows, at + TREE_DOCS - docs, max(at + 1, int(np.searchsorted(sizes, before + TREE_ENTRIES - entries, "right"))))
-                held.append(batch.slice(at, end - at))
-                docs, entries, at = docs + end - at, entries + int(sizes[end - 1]) - before, end
-                if docs >= TREE_DOCS or at < batch.num_rows:
+            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                found = Counter(terms_of(text.as_py()))
+                if not found:
+                    continue
+                names.append(name)
+                cols.append(np.fromiter((place.setdefault(t, len(place)) for t in found), np.int64, len(found)))
+                times.append(np.fromiter(found.values(), np.int64, len(found)))
+                entries += len(found)
+                if len(names) >= TREE_DOCS or entries >= TREE_ENTRIES:
                     yield row()
-                    docs = entries = 0
-        if held:
+                    place, names, cols, times, entries = {}, [], [], [], 0
+        if names:
             yield row()
 
-    return vectors.where("n > 0").mapInArrow(trees, TREES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trees, TREES)
 
 
-def weigh(asked: DataFrame, vectors: DataFrame, n_docs: int) -> DataFrame:
+def weigh(asked: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
     """(item_id, terms, weights) of the items' terms that documents have: the term's weight times its occurrences in the item."""
     entries = asked.select("item_id", F.explode(F.arrays_zip("terms", "tf")).alias("e")).select(
         "item_id", F.col("e.terms").alias("term"), F.col("e.tf").cast("long").alias("times"))
-    df = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1))) * F.col("times")
-    found = entries.join(df, "term").select("item_id", "term", weight.cast("long").alias("weight"))
+    found = entries.join(counts, "term").select("item_id", "term", weight.cast("long").alias("weight"))
     return found.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("e")).select(
         "item_id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
 
@@ -349,15 +378,13 @@ def ranked_search(
     item without an id is one item. Null and empty texts have no terms; without documents or items nothing is returned. Other
     columns are not looked at.
     """
-    vectors = written(term_vectors(docs, doc_id, text), "term-vectors")
-    totals = vectors.where("n > 0").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
+    counts = written(term_statistics(docs, doc_id, text), "term-counts")
+    totals = counts.where("term is null").select("df", "n").first() or (0, 0)
     asked = items.select(F.col(item_id).cast("long").alias("doc_id"), F.col(item_text).alias("text")).distinct()
     asked = term_vectors(asked).select(F.col("doc_id").alias("item_id"), "terms", "tf").withColumns({
         "terms": F.coalesce("terms", F.array()), "tf": F.coalesce("tf", F.array())})
-    trees = written(build_trees(vectors, totals["docs"], totals["terms"] or 1), "ball-trees")
-    weighed = weigh(asked, vectors, totals["docs"])
-    weighed = weighed.select("item_id", "terms", "weights")
-    hits = search_trees(trees, weighed, top)
+    trees = written(build_trees(docs, totals[0], totals[1] or 1, doc_id, text), "ball-trees")
+    hits = search_trees(trees, weigh(asked, counts, totals[0]), top)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 

@@ -121,6 +121,7 @@ def test_search_of_the_corpus(spark, docs, texts, sf_dir, monkeypatch):
     """With small trees and several blocks of items."""
     monkeypatch.setattr(ball_tree, "BLOCK_ENTRIES", 300)
     monkeypatch.setattr(ball_tree, "TREE_DOCS", 50)
+    monkeypatch.setattr(ball_tree, "MAX_COUNTED", 400)
     bench = table(spark, sf_dir, "benchmark")
     assert rows_of(ball_tree.ranked_search(docs, bench)) == brute(texts.items(), [tuple(r) for r in bench.select("item_id", "text").collect()])
 
