@@ -41,6 +41,20 @@ def boosted_trees(step: float = 0.15, rounds: int = 30, depth: int = 5, leaf: in
     return GBTClassifier(stepSize=step, maxIter=rounds, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
 
 
+def leafwise_boosted(step: float = 0.15, rounds: int = 30, leaves: int = 35, depth: int = 15, least_rows: int = 20) -> Estimator:
+    """30 rounds at step 0.15 of trees with at most 35 leaves, grown best first."""
+    from purser.operators.leafwise import LeafwiseTrees
+
+    return LeafwiseTrees(kind="boosted", step=step, rounds=rounds, leaves=leaves, depth=depth, least_rows=least_rows)
+
+
+def leafwise_forest(trees: int = 15, leaves: int = 30, columns: int = 8, seed: int = 17) -> Estimator:
+    """15 trees of at most 30 leaves, each split on the best of 8 columns, of 6 rows at least; what has under 5 is not split."""
+    from purser.operators.leafwise import LeafwiseTrees
+
+    return LeafwiseTrees(kind="forest", rounds=trees, leaves=leaves, depth=40, least_rows=6, least_split=5, columns=columns, seed=seed)
+
+
 def max_margin(rows: int, c: float = 3.0) -> Estimator:
     """Linear machine at cost ``c``: the kernel machine needs all pairs of rows, this one needs sums over them."""
     return LinearSVC(regParam=1.0 / (c * max(rows, 1)))

@@ -45,6 +45,16 @@ def model_gbt(spark, sf_dir):
     return fit_and_check("GBT", models.boosted_trees(), training_set(spark, sf_dir))
 
 
+@query
+def model_gbt_leafwise(spark, sf_dir):
+    return fit_and_check("GBT, 35 leaves", models.leafwise_boosted(), training_set(spark, sf_dir))
+
+
+@query
+def model_rf_leafwise(spark, sf_dir):
+    return fit_and_check("RF, 30 leaves", models.leafwise_forest(), training_set(spark, sf_dir))
+
+
 @query
 def model_svc(spark, sf_dir):
     data = training_set(spark, sf_dir)
