@@ -43,7 +43,7 @@ SAMPLE_CHARS = 1 << 24
 LONGEST = 1 << 19
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (4, 5)
-MAX_REMEMBERED = 150_000
+MAX_REMEMBERED = 300_000
 MAX_SCORES = 4_000
 #: Texts whose new words are looked up at once.
 SLICE = 128
@@ -75,39 +75,57 @@ def term_hashes(word: str) -> list[int]:
 class Terms:
     """The terms of texts, as places in a sorted array of hashes, or as hashes where none is given. Remembers a bounded number of words."""
 
+    _last: Terms | None = None
+
     def __init__(self, known: np.ndarray | None = None):
-        self._known = known
+        self.known = known
+        self._forget()
+
+    @classmethod
+    def of_worker(cls, known: np.ndarray) -> Terms:
+        """One per worker process: the words stay known from task to task."""
+        if cls._last is None or not np.array_equal(cls._last.known, known):
+            cls._last = cls(known)
+        return cls._last
+
+    def _forget(self) -> None:
         self._place: dict[str, int] = {}
-        self._table = np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
+        self._table = np.zeros((0, 1 + len(BEGINNINGS)), np.int64 if self.known is None else np.int32)
 
     def _learn(self, words: set[str]) -> None:
         fresh = list(words)
-        hashes = np.array([term_hashes(w) for w in fresh], np.int64).reshape(-1, 1 + len(BEGINNINGS))
+        hashes = np.array([h for w in fresh for h in term_hashes(w)], np.int64).reshape(-1, 1 + len(BEGINNINGS))
         again = hashes[:, 1:] == hashes[:, :1]
-        if self._known is not None:
-            at = np.minimum(np.searchsorted(self._known, hashes), max(len(self._known) - 1, 0))
-            found = self._known[at] == hashes if len(self._known) else np.zeros(hashes.shape, bool)
-            hashes = np.where(found, at, -1)
+        if self.known is not None:
+            at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+            found = self.known[at] == hashes if len(self.known) else np.zeros(hashes.shape, bool)
+            hashes = np.where(found, at, -1).astype(np.int32)
         hashes[:, 1:][again] = -1
-        self._place.update(zip(fresh, range(len(self._table), len(self._table) + len(fresh)), strict=True))
-        self._table = np.concatenate([self._table, hashes])
+        self._place.update(zip(fresh, range(len(self._place), len(self._place) + len(fresh)), strict=True))
+        if len(self._place) > len(self._table):  # doubled, so that words are seldom copied
+            self._table = np.concatenate([self._table, np.empty((max(len(self._place), 4_096), self._table.shape[1]), self._table.dtype)])
+        self._table[len(self._place) - len(fresh) : len(self._place)] = hashes
 
     def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(terms in order, times) of each text."""
+        """(terms in order, times) of each text; some texts are worked on at once."""
         for start in range(0, len(texts), SLICE):
             if len(self._place) > MAX_REMEMBERED:
-                self._place, self._table = {}, self._table[:0]
+                self._forget()
             counted = [Counter(WORD.findall(t.lower())) for t in texts[start : start + SLICE]]
             self._learn(set().union(*counted) - self._place.keys())
-            for words in counted:
-                terms = self._table[[self._place[w] for w in words]].reshape(-1)
-                times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), self._table.shape[1])
-                real = terms != -1
-                terms, times = terms[real], times[real]
-                order = np.argsort(terms, kind="stable")
-                terms = terms[order]
-                first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, int)
-                yield terms[first], np.add.reduceat(times[order], first) if len(first) else times
+            rows = np.array([self._place[w] for words in counted for w in words], np.int64)
+            times = np.array([n for words in counted for n in words.values()], np.int64)
+            text_of = np.repeat(np.arange(len(counted)), [len(words) for words in counted])
+            terms, width = self._table[rows].reshape(-1), self._table.shape[1]
+            real = np.flatnonzero(terms != -1)
+            terms, times, text_of = terms[real].astype(np.int64), times[real // width], text_of[real // width]
+            order = np.lexsort((terms, text_of)) if self.known is None else np.argsort(text_of * len(self.known) + terms, kind="stable")
+            terms, text_of = terms[order], text_of[order]
+            new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (text_of[1:] != text_of[:-1])])) if len(terms) else np.zeros(0, int)
+            sums = np.add.reduceat(times[order], new) if len(new) else times
+            ends = np.searchsorted(text_of[new], np.arange(len(counted) + 1))
+            for a, b in zip(ends, ends[1:], strict=False):
+                yield terms[new[a:b]], sums[a:b]
 
 
 def weighted(times: np.ndarray, gain: np.ndarray) -> np.ndarray:
@@ -124,10 +142,13 @@ class BlockMaxIndex:
     FIELDS = ("ids", "labels", "gain", "first", "places", "times")
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, gain: np.ndarray, first: np.ndarray, places: np.ndarray, times: np.ndarray):
-        self.ids, self.labels, self.gain, self.first, self.places, self.times = ids, labels, gain, first, places, times
+        self.ids, self.labels, self.gain, self.first, self.times = ids, labels, gain, first, times
         raw = (1 + np.log(times.astype(np.float64))) * np.repeat(gain, np.diff(first))
         norm = np.sqrt(np.bincount(places, raw * raw, len(ids)))
-        values = self.values = np.divide(raw, norm[places], out=raw).astype(np.float32)
+        self.postings = np.empty(len(places), [("place", np.int32), ("value", np.float32)])
+        self.postings["place"], self.postings["value"] = places, raw / norm[places]
+        self._packed = self.postings.view(np.uint64)  # whole numbers are copied faster than records
+        values = self.postings["value"]
         n = len(ids)
         sizes = np.diff(first)
         self.row = np.full(len(gain), -1, np.int64)  # of a frequent term, in the tables below
@@ -158,6 +179,10 @@ class BlockMaxIndex:
         first = np.searchsorted(terms[by_term], np.arange(len(gain) + 1))
         return cls(ids[order], labels[order], gain, first, place[row][by_term].astype(np.int32), times[by_term])
 
+    @property
+    def places(self) -> np.ndarray:
+        return self.postings["place"]
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         small = {f: getattr(self, f).astype(np.min_scalar_type(int(getattr(self, f).max(initial=0)))) for f in ("first", "places", "times")}
@@ -181,8 +206,8 @@ class BlockMaxIndex:
         lists = [slice(a, b) for a, b in zip(self.first[few].tolist(), self.first[few + 1].tolist(), strict=True)]
         part, spans = np.zeros(n), 0
         if lists:
-            gained = np.concatenate([self.values[x] for x in lists]) * np.repeat(vector[rare], self.sizes[few])
-            part, spans = np.bincount(np.concatenate([self.places[x] for x in lists]), gained, n), len(gained)
+            read = np.concatenate([self._packed[x] for x in lists]).view(self.postings.dtype)
+            part, spans = np.bincount(read["place"], read["value"] * np.repeat(vector[rare], self.sizes[few]), n), len(read)
         often = np.zeros(self.weight.shape[1])
         often[row[~rare]] = vector[~rare]
         in_block = np.repeat(self.highest @ often, BLOCK)[:n]
@@ -252,7 +277,7 @@ class Scorer:
     _last = None
 
     def __init__(self, model: ToxicityModel):
-        self.model, self.index, self.terms = model, BlockMaxIndex.from_bytes(model.index), Terms(model.terms)
+        self.model, self.index, self.terms = model, BlockMaxIndex.from_bytes(model.index), Terms.of_worker(model.terms)
         self._scores: dict[bytes, tuple] = {}
 
     @classmethod
@@ -326,7 +351,7 @@ def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[int, np.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, part = shared.value, 0, TaskContext.get().partitionId() % GROUPS
-        terms_of, seen = Terms(known), np.zeros(len(known) + 1, np.int64)
+        terms_of, seen = Terms.of_worker(known), np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 for found, _ in terms_of.of([t.as_py() for t in batch["text"].slice(at, SLICE)]):
