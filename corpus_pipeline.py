@@ -31,8 +31,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest id; one row of it. Rows without an id stay."""
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row"))
+    whole = docs.join(kept, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("key"), F.struct("*").alias("row"))
+    rows = whole.groupBy("doc_id").agg(F.min_by("row", "key").alias("row"))
     return rows.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
