@@ -60,6 +60,14 @@ def max_margin(rows: int, c: float = 3.0) -> Estimator:
     return LinearSVC(regParam=1.0 / (c * max(rows, 1)))
 
 
+def curved_margin(rows: int, c: float = 3.0, size: int = 512, seed: int = 13) -> Estimator:
+    """The machine of ``max_margin`` over random cosines that stand for a radial kernel: its boundary is curved."""
+    from purser.operators.curved import FourierFeatures
+
+    linear = LinearSVC(featuresCol="curved", regParam=1.0 / (c * max(rows, 1)))
+    return Pipeline(stages=[FourierFeatures(outputCol="curved", size=size, seed=seed), linear])
+
+
 def logistic(rows: int, iterations: int = 2000) -> Estimator:
     """Unit cost; the loss here is a mean, hence 1/rows. The intercept is not penalised."""
     return LogisticRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, maxIter=iterations)

@@ -10,7 +10,7 @@ from purser.operators import evaluate, models, stacking
 from purser.operators.features import with_fold
 from purser.plans import cleaning, training
 from purser.plans.catalog import query
-from purser.session import small_table
+from purser.session import new_path, small_table
 from purser.sources.derived import manifest
 
 
@@ -61,6 +61,12 @@ def model_svc(spark, sf_dir):
     return fit_and_check("SVC", models.max_margin(data.n_train), data)
 
 
+@query
+def model_svc_curved(spark, sf_dir):
+    data = training_set(spark, sf_dir)
+    return fit_and_check("SVC, radial kernel", models.curved_margin(data.n_train), data)
+
+
 @query
 def model_lr(spark, sf_dir):
     data = training_set(spark, sf_dir)
@@ -112,6 +118,18 @@ def score_manifest(spark, sf_dir):
     return training.score_manifest(unlabelled, data.encoder, model, data.means)
 
 
+@query
+def score_saved(spark, sf_dir):
+    """As ``score_manifest``, by a stack that was saved to the shared folder and loaded again, with its encoder and means."""
+    data = training_set(spark, sf_dir, split="train")
+    n = data.n_train
+    stack = stacking.Stacking({"RF": models.random_forest(), "LR": models.logistic(n)}, models.gaussian_bayes(stacking.META), folds=training.FOLDS)
+    folder = new_path(spark, "saved-model")
+    training.save_fitted(folder, data.encoder, stack.fit(data.train), data.means)
+    encoder, model, means = training.load_fitted(spark, folder)
+    return training.score_manifest(manifest(spark, sf_dir, split="score").drop("Transported"), encoder, model, means)
+
+
 @query
 def cross_validate(spark, sf_dir):
     """The stack on the holdout rows, in five folds."""

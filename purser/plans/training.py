@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from purser.operators import models
+from purser.operators import models, repair
 from purser.operators.evaluate import threshold_score
-from purser.operators.features import OneHot, holdout, with_fold
+from purser.operators.features import Bins, OneHot, Scaler, holdout, with_fold
 from purser.operators.models import scored
 from purser.operators.stacking import META, Stacking
 from purser.plans import cleaning
-from purser.session import written
+from purser.session import small_table, written
 from purser.sources.manifest import LABEL, submission
 
 FOLDS = 3
@@ -100,3 +102,36 @@ def score_manifest(
     """
     rows = encoder.transform(cleaning.clean_score(manifest, means))
     return submission(scored(model, rows), threshold_score("score"))
+
+
+def save_fitted(folder: str, encoder: Encoder, model: Model, means: cleaning.ScoringMeans) -> None:
+    """Write all that scoring needs to a folder, which should be shared and new: model, encoder, and the means learned in training."""
+    spark = means.ages.table.sparkSession
+    model.write().save(f"{folder}/model")
+    groups = {name: getattr(means, name) for name in ("ages", "routes")}
+    for name, group in groups.items():
+        group.table.write.parquet(f"{folder}/{name}")
+    held = {
+        "encoder": asdict(encoder), "overall": means.overall.means,
+        **{name: {"keys": g.keys, "cols": g.cols, "ceil_all": g.ceil_all} for name, g in groups.items()},
+    }
+    small_table(spark, [(json.dumps(held),)], "value string").write.text(f"{folder}/fitted")
+
+
+def load_fitted(spark: SparkSession, folder: str) -> tuple[Encoder, Model, cleaning.ScoringMeans]:
+    """What ``save_fitted`` wrote, in this or any other session."""
+    held = json.loads(spark.read.text(f"{folder}/fitted").first()["value"])
+
+    def bins(b: dict) -> Bins:
+        return Bins(b["col"], tuple(b["edges"]), tuple(b["labels"]))
+
+    def group(name: str) -> repair.GroupMeans:
+        g = held[name]
+        return repair.GroupMeans(tuple(g["keys"]), tuple(g["cols"]), spark.read.parquet(f"{folder}/{name}"), g["ceil_all"])
+
+    f = held["encoder"]["features"]
+    params = cleaning.FeatureParams(bins(f["size"]), bins(f["age"]), Scaler(tuple(map(tuple, f["scale"]["stats"]))), f["ratio_after_scale"])
+    levels = OneHot(tuple((c, tuple(v)) for c, v in held["encoder"]["levels"]["levels"]))
+    overall = repair.GlobalMeans(tuple(map(tuple, held["overall"])))
+    model = DefaultParamsReader.loadParamsInstance(f"{folder}/model", spark)
+    return Encoder(params, levels, held["encoder"]["ratios"]), model, cleaning.ScoringMeans(group("ages"), group("routes"), overall)
