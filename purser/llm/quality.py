@@ -1,9 +1,10 @@
 """Quality of documents: a classifier's evidence combined with what their site is like (hierarchical empirical Bayes).
 
-Level by level a mean is shrunk toward the level above: the corpus, the host, the path on the host. A level's prior
+Level by level a mean is shrunk toward the level above: the corpus, the source, the host, the path on the host. A document without
+a site stands on its source. A level's prior
 weighs as many documents as the spread of its means asks for (method of moments): hosts that hardly differ
 are nearly the corpus, and a site with few documents is nearly its parent. A document's score is its own log odds plus
-those of its path against the corpus; its own evidence is left out of its site's. Only counts and sums are grouped.
+those of its lowest level against the corpus; its own evidence is left out of its site's. Only counts and sums are grouped.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from purser.llm.common import held_out, id_and_text
+from purser.llm.common import held_out
 from purser.session import written
 
 #: The labelled rows that the classifier is fitted on: so many at most, lowest id hashes first.
@@ -123,42 +124,59 @@ def _odds(p: Column) -> Column:
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, sites: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
+    docs: DataFrame, labels: DataFrame, sites: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", source: str = "source",
 ) -> DataFrame:
-    """Per row: fold, score, prediction, the classifier's own score, the site and the shrunk means of host and path.
+    """Per row: fold, score, prediction, the classifier's own score, the site and the shrunk means of source, host and path.
 
-    ``sites`` is (doc_id, host, path), one row for each document; one without a row, or with a null host, stands on its own
-    before the corpus' prior. A null text is empty. Rows that repeat an id are scored each; a null id has no label
-    and no site. An empty table gives an empty one; other columns are not looked at.
+    ``sites`` is (doc_id, host, path), one row for each document; one without a row, or with a null host, stands on its source,
+    and one without a source (or a table without that column) on the corpus' prior. A null text is empty. Rows that repeat an id
+    are scored each; a null id has no label and no site. An empty table gives an empty one; other columns are not looked at.
     """
-    texts = id_and_text(docs, doc_id, text)
-    featured = written(texts.select("doc_id", *[c.cast("double").alias(n) for n, c in features().items()]), "features")
+    of = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), of.alias("source"))
+    featured = written(texts.select("doc_id", "source", *[c.cast("double").alias(n) for n, c in features().items()]), "features")
     model = fit_quality(featured, labels, doc_id, label)
-    placed = featured.select("doc_id", model.log_odds().alias("log_odds"))
+    placed = featured.select("doc_id", "source", model.log_odds().alias("log_odds"))
     placed = placed.join(_known(labels, doc_id, label), "doc_id", "left").join(sites.select("doc_id", "host", "path"), "doc_id", "left")
     own = 1 / (1 + F.exp(-F.col("log_odds")))
     placed = written(placed.select(
-        "doc_id", "log_odds", own.alias("doc_score"), F.coalesce(F.col("label").cast("double"), own).alias("evidence"), "host",
+        "doc_id", "log_odds", own.alias("doc_score"), F.coalesce(F.col("label").cast("double"), own).alias("evidence"), "source", "host",
         F.coalesce("path", F.lit("")).alias("path")), "evidence")
 
     sums = (F.count(F.lit(1)).cast("double").alias("n"), F.sum("evidence").alias("total"), F.sum(F.col("evidence") ** 2).alias("squares"))
     total = placed.agg(*sums).first()
     mean = total["total"] / total["n"] if total["n"] else 0.5
-    paths = placed.where("host is not null").groupBy("host", "path").agg(*sums)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
-    of_host = _prior_weight(hosts, F.lit(mean))
-    shrunk = hosts.select("host", F.col("n").alias("host_n"), F.col("total").alias("host_total"))
-    paths = written(paths.join(shrunk, "host"), "paths")
-    host_mean = (of_host * mean + F.col("host_total")) / (of_host + F.col("host_n"))
-    of_path = _prior_weight(paths, host_mean)
-
-    rows = placed.join(paths.select("host", "path", "n", "total", "host_n", "host_total"), ["host", "path"], "left")
-    without = {c: F.col(c) - F.col("evidence") for c in ("total", "host_total")}
-    host_prior = F.coalesce((of_host * mean + without["host_total"]) / (of_host + F.col("host_n") - 1), F.lit(mean))
-    path_prior = F.coalesce((of_path * host_prior + without["total"]) / (of_path + F.col("n") - 1), F.lit(mean))
-    out = rows.withColumns({"host_mean": host_prior, "path_mean": path_prior})
+    sources = written(placed.where("source is not null").groupBy("source").agg(*sums), "sources")
+    of_source = _prior_weight(sources, F.lit(mean))
+    above = sources.select("source", ((of_source * mean + F.col("total")) / (of_source + F.col("n"))).alias("above"), F.col("n").alias("source_n"),
+                           F.col("total").alias("source_total"))
+    # Rows without a key are no rows of a join: they would all be dealt to one task.
+    known = placed.where("source is not null").join(above, "source")
+    nowhere = placed.where("source is null").select("*", F.lit(mean).alias("above"), *[F.lit(None).cast("double").alias(c) for c in ("source_n", "source_total")])
+    rows = written(known.select(*nowhere.columns).unionByName(nowhere), "sourced")
+
+    # A host's level above is what its documents' sources are like; a document's is its own source.
+    paths = rows.where("host is not null").groupBy("host", "path").agg(*sums, F.sum("above").alias("above"))
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares", "above")])
+    of_host = _prior_weight(hosts, F.col("above") / F.col("n"))
+    shrunk = hosts.select("host", F.col("n").alias("host_n"), F.col("total").alias("host_total"), (F.col("above") / F.col("n")).alias("host_above"))
+    paths = written(paths.drop("above").join(shrunk, "host"), "paths")
+    of_path = _prior_weight(paths, (of_host * F.col("host_above") + F.col("host_total")) / (of_host + F.col("host_n")))
+
+    placed_at = ("n", "total", "host_n", "host_total")
+    sited = rows.where("host is not null").join(paths.select("host", "path", *placed_at), ["host", "path"])
+    unsited = rows.where("host is null").select("*", *[F.lit(None).cast("double").alias(c) for c in placed_at])
+    rows = sited.select(*unsited.columns).unionByName(unsited)
+    # Each mean leaves out the row's own evidence.
+    e = F.col("evidence")
+    source_mean = F.coalesce((of_source * mean + F.col("source_total") - e) / (of_source + F.col("source_n") - 1), F.lit(mean))
+    rows = rows.withColumn("source_mean", source_mean)
+    rows = rows.withColumn("host_mean", F.coalesce(
+        (of_host * F.col("source_mean") + F.col("host_total") - e) / (of_host + F.col("host_n") - 1), F.col("source_mean")))
+    rows = rows.withColumn("path_mean", F.coalesce(
+        (of_path * F.col("host_mean") + F.col("total") - e) / (of_path + F.col("n") - 1), F.col("host_mean")))
     odds = F.col("log_odds") + _odds(F.col("path_mean")) - _odds(F.lit(mean))
-    out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
+    out = rows.withColumn("score", 1 / (1 + F.exp(-odds)))
     return out.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "doc_score",
-        "host", "path", "host_mean", "path_mean")
+        "source", "host", "path", "source_mean", "host_mean", "path_mean")

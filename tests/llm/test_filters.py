@@ -298,3 +298,53 @@ def test_quality_of_awkward_rows(spark, awkward, nothing):
     rows = quality.score_quality(awkward, labels, sites).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.score_quality(nothing, labels, sites).collect() == []
+
+
+def test_levels_are_direct_sums(spark, corpus):
+    """Every mean and score from plain sums over the evidence, level by level."""
+    sites = quality.sites_of_pages(corpus["pages"])
+    labels = {r["doc_id"]: r["quality"] for r in corpus["labels"].collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    rows = quality.score_quality(corpus["documents"], corpus["labels"], sites).collect()
+    source = {r["doc_id"]: r["source"] for r in corpus["documents"].collect()}
+    place = {r["doc_id"]: (r["host"], r["path"] or "") for r in sites.collect()}
+    e = {r["doc_id"]: float(labels.get(r["doc_id"], r["doc_score"])) for r in rows}
+    mean = sum(e.values()) / len(e)
+
+    def weight(groups, above):
+        """Of groups of evidence and the mean above each: the method of moments."""
+        n, k = sum(map(len, groups)), len(groups)
+        if k < 2 or n <= k:
+            return quality.MOST_PRIOR
+        inside = sum(sum((x - sum(g) / len(g)) ** 2 for x in g) for g in groups) / (n - k)
+        between = sum(len(g) * (sum(g) / len(g) - a) ** 2 for g, a in zip(groups, above, strict=True)) / (k - 1)
+        spread = max(0.0, (between - inside) / max((n - sum(len(g) ** 2 for g in groups) / n) / (k - 1), 1e-9))
+        return min(quality.MOST_PRIOR, max(quality.LEAST_PRIOR, inside / spread)) if spread > 0 else quality.MOST_PRIOR
+
+    def grouped(key):
+        out = {}
+        for d in e:
+            if key(d) is not None:
+                out.setdefault(key(d), []).append(d)
+        return out
+
+    by_source, by_host = grouped(source.get), grouped(lambda d: place[d][0] if d in place else None)
+    by_path = grouped(place.get)
+    of_source = weight([[e[d] for d in g] for g in by_source.values()], [mean] * len(by_source))
+    above = {d: (of_source * mean + sum(e[x] for x in by_source[source[d]])) / (of_source + len(by_source[source[d]])) if source[d] else mean for d in e}
+    host_above = {h: sum(above[d] for d in g) / len(g) for h, g in by_host.items()}
+    of_host = weight([[e[d] for d in g] for g in by_host.values()], list(host_above.values()))
+    host_mean = {h: (of_host * host_above[h] + sum(e[d] for d in g)) / (of_host + len(g)) for h, g in by_host.items()}
+    of_path = weight([[e[d] for d in g] for g in by_path.values()], [host_mean[h] for h, _ in by_path])
+
+    def shrunk(of, prior, group, d):
+        return (of * prior + sum(e[x] for x in group) - e[d]) / (of + len(group) - 1)
+
+    for r in rows:
+        d = r["doc_id"]
+        of_doc = shrunk(of_source, mean, by_source[source[d]], d) if source[d] else mean
+        host = shrunk(of_host, of_doc, by_host[place[d][0]], d) if d in place else of_doc
+        path = shrunk(of_path, host, by_path[place[d]], d) if d in place else host
+        assert (r["source_mean"], r["host_mean"], r["path_mean"]) == pytest.approx((of_doc, host, path), rel=1e-6)
+        odds = math.log(r["doc_score"] / (1 - r["doc_score"])) + math.log(path / (1 - path)) - math.log(mean / (1 - mean))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-4)
+    assert len(place) and len(by_source) > 1

@@ -118,3 +118,17 @@ def test_components(spark):
             parent[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {x: root(x) for x in list(parent)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_registers_that_collide_in_16_bits_hide_no_pair(spark):
+    """Two texts that share a later band only, with an earlier one alike in 16 bits of each register but not in its hash."""
+    text = " ".join(f"w{i}" for i in range(60))
+    other = text + " end"
+    rows = [(1, text, 1), (2, other, 2)]
+    sketch = np.arange(minhash.REGISTERS, dtype="<u2").tobytes()
+    bands = {1: [100 + i for i in range(minhash.BANDS)], 2: [200 + i for i in range(minhash.BANDS)]}
+    bands[2][7] = bands[1][7] = 7
+    members = spark.createDataFrame(
+        [(7, 7, d, d, 0, 0, 2, bands[d], bytearray(sketch), t) for d, t, _ in rows],
+        "bucket long, band int, doc_id long, component long, low int, high int, side int, bands array<long>, sketch binary, text string")
+    assert [tuple(r) for r in minhash._forest(members).collect()] == [(1, 2)]
