@@ -79,14 +79,18 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 class BallTree:
     """``ids`` and ``known`` of documents in the order of the tree; their entries (place in ``terms``, value) from ``starts``;
-    nodes in breadth-first order as ranges (low, high) of documents, with the first of two children (-1 at a leaf)."""
+    nodes in breadth-first order as ranges (low, high) of documents, with the first of two children (-1 at a leaf). Where values come
+    of occurrences ``tf`` and each document's ``m``, only these are written."""
 
-    def __init__(self, ids, known, starts, cols, vals, terms, low, high, child):
+    def __init__(self, ids, known, starts, cols, vals, terms, low, high, child, tf=None, m=None):
         self.ids, self.known, self.starts, self.cols, self.vals = ids, known, starts, cols, vals
-        self.terms, self.low, self.high, self.child = terms, low, high, child
+        self.terms, self.low, self.high, self.child, self.tf, self.m = terms, low, high, child, tf, m
 
     @classmethod
-    def build(cls, ids: np.ndarray, known: np.ndarray, starts: np.ndarray, cols: np.ndarray, vals: np.ndarray, terms: pa.Array) -> BallTree:
+    def build(
+        cls, ids: np.ndarray, known: np.ndarray, starts: np.ndarray, cols: np.ndarray, vals: np.ndarray, terms: pa.Array,
+        tf: np.ndarray | None = None, m: np.ndarray | None = None,
+    ) -> BallTree:
         n = len(ids)
         stretched = vals * stretch(cols, n, len(terms))[cols]
         square = _row_sums(stretched * stretched, starts)
@@ -109,21 +113,29 @@ class BallTree:
         spans = _spans(starts[order], starts[order + 1])
         sizes = np.diff(starts)[order]
         return cls(ids[order], known[order], np.concatenate([[0], np.cumsum(sizes)]), cols[spans], vals[spans], terms,
-                   np.array(low), np.array(high), np.array(child))
+                   np.array(low), np.array(high), np.array(child), None if tf is None else tf[spans], None if m is None else m[order])
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         names = np.frombuffer("\n".join(self.terms.to_pylist()).encode(errors="surrogatepass"), np.uint8)  # a term holds no control character
-        np.savez(out, ids=self.ids, known=self.known, starts=self.starts, cols=self.cols.astype(np.int32), vals=self.vals.astype(np.int32),
-                 names=names, low=self.low, high=self.high, child=self.child)
+        entries = {"vals": self.vals} if self.tf is None else {"tf": self.tf, "m": self.m}
+        small = {c: x.astype(np.min_scalar_type(int(x.max(initial=0)))) for c, x in (("cols", self.cols), *entries.items())}
+        np.savez(out, ids=self.ids, known=self.known, starts=self.starts, names=names, low=self.low, high=self.high, child=self.child, **small)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> BallTree:
         with np.load(io.BytesIO(raw)) as held:
             names = held["names"].tobytes().decode(errors="surrogatepass")
-            return cls(held["ids"], held["known"], held["starts"], held["cols"], held["vals"].astype(np.int64),
-                       pa.array(names.split("\n") if names else [], pa.string()), held["low"], held["high"], held["child"])
+            tf, m = (held[c].astype(np.int64) if c in held else None for c in ("tf", "m"))
+            vals = held["vals"].astype(np.int64) if tf is None else term_values(tf, np.repeat(m, np.diff(held["starts"])))
+            return cls(held["ids"], held["known"], held["starts"], held["cols"].astype(np.int32), vals,
+                       pa.array(names.split("\n") if names else [], pa.string()), held["low"], held["high"], held["child"], tf, m)
+
+
+def term_values(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What a document's term is worth, by its occurrences and the document's length."""
+    return 1_000_000_000 * tf // (1000 * tf + 8 * m)
 
 
 def stretch(cols: np.ndarray, n: int, n_terms: int) -> np.ndarray:
@@ -309,10 +321,10 @@ def build_trees(docs: DataFrame, n_docs: int, n_terms: int, doc_id: str = "doc_i
             sizes = [len(c) for c in cols]
             n = np.array([t.sum() for t in times])
             m = 100 - 75 + (75 * n * n_docs) // n_terms
-            vals = 1_000_000_000 * tf // (1000 * tf + 8 * np.repeat(m, sizes))
+            vals = term_values(tf, np.repeat(m, sizes))
             tree = BallTree.build(
                 np.array([d or 0 for d in names], np.int64), np.array([d is not None for d in names]), np.concatenate([[0], np.cumsum(sizes)]),
-                np.concatenate(cols), vals, pa.array(list(place), pa.string()))
+                np.concatenate(cols), vals, pa.array(list(place), pa.string()), tf, m)
             return pa.record_batch([pa.array([len(names)], pa.int32()), pa.array([tree.to_bytes()], pa.binary())], names=["docs", "tree"])
 
         for batch in batches:
