@@ -36,6 +36,8 @@ from purser.llm.common import held_out, id_and_text
 from purser.session import written
 
 WORD = re.compile(r"[^\W\d_]+")
+#: The same in lower-case ASCII, where it is faster.
+ASCII_WORD = re.compile(r"[a-z]+")
 #: The sample of labelled rows that is fitted on: so many of each class at most, lowest id hashes first, with so many characters
 #: in all and in each. This bounds the model.
 SAMPLE_PER_CLASS = 4_096
@@ -111,7 +113,8 @@ class Terms:
         for start in range(0, len(texts), SLICE):
             if len(self._place) > MAX_REMEMBERED:
                 self._forget()
-            counted = [Counter(WORD.findall(t.lower())) for t in texts[start : start + SLICE]]
+            lower = [t.lower() for t in texts[start : start + SLICE]]
+            counted = [Counter((ASCII_WORD if t.isascii() else WORD).findall(t)) for t in lower]
             self._learn(set().union(*counted) - self._place.keys())
             rows = np.array([self._place[w] for words in counted for w in words], np.int64)
             times = np.array([n for words in counted for n in words.values()], np.int64)
@@ -197,20 +200,35 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k largest positive cosines, largest first, and the places of their examples; of equal ones the smallest ids. ``but``: an id left out."""
-        vector, n = weighted(times, self.gain[terms]), len(self.ids)
+        return next(self.nearest_of([(terms, times)], k, [but]))
+
+    def nearest_of(
+        self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int | None] | None = None,
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of some texts; the bounds of all blocks are one product."""
+        vectors = [weighted(times, self.gain[terms]) for terms, times in texts]
+        often = np.zeros((len(texts), self.weight.shape[1]))
+        for i, ((terms, _), vector) in enumerate(zip(texts, vectors, strict=True)):
+            row = self.row[terms]
+            often[i, row[row >= 0]] = vector[row >= 0]
+        bounds = often @ self.highest.T
+        for i, (terms, _) in enumerate(texts):
+            yield self._nearest(terms, vectors[i], often[i], bounds[i], k, but[i] if but else None)
+
+    def _nearest(
+        self, terms: np.ndarray, vector: np.ndarray, often: np.ndarray, in_block: np.ndarray, k: int, but: int | None,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.ids)
         if not len(vector) or not n:
             return np.zeros(0), np.zeros(0, np.int64)
-        row = self.row[terms]
-        rare = row < 0
+        rare = self.row[terms] < 0
         few = terms[rare]
         lists = [slice(a, b) for a, b in zip(self.first[few].tolist(), self.first[few + 1].tolist(), strict=True)]
         part, spans = np.zeros(n), 0
         if lists:
             read = np.concatenate([self._packed[x] for x in lists]).view(self.postings.dtype)
             part, spans = np.bincount(read["place"], read["value"] * np.repeat(vector[rare], self.sizes[few]), n), len(read)
-        often = np.zeros(self.weight.shape[1])
-        often[row[~rare]] = vector[~rare]
-        in_block = np.repeat(self.highest @ often, BLOCK)[:n]
+        in_block = np.repeat(in_block, BLOCK)[:n]
         # Rounding may lift a cosine over its bound by a few units in the last place.
         bound = part + np.minimum(in_block, math.sqrt(often @ often) * self.length) + 1e-9
         if but is not None:
@@ -292,8 +310,8 @@ class Scorer:
         if len(self._scores) > MAX_SCORES:
             self._scores.clear()
         fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in self._scores}
-        for key, (terms, times) in zip(fresh, self.terms.of(list(fresh.values())), strict=True):
-            cosines, places = self.index.nearest(terms, times)
+        found = self.index.nearest_of(list(self.terms.of(list(fresh.values()))))
+        for key, (cosines, places) in zip(fresh, found, strict=True):
             labels = self.index.labels[places]
             score = calibrated(self.model.votes(cosines, labels), self.model.curve)
             self._scores[key] = (score, self.index.ids[places], labels, cosines)
@@ -469,17 +487,18 @@ def _calibration(model: ToxicityModel, found: DataFrame, without: list[int], eac
         scorer = Scorer.of(shared.value)
         for batch in batches:
             votes, known = [], scorer.model.terms
-            for name, terms, times in zip(batch["doc_id"].to_pylist(), batch["terms"], batch["times"], strict=True):
-                at = np.searchsorted(known, terms.values.to_numpy())
-                cosines, places = scorer.index.nearest(at, times.values.to_numpy(), but=name)
-                votes.append(scorer.model.votes(cosines, scorer.index.labels[places]))
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = [(np.searchsorted(known, t.values.to_numpy()), n.values.to_numpy()) for t, n in zip(part["terms"], part["times"], strict=True)]
+                for cosines, places in scorer.index.nearest_of(texts, but=part["doc_id"].to_pylist()):
+                    votes.append(scorer.model.votes(cosines, scorer.index.labels[places]))
             yield pa.record_batch([batch["doc_id"], batch["label"], pa.array(votes, pa.float64())], names=["doc_id", "label", "votes"])
 
-    # A row of three numbers for each example; Python works on them in the order of their ids.
+    # A row of three numbers for each example of the bounded sample.
     spread = found.select("doc_id", "label", "terms", "times").repartition(4 * found.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    rows = spread.mapInArrow(vote, "doc_id long, label int, votes double").orderBy("doc_id").collect()
+    rows = spread.mapInArrow(vote, "doc_id long, label int, votes double").collect()
     shared.destroy()
-    points = [(r["votes"], r["label"], each[r["label"]]) for r in rows]
+    points = [(r["votes"], r["label"], each[r["label"]]) for r in sorted(rows, key=lambda r: r["doc_id"])]
     points += [(model.share_without, y, without[y] * each[y]) for y in (0, 1) if without[y]]
     return logistic_curve(points)
 
