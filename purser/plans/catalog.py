@@ -437,6 +437,12 @@ def clean_train(spark, sf_dir):
     return cleaning.clean_train(manifest(spark, sf_dir))
 
 
+@query
+def cleaning_profile(spark, sf_dir):
+    """Missing values between the steps of cleaning, by the writes of the steps."""
+    return cleaning.watched_clean_train(manifest(spark, sf_dir), ("HomePlanet", "CryoSleep", "Destination", "Age", "VIP", *SPEND))[1]
+
+
 @query
 def clean_test(spark, sf_dir):
     df = manifest(spark, sf_dir)

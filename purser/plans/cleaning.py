@@ -6,6 +6,7 @@ follows is fitted on a few columns of the repaired table, which is written too,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,6 +23,7 @@ from purser.functions.scalars import (
 )
 from purser.operators import repair
 from purser.operators.features import Bins, OneHot, Scaler, fit_cut, fit_onehot, fit_qcut, fit_scale, group_features, group_table
+from purser.operators.profile import Watch
 from purser.session import written
 
 KEY = "PassengerId"
@@ -59,18 +61,24 @@ def _zero_filled(df: DataFrame) -> DataFrame:
     return repair.zero_fill_where(df, total_expenses().isNull() & F.col("CryoSleep"))
 
 
-def _clean_train(df: DataFrame) -> tuple[DataFrame, repair.GroupMeans, repair.GroupMeans, DataFrame]:
-    df = repair.fill_constant(df, {"Name": "Unknown"})
+def _as_it_is(df: DataFrame, step: str) -> DataFrame:
+    return df
+
+
+def _clean_train(
+    df: DataFrame, watch: Callable[[DataFrame, str], DataFrame] = _as_it_is,
+) -> tuple[DataFrame, repair.GroupMeans, repair.GroupMeans, DataFrame]:
+    df = repair.fill_constant(watch(df, "source"), {"Name": "Unknown"})
     df = split_cabin(repair.drop_missing(df, ("HomePlanet", "Cabin"), "all"))
     # Written before each group step: its aggregate and its rows read the table, not the source.
-    df = written(by_group(df), "clean-train-keyed")
+    df = written(watch(by_group(df), "with a planet or a cabin"), "clean-train-keyed")
     # Planet and side of a group come from the same rows, so one step serves both.
     df = repair.propagate_group_value(df, GROUP, ("HomePlanet", "Side"), member_number())
     df = repair.fill_by_rules(df, "HomePlanet", "Deck", repair.PLANET_BY_DECK)
     df = repair.fill_by_rules(df, "Deck", "HomePlanet", repair.DECK_BY_PLANET)
-    df = written(repair.drop_missing(df, ("Side", "Num")), "clean-train-placed")
+    df = written(watch(repair.drop_missing(df, ("Side", "Num")), "planets and cabins filled"), "clean-train-placed")
     df = repair.drop_missing(repair.fill_if_unique(df, GROUP, "Destination"), ("Destination",))
-    df = written(df.withColumn("JourneyRoute", journey_route()), "clean-train")
+    df = written(watch(df.withColumn("JourneyRoute", journey_route()), "destinations filled"), "clean-train")
 
     routes = repair.fit_group_means(df, ("JourneyRoute", "VIP"))
     filled = _zero_filled(routes.transform(df))
@@ -84,6 +92,13 @@ def clean_train(df: DataFrame) -> DataFrame:
     return _clean_train(df)[0]
 
 
+def watched_clean_train(df: DataFrame, cols: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """``clean_train``, written, and the missing values of ``cols`` after each of its steps, without a pass of their own."""
+    watch = Watch(cols)
+    clean = written(watch(_clean_train(df, watch)[0], "clean"), "cleaned")
+    return clean, watch.table(df.sparkSession)
+
+
 def fit_clean_train(df: DataFrame) -> tuple[DataFrame, ScoringMeans]:
     """``clean_train``, and the means it learned, for scoring tables."""
     clean, ages, routes, filled = _clean_train(df)

@@ -113,6 +113,11 @@ _CLEAN_TRAIN = (
   FROM c8 LEFT JOIN ages USING (HomePlanet) WHERE CryoSleep IS NOT NULL AND VIP IS NOT NULL)""",
 )
 
+# The steps that cleaning_profile counts, and the tables after them.
+_STEPS = {
+    "source": "d", "with a planet or a cabin": "c1", "planets and cabins filled": "c3", "destinations filled": "c5", "clean": "clean",
+}
+
 _CLEAN_TEST = (
     """t1 AS (SELECT PassengerId, HomePlanet, CryoSleep, Destination, Age, VIP, RoomService, FoodCourt, ShoppingMall, Spa,
     VRDeck, coalesce(Name, 'Unknown') AS Name, Deck, Side, GroupNumber FROM d)""",
@@ -393,6 +398,9 @@ FROM d LEFT JOIN ages USING (HomePlanet)""",
         "holdout_split": _sql(
             f"SELECT PassengerId, Transported, CASE WHEN {split_hash} % 10000 < 1500 THEN 'val' ELSE 'train' END AS split FROM d"),
         "clean_train": _sql("SELECT * FROM clean", *_CLEAN_TRAIN),
+        "cleaning_profile": _sql(" UNION ALL ".join(
+            f"SELECT {i} AS place, '{step}' AS step, '{c}' AS column_name, count(*) - count({c}) AS n_missing, count(*) AS n_rows FROM {table}"
+            for i, (step, table) in enumerate(_STEPS.items()) for c in ("HomePlanet", "CryoSleep", "Destination", "Age", "VIP", *SPEND)), *_CLEAN_TRAIN),
         "clean_test": _sql(f"SELECT * REPLACE ({_each('round({c}, 6) AS {c}', SCALED)}) FROM clean", *_CLEAN_TEST),
         "train_features": _sql(
             f"""SELECT PassengerId, Transported, Is_Single, HomePlanet, CryoSleep, Destination, {_AGE_CLASS} AS Age, VIP,

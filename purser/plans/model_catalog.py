@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
-from purser.operators import evaluate, models, stacking
+from purser.operators import evaluate, importance, models, stacking
 from purser.operators.features import with_fold
 from purser.plans import cleaning, training
 from purser.plans.catalog import query
@@ -165,6 +165,14 @@ def feature_importance(spark, sf_dir):
     return models.feature_importance(spark, models.random_forest().fit(data.train), data.encoder.names())
 
 
+@query
+def permutation_importance(spark, sf_dir):
+    """Of the stack, which has no weights of its own: the accuracy lost on the holdout by permuting each column."""
+    data = training_set(spark, sf_dir)
+    table = importance.permutation_importance(training.stacked(data.n_train).fit(data.train), data.val, data.encoder.names())
+    return table.select("Features", *[F.round(c, 6).alias(c) for c in ("Importance", "Deviation")])
+
+
 # The base sets and second levels that were compared.
 LEADERBOARD = (
     (("RF", "LGBM", "bayes", "SVM", "LR"), "SVM"),

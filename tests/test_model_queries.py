@@ -34,3 +34,21 @@ def test_score_holdout(spark, sf_dir):
 def test_feature_importance(spark, sf_dir):
     rows = run(spark, sf_dir, "feature_importance").collect()
     assert abs(sum(r["Importance"] for r in rows) - 1) < 1e-6
+
+
+def test_permutation_importance(spark, sf_dir):
+    rows = run(spark, sf_dir, "permutation_importance").collect()
+    names = {r["Features"] for r in run(spark, sf_dir, "feature_importance").collect()}
+    assert {r["Features"] for r in rows} == names and all(-100 <= r["Importance"] <= 100 and r["Deviation"] >= 0 for r in rows)
+
+
+def test_scores_by_a_saved_stack(spark, sf_dir):
+    rows = run(spark, sf_dir, "score_saved").collect()
+    ids = {r["PassengerId"] for r in run(spark, sf_dir, "score_manifest").collect()}
+    assert {r["PassengerId"] for r in rows} == ids and len(rows) == len(ids) and {type(r["Transported"]) for r in rows} == {bool}
+
+
+@pytest.mark.parametrize("name", ["model_svc_curved", "model_rf_leafwise"])
+def test_new_fits_report_accuracy(spark, sf_dir, name):
+    (row,) = run(spark, sf_dir, name).collect()
+    assert 40 < row["val_accuracy"] <= 100

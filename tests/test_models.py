@@ -141,3 +141,31 @@ def test_the_whole_grid_has_81_settings():
     from purser.plans.model_catalog import full_grid
 
     assert len(full_grid(models.boosted_trees())) == 81
+
+
+def test_permutation_importance(spark, toy):
+    """The label's copy comes first and a noise column is worth about nothing; without rows nothing is."""
+    from purser.operators.importance import hash_numbers, permutation_importance
+
+    copied = VectorAssembler(inputCols=["a", "c", "label"], outputCol="features").transform(toy.drop("features"))
+    model = models.decision_tree(features=3).fit(copied.where("split = 'train'"))
+    rows = permutation_importance(model, copied, ["a", "c", "copy"]).collect()
+    assert rows[0]["Features"] == "copy" and rows[0]["Importance"] > 30 and rows[0]["Deviation"] < 10
+    assert all(abs(r["Importance"]) < 3 for r in rows[1:])
+    assert [r["Importance"] for r in permutation_importance(model, copied.limit(0), ["a", "c", "copy"]).collect()] == [0.0] * 3
+    places = [r["place"] for r in hash_numbers(toy, "PassengerId").select("place").collect()]
+    assert sorted(places) == list(range(600))
+
+
+def test_watched_cleaning_counts_what_null_profile_counts(spark, sf_dir):
+    from purser.operators import profile
+    from purser.plans import cleaning
+
+    df = manifest(spark, sf_dir)
+    cols = ("HomePlanet", "Age", "Spa")
+    clean, table = cleaning.watched_clean_train(df, cols)
+    got = {(r["step"], r["column_name"]): (r["n_missing"], r["n_rows"]) for r in table.collect()}
+    for step, rows in (("source", df), ("clean", clean)):
+        n = rows.count()
+        assert {c: got[step, c] for c in cols} == {r["column_name"]: (r["n_missing"], n) for r in profile.null_profile(rows.select(*cols)).collect()}
+    assert len(got) == 5 * len(cols)
