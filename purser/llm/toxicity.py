@@ -58,6 +58,8 @@ BLOCK = 32
 #: Terms of more than this share of the examples have lists that are not read whole.
 FREQUENT = 0.08
 NEIGHBOURS = 16
+#: A cosine in single precision is right but for less than this.
+SINGLE = 1e-5
 #: Weight, in labelled rows, of leaving the votes as they are.
 PULL = 2.0
 #: Weight of the share among texts without any term, in votes of cosine 1.
@@ -68,6 +70,11 @@ CHUNK = 4_096
 GROUPS = 1_024
 
 
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
+
+
 def term_hashes(word: str) -> list[int]:
     """64-bit hashes of a word and its beginnings, as signed numbers; the word itself stands for a beginning that it hasn't."""
     terms = (word, *(f"{word[:n]}*" if len(word) > n else word for n in BEGINNINGS))
@@ -108,21 +115,31 @@ class Terms:
             self._table = np.concatenate([self._table, np.empty((max(len(self._place), 4_096), self._table.shape[1]), self._table.dtype)])
         self._table[len(self._place) - len(fresh) : len(self._place)] = hashes
 
+    def _rows(self, counted: list[Counter] | list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, row of the table) of each word of some texts."""
+        if len(self._place) > MAX_REMEMBERED:
+            self._forget()
+        self._learn(set().union(*counted) - self._place.keys())
+        rows = np.array([self._place[w] for words in counted for w in words], np.int64)
+        return np.repeat(np.arange(len(counted)), [len(words) for words in counted]), rows
+
+    def present(self, texts: list[str]) -> np.ndarray:
+        """The terms of some texts, one for each text that has it, by place."""
+        text_of, rows = self._rows([set(words_of(t)) for t in texts])
+        terms, width = self._table[rows].reshape(-1), self._table.shape[1]
+        real = np.flatnonzero(terms != -1)
+        return np.unique(text_of[real // width] * len(self.known) + terms[real]) % max(len(self.known), 1)
+
     def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(terms in order, times) of each text; some texts are worked on at once."""
         for start in range(0, len(texts), SLICE):
-            if len(self._place) > MAX_REMEMBERED:
-                self._forget()
-            lower = [t.lower() for t in texts[start : start + SLICE]]
-            counted = [Counter((ASCII_WORD if t.isascii() else WORD).findall(t)) for t in lower]
-            self._learn(set().union(*counted) - self._place.keys())
-            rows = np.array([self._place[w] for words in counted for w in words], np.int64)
+            counted = [Counter(words_of(t)) for t in texts[start : start + SLICE]]
+            text_of, rows = self._rows(counted)
             times = np.array([n for words in counted for n in words.values()], np.int64)
-            text_of = np.repeat(np.arange(len(counted)), [len(words) for words in counted])
             terms, width = self._table[rows].reshape(-1), self._table.shape[1]
             real = np.flatnonzero(terms != -1)
             terms, times, text_of = terms[real].astype(np.int64), times[real // width], text_of[real // width]
-            order = np.lexsort((terms, text_of)) if self.known is None else np.argsort(text_of * len(self.known) + terms, kind="stable")
+            order = np.lexsort((terms, text_of)) if self.known is None else np.argsort(text_of * len(self.known) + terms)
             terms, text_of = terms[order], text_of[order]
             new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (text_of[1:] != text_of[:-1])])) if len(terms) else np.zeros(0, int)
             sums = np.add.reduceat(times[order], new) if len(new) else times
@@ -138,6 +155,11 @@ def weighted(times: np.ndarray, gain: np.ndarray) -> np.ndarray:
     return raw / norm if norm else raw
 
 
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest; 0 where there are fewer."""
+    return float(np.partition(values, len(values) - k)[-k]) if len(values) >= k else 0.0
+
+
 class BlockMaxIndex:
     """The inverted index of the examples. ``read`` and ``posted`` count the postings read and those there were for the texts asked;
     ``looked`` and ``offered`` the examples that were scored in full, and all."""
@@ -234,19 +256,23 @@ class BlockMaxIndex:
         if but is not None:
             bound[self.ids == but] = -1.0
         first = np.argpartition(bound, max(n - 4 * k, 0))[-4 * k :]
-        exact = part[first] + self.weight[first] @ often
-        least = np.partition(exact, len(exact) - k)[-k] if len(exact) >= k else 0.0
-        rest = bound >= max(least, 1e-9)
+        # Single precision is enough to tell who may be among the nearest; these are then scored in double precision.
+        single = often.astype(np.float32)
+        close = np.where(bound[first] > 0, part[first] + self.weight[first] @ single, -1.0)
+        least = max(_kth(close, k) - SINGLE, 1e-9)
+        rest = bound >= least
         rest[first] = False
         rest = np.flatnonzero(rest)
         places = np.concatenate([first, rest])
-        cosines = np.concatenate([exact, part[rest] + self.weight[rest] @ often])
+        close = np.concatenate([close, part[rest] + self.weight[rest] @ single])
+        near = places[close >= max(_kth(close, k) - SINGLE, 0.0)]
+        cosines = part[near] + self.weight[near] @ often
         listed = self.sizes[terms].sum()
         self.looked, self.offered = self.looked + len(places), self.offered + n
         self.posted += int(listed)
         self.read += int(spans + (listed - spans) * len(places) / n)
-        good = (cosines > 0) & (bound[places] > 0)
-        places, cosines = places[good], cosines[good]
+        good = (cosines > 0) & (bound[near] > 0)
+        places, cosines = near[good], cosines[good]
         top = np.lexsort((self.ids[places], -cosines))[:k]
         return cosines[top], places[top]
 
@@ -372,8 +398,7 @@ def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[int, np.n
         terms_of, seen = Terms.of_worker(known), np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                for found, _ in terms_of.of([t.as_py() for t in batch["text"].slice(at, SLICE)]):
-                    seen[found] += 1
+                seen[:-1] += np.bincount(terms_of.present([t.as_py() for t in batch["text"].slice(at, SLICE)]), minlength=len(known))
             n += batch.num_rows
         seen[-1] = n  # the last cell has the number of rows
         chunks = [c for c in range(0, len(seen), CHUNK) if seen[c : c + CHUNK].any()]
