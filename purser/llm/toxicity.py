@@ -45,8 +45,9 @@ SAMPLE_CHARS = 1 << 24
 LONGEST = 1 << 19
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (4, 5)
-MAX_REMEMBERED = 300_000
+MAX_REMEMBERED = 200_000
 MAX_SCORES = 4_000
+STRETCH = 1 << 19
 #: Texts whose new words are looked up at once.
 SLICE = 128
 #: A term of this chi-square has half the weight that the label can give; none has less than the least.
@@ -94,6 +95,7 @@ class Terms:
     def of_worker(cls, known: np.ndarray) -> Terms:
         """One per worker process: the words stay known from task to task."""
         if cls._last is None or not np.array_equal(cls._last.known, known):
+            cls._last = None
             cls._last = cls(known)
         return cls._last
 
@@ -168,10 +170,18 @@ class BlockMaxIndex:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, gain: np.ndarray, first: np.ndarray, places: np.ndarray, times: np.ndarray):
         self.ids, self.labels, self.gain, self.first, self.times = ids, labels, gain, first, times
-        raw = (1 + np.log(times.astype(np.float64))) * np.repeat(gain, np.diff(first))
-        norm = np.sqrt(np.bincount(places, raw * raw, len(ids)))
+        # In stretches, so that a worker holds one wide copy of the postings at most.
+        raw, norm = np.repeat(gain, np.diff(first)), np.zeros(len(ids))
+        stretches = [slice(a, a + STRETCH) for a in range(0, len(raw), STRETCH)]
+        for x in stretches:
+            raw[x] *= 1 + np.log(times[x].astype(np.float64))
+            norm += np.bincount(places[x], raw[x] * raw[x], len(ids))
+        norm = np.sqrt(norm)
         self.postings = np.empty(len(places), [("place", np.int32), ("value", np.float32)])
-        self.postings["place"], self.postings["value"] = places, raw / norm[places]
+        self.postings["place"] = places
+        for x in stretches:
+            self.postings["value"][x] = raw[x] / norm[places[x]]
+        del raw
         self._packed = self.postings.view(np.uint64)  # whole numbers are copied faster than records
         values = self.postings["value"]
         n = len(ids)
@@ -327,6 +337,7 @@ class Scorer:
     @classmethod
     def of(cls, model: ToxicityModel) -> Scorer:
         if cls._last is None or cls._last.model is not model:
+            cls._last = None  # let go of the one before first
             cls._last = cls(model)
         return cls._last
 
