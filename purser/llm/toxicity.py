@@ -21,23 +21,22 @@ import hashlib
 import io
 import math
 import re
-from collections import Counter
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from purser.llm.ball_tree import BallTree
 from purser.llm.common import held_out, id_and_text
+from purser.llm.shingles import mixed
 from purser.session import written
 
 WORD = re.compile(r"[^\W\d_]+")
-#: The same in lower-case ASCII, where it is faster.
-ASCII_WORD = re.compile(r"[a-z]+")
 #: The sample of labelled rows that is fitted on: so many of each class at most, lowest id hashes first, with so many characters
 #: in all and in each. This bounds the model.
 SAMPLE_PER_CLASS = 4_096
@@ -45,10 +44,9 @@ SAMPLE_CHARS = 1 << 24
 LONGEST = 1 << 19
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (4, 5)
-MAX_REMEMBERED = 200_000
 MAX_SCORES = 4_000
 STRETCH = 1 << 19
-#: Texts whose new words are looked up at once.
+#: Texts whose words are looked up at once.
 SLICE = 128
 #: A term of this chi-square has half the weight that the label can give; none has less than the least.
 HALF_CHI_SQUARE = 30.0
@@ -71,83 +69,132 @@ CHUNK = 4_096
 GROUPS = 1_024
 
 
-def words_of(text: str) -> list[str]:
-    text = text.lower()
-    return (ASCII_WORD if text.isascii() else WORD).findall(text)
+#: A multiplier of hashes, and its inverse modulo 2^64.
+FACTOR = 0x9E3779B97F4A7C15
+BACK = pow(FACTOR, -1, 1 << 64)
+#: What tells the hash of a beginning from that of a word.
+CUT = np.uint64(0xD1B54A32D192ED03)
+
+
+@lru_cache(maxsize=1)
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: whether words are made of it, and a well-mixed number."""
+    letter = np.zeros(sys.maxunicode + 1, bool)
+    for found in WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        letter[found.start() : found.end()] = True
+    return letter, mixed(np.arange(sys.maxunicode + 1, dtype=np.uint64))
+
+
+def _powers(base: int, size: int) -> np.ndarray:
+    """1, base, base^2 and so on, modulo 2^64."""
+    if size <= STRETCH:
+        return _known_powers(base)[:size]
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+
+
+@lru_cache(maxsize=2)
+def _known_powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(STRETCH - 1, base, np.uint64)]))
+
+
+class Words:
+    """The words of some texts: ``text_of`` and ``row`` of each, and ``hashes``, a row for each distinct one.
+
+    A word's hash is the sum of its characters' numbers, each times a power for its place, modulo 2^64, so the hashes of all words
+    are differences of running sums. The columns are the word and its beginnings ("abcd*"); the word itself stands for
+    a beginning that it hasn't.
+    """
+
+    def __init__(self, texts: list[str]):
+        lowered = [t.lower() for t in texts]
+        joined = "\n".join(lowered)
+        raw = joined.encode("ascii") if joined.isascii() else joined.encode("utf-32-le", errors="surrogatepass")
+        chars = np.frombuffer(raw, np.uint8 if joined.isascii() else np.uint32)
+        letter, number = characters()
+        edges = np.flatnonzero(np.diff(letter[chars], prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        self.text_of = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), starts, side="right")
+        hashes, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):  # in stretches, which a longer word has to itself
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, side="right")))
+            low, high = int(starts[at]), int(ends[to - 1])
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(number[chars[low:high]] * _powers(FACTOR, high - low), out=sums[1:])
+            first, last = starts[at:to] - low, ends[at:to] - low
+            hashes[at:to] = (sums[last] - sums[first]) * _powers(BACK, high - low)[first]
+            at = to
+        order = np.argsort(hashes.view(np.int64))
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        self.row = np.empty(len(order), np.int64)
+        self.row[order] = np.cumsum(new) - 1
+        each = order[new]
+        columns = [hashes[each]]
+        for n in BEGINNINGS:
+            begun = number[chars[np.minimum(starts[each, None] + np.arange(n), max(len(chars) - 1, 0))]] * _powers(FACTOR, n)
+            columns.append(np.where(ends[each] - starts[each] > n, begun.sum(1, dtype=np.uint64) ^ CUT, columns[0]))
+        self.hashes = np.stack(columns, 1).view(np.int64)
 
 
 def term_hashes(word: str) -> list[int]:
-    """64-bit hashes of a word and its beginnings, as signed numbers; the word itself stands for a beginning that it hasn't."""
-    terms = (word, *(f"{word[:n]}*" if len(word) > n else word for n in BEGINNINGS))
-    return [xxhash.xxh64_intdigest(t.encode(errors="surrogatepass")) - (1 << 63) for t in terms]
+    """64-bit hashes of a word and its beginnings, as signed numbers."""
+    return Words([word]).hashes[0].tolist()
 
 
 class Terms:
-    """The terms of texts, as places in a sorted array of hashes, or as hashes where none is given. Remembers a bounded number of words."""
-
-    _last: Terms | None = None
+    """The terms of texts, as places in a sorted array of hashes, or as hashes where none is given."""
 
     def __init__(self, known: np.ndarray | None = None):
         self.known = known
-        self._forget()
-
-    @classmethod
-    def of_worker(cls, known: np.ndarray) -> Terms:
-        """One per worker process: the words stay known from task to task."""
-        if cls._last is None or not np.array_equal(cls._last.known, known):
-            cls._last = None
-            cls._last = cls(known)
-        return cls._last
-
-    def _forget(self) -> None:
-        self._place: dict[str, int] = {}
-        self._table = np.zeros((0, 1 + len(BEGINNINGS)), np.int64 if self.known is None else np.int32)
 
-    def _learn(self, words: set[str]) -> None:
-        fresh = list(words)
-        hashes = np.array([h for w in fresh for h in term_hashes(w)], np.int64).reshape(-1, 1 + len(BEGINNINGS))
-        again = hashes[:, 1:] == hashes[:, :1]
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, term) of each occurrence of a term."""
+        words = Words(texts)
+        terms, real = words.hashes, np.ones(words.hashes.shape, bool)
+        real[:, 1:] = terms[:, 1:] != terms[:, :1]
         if self.known is not None:
-            at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-            found = self.known[at] == hashes if len(self.known) else np.zeros(hashes.shape, bool)
-            hashes = np.where(found, at, -1).astype(np.int32)
-        hashes[:, 1:][again] = -1
-        self._place.update(zip(fresh, range(len(self._place), len(self._place) + len(fresh)), strict=True))
-        if len(self._place) > len(self._table):  # doubled, so that words are seldom copied
-            self._table = np.concatenate([self._table, np.empty((max(len(self._place), 4_096), self._table.shape[1]), self._table.dtype)])
-        self._table[len(self._place) - len(fresh) : len(self._place)] = hashes
-
-    def _rows(self, counted: list[Counter] | list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, row of the table) of each word of some texts."""
-        if len(self._place) > MAX_REMEMBERED:
-            self._forget()
-        self._learn(set().union(*counted) - self._place.keys())
-        rows = np.array([self._place[w] for words in counted for w in words], np.int64)
-        return np.repeat(np.arange(len(counted)), [len(words) for words in counted]), rows
+            at = np.minimum(np.searchsorted(self.known, terms), max(len(self.known) - 1, 0))
+            real &= self.known[at] == terms if len(self.known) else False
+            terms = at
+        found = np.flatnonzero(real[words.row])
+        return words.text_of[found // real.shape[1]], terms[words.row].reshape(-1)[found]
+
+    def _cells(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text times the number of terms plus term, occurrences), in order."""
+        text_of, terms = self._each(texts)
+        cells = np.sort(text_of * len(self.known) + terms)
+        new = np.flatnonzero(np.diff(cells, prepend=-1))
+        return cells[new], np.diff(new, append=len(cells))
 
     def present(self, texts: list[str]) -> np.ndarray:
         """The terms of some texts, one for each text that has it, by place."""
-        text_of, rows = self._rows([set(words_of(t)) for t in texts])
-        terms, width = self._table[rows].reshape(-1), self._table.shape[1]
-        real = np.flatnonzero(terms != -1)
-        return np.unique(text_of[real // width] * len(self.known) + terms[real]) % max(len(self.known), 1)
+        return self._cells(texts)[0] % max(len(self.known), 1)
 
     def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(terms in order, times) of each text; some texts are worked on at once."""
-        for start in range(0, len(texts), SLICE):
-            counted = [Counter(words_of(t)) for t in texts[start : start + SLICE]]
-            text_of, rows = self._rows(counted)
-            times = np.array([n for words in counted for n in words.values()], np.int64)
-            terms, width = self._table[rows].reshape(-1), self._table.shape[1]
-            real = np.flatnonzero(terms != -1)
-            terms, times, text_of = terms[real].astype(np.int64), times[real // width], text_of[real // width]
-            order = np.lexsort((terms, text_of)) if self.known is None else np.argsort(text_of * len(self.known) + terms)
-            terms, text_of = terms[order], text_of[order]
-            new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (text_of[1:] != text_of[:-1])])) if len(terms) else np.zeros(0, int)
-            sums = np.add.reduceat(times[order], new) if len(new) else times
-            ends = np.searchsorted(text_of[new], np.arange(len(counted) + 1))
-            for a, b in zip(ends, ends[1:], strict=False):
-                yield terms[new[a:b]], sums[a:b]
+        for part in slices(texts):
+            if self.known is None:
+                text_of, terms = self._each(part)
+                for own in np.split(terms, np.searchsorted(text_of, np.arange(1, len(part)))):
+                    yield np.unique(own, return_counts=True)
+                continue
+            cells, times = self._cells(part)
+            ends = np.searchsorted(cells, np.arange(len(part) + 1) * len(self.known))
+            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                yield cells[a:b] - i * len(self.known), times[a:b]
+
+
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """``SLICE`` texts at once, fewer where they are long."""
+    part, chars = [], 0
+    for text in texts:
+        if part and (len(part) == SLICE or chars + len(text) > STRETCH):
+            yield part
+            part, chars = [], 0
+        part.append(text)
+        chars += len(text)
+    if part:
+        yield part
 
 
 def weighted(times: np.ndarray, gain: np.ndarray) -> np.ndarray:
@@ -255,11 +302,17 @@ class BlockMaxIndex:
             return np.zeros(0), np.zeros(0, np.int64)
         rare = self.row[terms] < 0
         few = terms[rare]
-        lists = [slice(a, b) for a, b in zip(self.first[few].tolist(), self.first[few + 1].tolist(), strict=True)]
-        part, spans = np.zeros(n), 0
-        if lists:
-            read = np.concatenate([self._packed[x] for x in lists]).view(self.postings.dtype)
-            part, spans = np.bincount(read["place"], read["value"] * np.repeat(vector[rare], self.sizes[few]), n), len(read)
+        ends, part = np.cumsum(self.sizes[few]), np.zeros(n)
+        spans, at = int(ends[-1]) if len(few) else 0, 0
+        while at < len(few):  # all lists at once, in stretches; a list is no longer than a share of the examples
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + STRETCH, side="right")))
+            sizes = self.sizes[few[at:to]]
+            read = np.repeat(self.first[few[at:to]] - (ends[at:to] - sizes), sizes)
+            read += np.arange(before, before + len(read))
+            read = self._packed[read].view(self.postings.dtype)
+            part += np.bincount(read["place"], read["value"] * np.repeat(vector[rare][at:to], sizes), n)
+            at = to
         in_block = np.repeat(in_block, BLOCK)[:n]
         # Rounding may lift a cosine over its bound by a few units in the last place.
         bound = part + np.minimum(in_block, math.sqrt(often @ often) * self.length) + 1e-9
@@ -313,7 +366,7 @@ class ToxicityModel:
         def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             scorer = Scorer.of(shared.value)
             for batch in batches:
-                found = [f for at in range(0, len(batch), SLICE) for f in scorer([t.as_py() or "" for t in batch.slice(at, SLICE)])]
+                found = [f for at in range(0, len(batch), SLICE) for f in scorer([t or "" for t in batch.slice(at, SLICE).to_pylist()])]
                 ends = np.cumsum([0, *(len(ids) for _, ids, _, _ in found)])
                 flat = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (1, 2, 3)]
                 near = pa.StructArray.from_arrays(
@@ -331,7 +384,7 @@ class Scorer:
     _last = None
 
     def __init__(self, model: ToxicityModel):
-        self.model, self.index, self.terms = model, BlockMaxIndex.from_bytes(model.index), Terms.of_worker(model.terms)
+        self.model, self.index, self.terms = model, BlockMaxIndex.from_bytes(model.index), Terms(model.terms)
         self._scores: dict[bytes, tuple] = {}
 
     @classmethod
@@ -391,7 +444,7 @@ def _example_terms(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms_of = Terms()
         for batch in batches:
-            found = list(terms_of.of([t.as_py() for t in batch["text"]]))
+            found = list(terms_of.of(batch["text"].to_pylist()))
             yield pa.record_batch(
                 [batch["doc_id"], batch["label"], pa.array([t for t, _ in found], pa.list_(pa.int64())),
                  pa.array([n for _, n in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "times"])
@@ -406,10 +459,10 @@ def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[int, np.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, part = shared.value, 0, TaskContext.get().partitionId() % GROUPS
-        terms_of, seen = Terms.of_worker(known), np.zeros(len(known) + 1, np.int64)
+        terms_of, seen = Terms(known), np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                seen[:-1] += np.bincount(terms_of.present([t.as_py() for t in batch["text"].slice(at, SLICE)]), minlength=len(known))
+            for some in slices(batch["text"].to_pylist()):
+                seen[:-1] += np.bincount(terms_of.present(some), minlength=len(known))
             n += batch.num_rows
         seen[-1] = n  # the last cell has the number of rows
         chunks = [c for c in range(0, len(seen), CHUNK) if seen[c : c + CHUNK].any()]

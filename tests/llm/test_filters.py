@@ -107,6 +107,38 @@ def plain_terms(text):
     return times
 
 
+@pytest.mark.parametrize("stretch", [1 << 19, 7])
+def test_terms_of_whole_texts(monkeypatch, stretch):
+    """The terms and times of strings, whatever the letters are and where the texts are cut into stretches."""
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
+    toxicity._known_powers.cache_clear()
+    texts = ["", "1_2", "abcd abcde abcdef ABCDEF", "İstanbul ΑΣ ΑΣ\nΣ ΑΣ", "ab\ud800cd x²y 1a2b _q_ Straße", "ω" * 40 + " ωωωω ωωωωω", "a", "é" * 6] * 20
+    every = {h: t for text in texts for t, h in hashes_of(text).items()}
+    known = np.array(sorted(every)[::2])
+    for text, (terms, times), (places, n) in zip(texts, toxicity.Terms().of(texts), toxicity.Terms(known).of(texts), strict=True):
+        wanted = plain_terms(text)
+        assert {every[h]: k for h, k in zip(terms.tolist(), times.tolist(), strict=True)} == wanted
+        assert sorted(terms.tolist()) == terms.tolist() and sorted(places.tolist()) == places.tolist()
+        assert {every[h]: k for h, k in zip(known[places].tolist(), n.tolist(), strict=True)} == {t: k for t, k in wanted.items() if hashes_of(text)[t] in known}
+    toxicity._known_powers.cache_clear()
+
+
+def hashes_of(text):
+    """The hash of each term of a text."""
+    out = {}
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        own = toxicity.term_hashes(word)
+        out |= {word: own[0], **{f"{word[:n]}*": h for n, h in zip(toxicity.BEGINNINGS, own[1:], strict=True) if len(word) > n}}
+    return out
+
+
+def test_many_new_words_cost_no_memory_of_words():
+    """Texts of words that occur once: nothing is looked up, or remembered, word by word."""
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" * 2 for j in range(300)) for i in range(200)]
+    terms = toxicity.Terms(np.array(sorted(toxicity.term_hashes("worda"))))
+    assert sum(len(t) for t, _ in terms.of(texts)) and vars(terms).keys() == {"known"}
+
+
 def plain_vectors(texts, docs, gain_of):
     """Unit vectors of the texts over the terms that have a gain."""
     out = []
