@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from purser.llm.common import remembering
 from purser.llm.graph import components
-from purser.llm.shingles import REGISTERS, mixed, prob_minhash, shingles, similarity, words
+from purser.llm.shingles import REGISTERS, forget_words, mixed, prob_minhash, shingles, similarity, words
 from purser.session import written
 
 THRESHOLD = 0.8
@@ -45,6 +46,7 @@ def sketch_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("near duplicates", _forget)
         salt = mixed(np.arange(BANDS, dtype=np.uint64))[None, :]
         mix = mixed(np.arange(100, 100 + ROWS, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
@@ -74,10 +76,16 @@ def _shingles_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return shingles(words(text))
 
 
+def _forget() -> None:
+    _shingles_of.cache_clear()
+    forget_words()
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """Of (a, b, text_a, text_b) the pairs (a, b) at the threshold."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("near duplicates", _forget)
         for batch in batches:
             good = [
                 similarity(_shingles_of(x.as_py()), _shingles_of(y.as_py())) >= THRESHOLD
@@ -96,6 +104,7 @@ def _forest(members: DataFrame) -> DataFrame:
     """
 
     def connect(key: tuple, rows: pa.Table) -> pa.Table:
+        remembering("near duplicates", _forget)
         band = rows["band"][0].as_py()
         order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
         doc, side = rows["doc_id"].to_numpy()[order], rows["side"].to_numpy()[order]

@@ -16,7 +16,8 @@ SHINGLE = 5
 #: A prime, so that any start and step walk through all registers.
 REGISTERS = 163
 WORD = re.compile(r"\w+")
-MAX_REMEMBERED = 500_000
+#: Words whose hashes a worker remembers, about 25 MB. A frequent word is soon known again after they are forgotten.
+MAX_REMEMBERED = 100_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0x100000001B3)
@@ -43,6 +44,10 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def forget_words() -> None:
+    _HASHES.clear()
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 

@@ -16,6 +16,8 @@ import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from purser.llm.common import remembering
+
 #: Characters of the Unicode property White_Space (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters of one form under normalisation, and what may follow so that their run surely ends.
@@ -103,9 +105,14 @@ class ChunkEncoder:
         return ids
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, spaced: bool) -> ChunkEncoder:
     """One encoder per worker process and vocabulary; a worker is one core, so the library gets one thread."""
+    remembering("tokens", _encoder.cache_clear)
+    return _encoder(path, spaced)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, spaced: bool) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkEncoder(path, spaced)
 

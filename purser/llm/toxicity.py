@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from purser.llm.ball_tree import BallTree
-from purser.llm.common import held_out, id_and_text
+from purser.llm.common import held_out, id_and_text, remembering
 from purser.llm.shingles import mixed
 from purser.session import written
 
@@ -389,6 +389,7 @@ class Scorer:
 
     @classmethod
     def of(cls, model: ToxicityModel) -> Scorer:
+        remembering("toxicity", _forget)
         if cls._last is None or cls._last.model is not model:
             cls._last = None  # let go of the one before first
             cls._last = cls(model)
@@ -408,6 +409,12 @@ class Scorer:
         return [self._scores[k] for k in keys]
 
 
+def _forget() -> None:
+    Scorer._last = None
+    characters.cache_clear()
+    _known_powers.cache_clear()
+
+
 def calibrated(votes: float, curve: tuple[float, float]) -> float:
     return 1 / (1 + math.exp(-(curve[0] * _odds(votes) + curve[1])))
 
@@ -442,6 +449,7 @@ def _example_terms(rows: DataFrame) -> DataFrame:
     """(doc_id, label, terms, times) of each labelled row's whole text; terms are hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("toxicity", _forget)
         terms_of = Terms()
         for batch in batches:
             found = list(terms_of.of(batch["text"].to_pylist()))
@@ -458,6 +466,7 @@ def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[int, np.n
     kind = pa.list_(pa.int64())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("toxicity", _forget)
         known, n, part = shared.value, 0, TaskContext.get().partitionId() % GROUPS
         terms_of, seen = Terms(known), np.zeros(len(known) + 1, np.int64)
         for batch in batches:

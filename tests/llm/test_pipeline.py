@@ -90,3 +90,20 @@ def test_awkward_documents_pass_every_stage(spark, awkward, nothing, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.count() <= 2 * docs.count(), name
             assert name == "packing" or out.columns == docs.columns
+
+
+def test_a_worker_forgets_what_another_operator_kept():
+    """Words, models and encoders of one stage are no memory of the next one's tasks in the same process."""
+    from purser.llm import common, shingles, tokens, toxicity
+
+    common.remembering("near duplicates", minhash._forget)
+    shingles.shingles(shingles.words("some words that are remembered"))
+    common.remembering("near duplicates", minhash._forget)
+    assert shingles._HASHES
+    common.remembering("toxicity", toxicity._forget)
+    assert not shingles._HASHES
+    toxicity.Scorer.of(toxicity.ToxicityModel(toxicity.np.zeros(0, "int64"), toxicity._index_of([], toxicity.np.zeros(0)).to_bytes(), (1.0, 1.0), 0.0))
+    encode = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    assert toxicity.Scorer._last is None and tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), False) is encode
+    common.remembering("near duplicates", minhash._forget)
+    assert not tokens._encoder.cache_info().currsize
