@@ -169,3 +169,16 @@ def test_watched_cleaning_counts_what_null_profile_counts(spark, sf_dir):
         n = rows.count()
         assert {c: got[step, c] for c in cols} == {r["column_name"]: (r["n_missing"], n) for r in profile.null_profile(rows.select(*cols)).collect()}
     assert len(got) == 5 * len(cols)
+
+
+def test_no_fold_waits_for_another(toy, monkeypatch):
+    """All fits of a stack's first level are one list of jobs, and come back as if fitted fold by fold."""
+    handed, plain = [], stacking.in_parallel
+    monkeypatch.setattr(stacking, "in_parallel", lambda spark, jobs, threads: handed.append(len(jobs)) or plain(spark, jobs, threads))
+    names = list(bases())
+    oof, whole = stacking.out_of_fold_and_whole(toy, bases(), 3, threads=4)
+    assert handed == [4 * len(names)] and list(whole) == names
+    held = [stacking.with_base_scores(toy.where(F.col("fold") == i), {n: e.fit(toy.where(F.col("fold") != i)) for n, e in bases().items()}) for i in range(3)]
+    rows = held[0].unionByName(held[1]).unionByName(held[2]).select(oof.columns)
+    assert sorted(map(tuple, oof.collect())) == sorted(map(tuple, rows.collect()))
+    assert [training.side_by_side(n) for n in (0, 480_000, 4_000_000, 30_000_000)] == [8, 8, 4, 2]
