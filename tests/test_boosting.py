@@ -57,11 +57,23 @@ def test_other_searches_are_left_to_spark(rows):
 
 
 def test_thresholds_lie_between_values_or_at_even_ranks():
-    values = np.arange(10.0)
-    assert boosting.thresholds(values, np.ones(10), 9) == (values[:-1] + 0.5).tolist()
-    assert boosting.thresholds(values, np.ones(10), 4) == [1.5, 3.5, 5.5, 7.5]
-    assert boosting.thresholds(np.array([0.0, 1.0, 2.0]), np.array([98, 1, 1]), 1) == [0.5]
-    assert boosting.thresholds(np.array([3.0]), np.array([5]), 31) == []
+    values = np.arange(1.0, 11.0)
+    assert boosting.thresholds(values, np.ones(10), 10, 9) == (values[:-1] + 0.5).tolist()
+    assert boosting.thresholds(values, np.ones(10), 10, 4) == [2.5, 4.5, 6.5, 8.5]
+    assert boosting.thresholds(np.array([-1.0, 1.0, 2.0]), np.array([1.0, 1.0, 1.0]), 100, 2) == [-0.5, 0.5]  # 97 zeros
+    assert boosting.thresholds(np.array([1.0]), np.array([5.0]), 12, 31) == [0.5]
+    assert boosting.thresholds(np.array([]), np.array([]), 12, 31) == boosting.thresholds(np.array([3.0]), np.array([5.0]), 5, 31) == []
+
+
+def test_scores_are_those_of_spark_where_thresholds_are_drawn(rows):
+    """More rows than thresholds are taken from: the same rows are drawn."""
+    many = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("noise", F.rand(8)).drop("features")
+    many = VectorAssembler(inputCols=["a", "b", "d", "noise"], outputCol="features").transform(many).cache()
+    trees = models.boosted_trees(rounds=2)
+    search = CrossValidator(estimator=trees, estimatorParamMaps=[{trees.maxDepth: 4}], numFolds=3, foldCol="fold",
+                            evaluator=MulticlassClassificationEvaluator(metricName="accuracy")).fit(many)
+    assert models._boosted_scores(many, trees, [{trees.maxDepth: 4}], "fold", 3).mean(0).tolist() == pytest.approx(search.avgMetrics, abs=1e-12)
+    many.unpersist()
 
 
 def test_columns_that_share_a_code_are_told_apart():
@@ -78,7 +90,7 @@ def test_columns_that_share_a_code_are_told_apart():
     for c in range(layout.codes):
         sums[c] = np.bincount(codes[:, c], minlength=boosting.CODES)
     for c, mine in enumerate(layout.by_column(sums)):
-        assert mine.tolist() == np.bincount(rows[:, c], minlength=boosting.BINS).tolist()
+        assert mine.tolist() == np.bincount(rows[:, c], minlength=max(bins)).tolist()
 
 
 @pytest.mark.parametrize(("column", "value", "what"), [("label", "2", "labels"), ("label", "null", "labels"), ("fold", "3", "not in"), ("fold", "null", "not in")])
