@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -99,3 +100,34 @@ def test_rows_that_cannot_be_fitted_are_an_error(rows, column, value, what):
     bad = rows.withColumn(column, F.when(F.col("a") > 2, F.expr(value)).otherwise(F.col(column)))
     with pytest.raises(Exception, match=what):
         models._boosted_scores(bad, trees, [{trees.maxDepth: 1}], "fold", 3)
+
+
+def test_models_are_those_of_spark(rows, tmp_path):
+    """Fits of several parts take the jobs of one, and give Spark's own models."""
+    ours = models.boosted_trees(rounds=4, leaf=2)
+    theirs = GBTClassifier(stepSize=0.15, maxIter=4, maxDepth=5, minInstancesPerNode=2, seed=13)
+    parts = [F.col("fold") != 0, F.col("fold") == 1, F.lit(True)]
+    for part, model in zip(parts, ours.fit_parts(rows, parts), strict=True):
+        plain = theirs.fit(rows.where(part))
+        assert type(model) is type(plain) and model.treeWeights == plain.treeWeights and model.getMaxDepth() == 5
+        assert [t.numNodes for t in model.trees] == [t.numNodes for t in plain.trees]
+        assert model.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=0.01)  # equal gains
+        assert model.evaluateEachIteration(rows) == pytest.approx(plain.evaluateEachIteration(rows), abs=1e-6)
+        scores = [[r["score"] for r in models.scored(m, rows).orderBy("PassengerId").collect()] for m in (model, plain)]
+        assert scores[0] == pytest.approx(scores[1], abs=1e-6)
+    model.write().save(str(tmp_path / "model"))
+    again = type(model).load(str(tmp_path / "model"))
+    assert [r["score"] for r in models.scored(again, rows).orderBy("PassengerId").collect()] == scores[0]
+
+
+def test_parts_take_no_jobs_of_their_own(spark, rows):
+    """Before, each part's trees were grown for themselves."""
+    trees = models.boosted_trees(rounds=3, depth=2)
+    jobs = {}
+    for parts in ([0], [0, 1, 2]):
+        group = f"parts-{len(parts)}"
+        spark.sparkContext.setJobGroup(group, group)
+        trees.fit_parts(rows, [F.col("fold") != i for i in parts])
+        jobs[len(parts)] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] == jobs[3]
