@@ -106,3 +106,22 @@ def test_forest_keeps_its_caps(toy):
 def test_no_rows(toy):
     with pytest.raises(ValueError, match="no rows"):
         models.leafwise_boosted().fit(toy.limit(0))
+
+
+def test_trees_of_a_forest_share_their_jobs(spark, toy):
+    """Before, each tree of a forest was grown for itself: four times the jobs of one."""
+    jobs = {}
+    for trees in (1, 4):
+        group = f"forest-{trees}"
+        spark.sparkContext.setJobGroup(group, group)
+        models.leafwise_forest(trees=trees, columns=2).fit(toy)
+        jobs[trees] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[4] < 2 * jobs[1]
+
+
+def test_a_tree_is_not_written_between_rounds(toy, monkeypatch):
+    """Before, the margins were written to the shared folder after every second tree."""
+    names, written = [], leafwise.written
+    monkeypatch.setattr(leafwise, "written", lambda df, name: names.append(name) or written(df, name))
+    assert len(models.leafwise_boosted(rounds=5).fit(toy).trees) == 5 and names == ["binned"]
