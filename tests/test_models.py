@@ -182,3 +182,20 @@ def test_no_fold_waits_for_another(toy, monkeypatch):
     rows = held[0].unionByName(held[1]).unionByName(held[2]).select(oof.columns)
     assert sorted(map(tuple, oof.collect())) == sorted(map(tuple, rows.collect()))
     assert [training.side_by_side(n) for n in (0, 480_000, 4_000_000, 30_000_000)] == [8, 8, 4, 2]
+
+
+def test_network_curve_is_that_of_fits_one_by_one(toy, monkeypatch):
+    """Before, each stage packed the rows again and Spark's evaluator scored both tables."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from purser.operators import network
+
+    train, val = toy.where("split = 'train'"), toy.where("split = 'val'")
+    first = models.feed_forward(3, iterations=4).fit(train)
+    second = models.feed_forward(3, iterations=4).setInitialWeights(first.weights).fit(train)
+    loss = MulticlassClassificationEvaluator(metricName="logLoss")
+    expected = {name: [loss.evaluate(m.transform(rows)) for m in (first, second)] for name, rows in (("loss", train), ("val_loss", val))}
+    held, packed = [], network.packed
+    monkeypatch.setattr(network, "packed", lambda *a: held.append(a) or packed(*a))
+    curve = models.network_curve(train, val, 3, stages=2, iterations=4)
+    assert len(held) == 2 and all(curve[name] == pytest.approx(expected[name], abs=1e-9) for name in expected)
