@@ -103,15 +103,15 @@ def test_rows_that_cannot_be_fitted_are_an_error(rows, column, value, what):
 
 
 def test_models_are_those_of_spark(rows, tmp_path):
-    """Fits of several parts take the jobs of one, and give Spark's own models."""
-    ours = models.boosted_trees(rounds=4, leaf=2)
-    theirs = GBTClassifier(stepSize=0.15, maxIter=4, maxDepth=5, minInstancesPerNode=2, seed=13)
+    """Fits of several parts give Spark's own models; in leaves of many rows no two columns gain the same."""
+    ours = models.boosted_trees(rounds=4, depth=3, leaf=40)
+    theirs = GBTClassifier(stepSize=0.15, maxIter=4, maxDepth=3, minInstancesPerNode=40, seed=13)
     parts = [F.col("fold") != 0, F.col("fold") == 1, F.lit(True)]
     for part, model in zip(parts, ours.fit_parts(rows, parts), strict=True):
         plain = theirs.fit(rows.where(part))
-        assert type(model) is type(plain) and model.treeWeights == plain.treeWeights and model.getMaxDepth() == 5
+        assert type(model) is type(plain) and model.treeWeights == plain.treeWeights and model.getMaxDepth() == 3
         assert [t.numNodes for t in model.trees] == [t.numNodes for t in plain.trees]
-        assert model.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=0.01)  # equal gains
+        assert model.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=1e-6)
         assert model.evaluateEachIteration(rows) == pytest.approx(plain.evaluateEachIteration(rows), abs=1e-6)
         scores = [[r["score"] for r in models.scored(m, rows).orderBy("PassengerId").collect()] for m in (model, plain)]
         assert scores[0] == pytest.approx(scores[1], abs=1e-6)
